@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -188,10 +188,8 @@ def delete_docs(index: LineIndex, docs: DataFrame) -> LineIndex:
     return _change(index, docs, -1)
 
 
-OUT = "doc_id long, text string, n_lines long, n_dropped long"
-
-
-def _drop(rows: list, ids: pa.Array, is_frequent) -> pa.RecordBatch:
+def _drop(rows: list, batch: pa.RecordBatch, is_frequent) -> pa.RecordBatch:
+    """The rows without frequent lines, beside the batch's columns other than text and keys."""
     texts, n_lines, n_dropped = [], [], []
     for text, own in rows:
         lines = text.split(b"\n")
@@ -199,26 +197,28 @@ def _drop(rows: list, ids: pa.Array, is_frequent) -> pa.RecordBatch:
         texts.append(b"\n".join(kept))
         n_lines.append(len(lines))
         n_dropped.append(len(lines) - len(kept))
-    return pa.RecordBatch.from_arrays(
-        [ids, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-        names=["doc_id", "text", "n_lines", "n_dropped"],
-    )
+    carried = [c for c in batch.schema.names if c not in ("doc_id", "text", "keys")]
+    columns = [batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in carried], names=["doc_id", "text", "n_lines", "n_dropped", *carried])
 
 
-def drop_frequent_lines(docs: DataFrame, index: LineIndex, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, index: LineIndex, broadcast_rows: int = BROADCAST_ROWS, carry: Sequence[str] = ()) -> DataFrame:
     """Each row of docs as (doc_id, text, n_lines, n_dropped), without the lines whose key is frequent in index.
 
     The cuckoo filter of a key's shard answers first; only keys that it lets through meet the exact table. That
     table is sent to the tasks if it has at most broadcast_rows rows, and is joined beyond. A null or empty text is one
     empty line; empty keys are never dropped. Repeated rows and rows of null doc_id are treated like others
     (beyond the broadcast, rows that repeat a doc_id share the join, which changes nothing: a key is frequent or
-    is not). Other columns play no part.
+    is not). Columns named in carry are returned too; others play no part.
     """
-    rows = text_rows(docs)
+    if set(carry) & {"doc_id", "text", "n_lines", "n_dropped", "keys", "own_id"}:
+        raise ValueError(f"carry: {carry} would hide a column of the result")
+    rows = text_rows(docs, carry=carry)
+    out = f"doc_id long, text string, n_lines long, n_dropped long{''.join(f', `{c}` {docs.schema[c].dataType.simpleString()}' for c in carry)}"
     frequent = index.frequent()
     n = frequent.count()
     if n == 0:
-        return rows.mapInArrow(lambda bs: (_drop([(t, None) for t in raw(b.column("text"))], b.column("doc_id"), lambda k, _: False) for b in bs), OUT)
+        return rows.mapInArrow(lambda bs: (_drop([(t, None) for t in raw(b.column("text"))], b, lambda k, _: False) for b in bs), out)
     spark = docs.sparkSession
     filters = {r["shard"]: bytes(r["filter"]) for r in index.filters.collect()} if n <= 16 * broadcast_rows else None
     sent_filters = spark.sparkContext.broadcast(filters)
@@ -245,9 +245,9 @@ def drop_frequent_lines(docs: DataFrame, index: LineIndex, broadcast_rows: int =
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, seen, exact = loaded(), {}, sent_keys.value
             for b in batches:
-                yield _drop([(t, None) for t in raw(b.column("text"))], b.column("doc_id"), lambda k, _: (d := maybe(held, seen, k)) is not None and d in exact)
+                yield _drop([(t, None) for t in raw(b.column("text"))], b, lambda k, _: (d := maybe(held, seen, k)) is not None and d in exact)
 
-        return rows.mapInArrow(drop, OUT)
+        return rows.mapInArrow(drop, out)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = loaded(), {}
@@ -262,7 +262,7 @@ def drop_frequent_lines(docs: DataFrame, index: LineIndex, broadcast_rows: int =
     def drop_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [{bytes(x) for x in ks or ()} for ks in b.column("keys").to_pylist()]
-            yield _drop(list(zip(raw(b.column("text")), own, strict=True)), b.column("doc_id"), lambda k, mine: _digest(k) in mine)
+            yield _drop(list(zip(raw(b.column("text")), own, strict=True)), b, lambda k, mine: _digest(k) in mine)
 
     by_doc = (
         rows.mapInArrow(candidates, "doc_id long, key binary")
@@ -271,8 +271,8 @@ def drop_frequent_lines(docs: DataFrame, index: LineIndex, broadcast_rows: int =
         .agg(F.collect_set("key").alias("keys"))
         .withColumnRenamed("doc_id", "own_id")
     )
-    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "text", "keys")
-    return joined.mapInArrow(drop_own, OUT)
+    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").drop("own_id")
+    return joined.mapInArrow(drop_own, out)
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,9 +48,9 @@ def _drop_tables() -> None:
             return
 
 
-def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns that text operators read, under fixed names; other columns, of any name, stay behind."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def text_rows(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """The two columns that text operators read, and those to carry; other columns, of any name, stay behind."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry])
 
 
 def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
