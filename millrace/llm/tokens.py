@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +27,33 @@ def units(text: str) -> list[str]:
     return text.split(" ") if _ODD.search(text) is None else _CUT.split(text)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: itself if it prints, else the next from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+_AS_LATIN = str.maketrans({chr(b): c for b, c in _LETTERS.items()})
+
+
+class _Memory(dict):
+    """unit -> its ids as bytes, for units that begin a text or line (lead "") or follow a space (lead " ")."""
+
+    def __init__(self, owner: UnitEncoder, lead: str):
+        super().__init__()
+        self.owner, self.lead = owner, lead
+
+    def __missing__(self, unit: str) -> bytes:
+        known = self.owner._learn(unit, self.lead)
+        if len(unit) <= 64:
+            if len(self) >= MOST_UNITS:
+                self.clear()
+            self[unit] = known
+        return known
+
+
 class UnitEncoder:
     """encode(texts) gives the ids of each text as the library would, meeting repeated units in a bounded memory."""
 
@@ -34,33 +63,25 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}  # a unit at the start of a text
-        self.later: dict[str, bytes] = {}  # a unit after a space
-
-    def _learn(self, memory: dict[str, bytes], new: list[str], lead: str) -> None:
-        encoded = self.tokenizer.encode_batch_fast([lead + u for u in new], add_special_tokens=False)
-        for u, e in zip(new, encoded, strict=True):
-            memory[u] = np.array(e.ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.first, self.later = _Memory(self, ""), _Memory(self, " ")
+
+    def _pretoken(self, text: str) -> bytes:
+        """A text known to be one pre-token goes to the library's BPE model, written as byte-level letters."""
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_AS_LATIN))]).tobytes()
+
+    def _learn(self, unit: str, lead: str) -> bytes:
+        before, newline, after = unit.partition("\n")
+        if newline and before and after and not before[-1].isspace() and not after[0].isspace():
+            return (self.later if lead else self.first)[before] + self.first["\n"] + self.first[after]
+        word = unit.rstrip(string.punctuation)
+        if word.isalpha():  # letters, then perhaps punctuation: the pattern cuts between them
+            return self._pretoken(lead + word) if len(word) == len(unit) else (self.later if lead else self.first)[word] + self.first[unit[len(word) :]]
+        return array("I", self.tokenizer.encode(lead + unit, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [units(t) for t in texts]
-        for memory in (self.first, self.later):
-            if len(memory) > MOST_UNITS:
-                memory.clear()
-        later = set()
-        for c in cut:
-            later.update(c[1:])
-        later.difference_update(self.later)
-        self._learn(self.later, list(later), " ")
-        self._learn(self.first, list({c[0] for c in cut}.difference(self.first)), "")
         get = self.later.__getitem__
-        out = [np.frombuffer(self.first[c[0]] + b"".join(map(get, c[1:])), "<u4") for c in cut]
-        for memory, used in ((self.later, later), (self.first, ())):  # a long unit is not kept
-            for u in [u for u in used if len(u) > 64]:
-                del memory[u]
-        if any(len(c[0]) > 64 for c in cut):
-            self.first = {u: v for u, v in self.first.items() if len(u) <= 64}
-        return out
+        return [np.frombuffer(self.first[c[0]] + b"".join(map(get, c[1:])), "<u4") for c in map(units, texts)]
 
 
 _encoders: dict[str, UnitEncoder] = {}
