@@ -1,11 +1,328 @@
-"""Registered queries with the SQL that checks them."""
+"""Registered queries of the engine's own operators, each with the SQL that checks it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import text as T
+from millrace.functions import urls as U
+from millrace.operators import lifecycle as L
+from millrace.operators import retrieval as R
+from millrace.sources.tables import table
+from millrace.streaming import events as S
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _points(spark, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+def _asked(spark, d: str) -> DataFrame:
+    """The stated query set: the five vectors of the smallest ids."""
+    return _points(spark, d).where("id < 5").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+
+
+_DOT = "list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: p.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE))"
+_DENSE = f"SELECT q.vec_id AS query_id, p.vec_id AS id, {_DOT} AS score FROM embeddings p, embeddings q WHERE q.vec_id < 5"
+_URL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '')"
+_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DENSE})) WHERE rank <= 10")
+def retrieval_dense_topk(spark, d):
+    return R.dense_topk(_points(spark, d), _asked(spark, d), 10).withColumn("score", F.round("score", 9))
+
+
+@query(f"SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DENSE} AND p.label IN (1, 3))) WHERE rank <= 10")
+def retrieval_filtered_topk(spark, d):
+    return R.dense_topk(R.matching(_points(spark, d), {"label": [1, 3]}), _asked(spark, d), 10).withColumn("score", F.round("score", 9))
+
+
+@query(f"SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DENSE.replace('AS id,', 'AS id, p.label,')})) WHERE rank <= 10 AND (label NOT IN (2) OR label IS NULL)")
+def retrieval_exclude_after_topk(spark, d):
+    """The exclusion comes after the limit, so fewer rows than the limit may be left."""
+    hits = R.dense_topk(_points(spark, d), _asked(spark, d), 10)
+    return hits.join(_points(spark, d).select("id", "label"), "id").where(~F.col("label").isin(2) | F.col("label").isNull()).select("query_id", "id", "rank")
+
+
+_TERMS = f"""
+t AS (SELECT doc_id, lower(term) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS term FROM documents) WHERE len(term) >= 3),
+u AS (SELECT doc_id, term, count(*) AS n FROM t WHERE term NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)}) GROUP BY ALL),
+m AS (SELECT term, list_reduce(list_prepend({T.FNV_START}, list_transform(string_split(term, ''), lambda c: ascii(c))), lambda h, b: (xor(h, b) * {T.FNV_PRIME}) % 65536) AS bucket FROM (SELECT DISTINCT term FROM u)),
+w AS (SELECT doc_id, m.bucket, sum(n) AS tf, ln(1 + sum(n)) AS weight FROM u JOIN m USING (term) GROUP BY ALL)"""
+
+
+@query(f"WITH {_TERMS} SELECT doc_id, bucket, tf, round(weight, 9) AS weight FROM w")
+def sparse_term_vectors(spark, d):
+    return T.term_weights(table(spark, d, "documents")).withColumn("weight", F.round("weight", 9))
+
+
+_SPARSE = """, q AS (SELECT doc_id AS query_id, bucket, weight FROM w WHERE doc_id < 3),
+s AS (SELECT query_id, w.doc_id AS id, sum(w.weight * q.weight) AS score FROM w JOIN q USING (bucket) GROUP BY ALL)"""
+
+
+def _sparse(spark, d):
+    w = T.term_weights(table(spark, d, "documents")).withColumnRenamed("doc_id", "id")
+    return w, w.where("id < 3").select(F.col("id").alias("query_id"), "bucket", "weight")
+
+
+@query(f"WITH {_TERMS}{_SPARSE} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s) WHERE rank <= 10")
+def retrieval_sparse_topk(spark, d):
+    w, q = _sparse(spark, d)
+    scored = w.join(q.withColumnRenamed("weight", "qw"), "bucket").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 10")
+
+
+@query()
+def retrieval_hybrid_rrf(spark, d):
+    """Dense and sparse rankings of a hundred each, fused by reciprocal ranks; ids of both tables are taken as the same."""
+    w, q = _sparse(spark, d)
+    return R.fuse(R.dense_topk(_points(spark, d), _asked(spark, d), 100), R.sparse_topk(w, q, 100), 10)
+
+
+@query("""WITH h AS (SELECT lang AS query_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents),
+c AS (SELECT query_id, rank, sum(strlen(text)) OVER w + 2 * (rank - 1) AS bytes_so_far, sum(ceil(strlen(text) / 4.0)) OVER w AS tokens_so_far FROM h WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+SELECT query_id, rank, bytes_so_far::BIGINT AS bytes_so_far, tokens_so_far::BIGINT AS tokens_so_far FROM c WHERE bytes_so_far <= 20000 AND tokens_so_far <= 4000""")
+def context_budget(spark, d):
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    hits = table(spark, d, "documents").select(F.col("lang").alias("query_id"), "text", F.row_number().over(w).alias("rank"))
+    return R.context(hits, 20000, 4000).select("query_id", "rank", "bytes_so_far", "tokens_so_far")
+
+
+@query("SELECT coalesce(source, 'unknown') AS value, count(*) AS n FROM documents WHERE coalesce(source, 'x') <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def facet_sources(spark, d):
+    return R.facet(table(spark, d, "documents"), F.col("source"), 10)
+
+
+@query(f"SELECT CASE WHEN coalesce({_URL}, '') = '' THEN 'unknown' ELSE {_URL} END AS domain, count(*) AS vectors, count(DISTINCT nullif(url, '')) AS urls FROM pages GROUP BY 1")
+def domains_detailed(spark, d):
+    p = table(spark, d, "pages").withColumn("domain", U.domain(F.col("url")))
+    return p.groupBy("domain").agg(F.count("*").alias("vectors"), F.count_distinct(F.nullif("url", F.lit(""))).alias("urls"))
+
+
+@query(f"SELECT page_id, {_URL} AS host, {_PATH} AS path, suffix(lower({_PATH}), '.md') AS markdown, regexp_matches({_PATH}, '^(?:/[^/]+)?(?:/fr|/de)(?:[/-]|$)') AS excluded FROM pages")
+def url_parts(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", U.host(u).alias("host"), U.path(u).alias("path"), F.lower(U.path(u)).endswith(".md").alias("markdown"), U.excluded(u, ["/fr", "/de"]).alias("excluded"))
+
+
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS h, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$', 1) AS r FROM c)
+SELECT page_id, s || '://' || CASE s WHEN 'https' THEN regexp_replace(h, ':443$', '') WHEN 'http' THEN regexp_replace(h, ':80$', '') ELSE h END || regexp_replace(r, '/+(\?|$)', '\1') AS canonical FROM p""")
+def url_canonical(spark, d):
+    return table(spark, d, "pages").select("page_id", U.canonical(F.col("url")).alias("canonical"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, lower({_PATH}) AS p FROM pages)
+SELECT page_id, (CASE WHEN regexp_matches(p, '/(docs?|guides?|reference|api|tutorials?|learn|manual)(/|$)') THEN 4 ELSE 0 END + CASE WHEN len(list_filter(string_split(p, '/'), lambda s: s <> '')) = 0 THEN 1 ELSE 0 END
+ + CASE WHEN len(list_filter(string_split(p, '/'), lambda s: s <> '')) BETWEEN 1 AND 4 THEN 2 ELSE 0 END - CASE WHEN contains(url, '?') THEN 2 ELSE 0 END
+ - CASE WHEN regexp_matches(p, '/(login|signup|privacy|terms|careers|tag|tags|author)(/|$)') THEN 3 ELSE 0 END - CASE WHEN regexp_matches(p, '\.(zip|gz|tgz|tar|rar|7z)$') THEN 6 ELSE 0 END) AS score FROM p""")
+def url_suggestion_scores(spark, d):
+    return table(spark, d, "pages").select("page_id", U.suggestion_score(F.col("url")).alias("score"))
+
+
+@query("SELECT url FROM pages WHERE contains(url, '&amp;') OR length(url) > 2048 UNION SELECT min(url) FROM pages")
+def url_junk_and_first(spark, d):
+    p = table(spark, d, "pages")
+    return p.where(F.length("url").isNotNull() & (F.col("url").contains("&amp;") | (F.length("url") > 2048))).select("url").union(p.agg(F.min("url").alias("url"))).distinct()
+
+
+@query("""WITH a AS (SELECT doc_id, md5(text) AS h, n_chars FROM documents WHERE doc_id % 7 <> 0),
+b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN md5(text || 'x') ELSE md5(text) END AS h, n_chars FROM documents WHERE doc_id % 11 <> 0)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed'
+ WHEN a.h IS NOT DISTINCT FROM b.h AND a.n_chars IS NOT DISTINCT FROM b.n_chars THEN 'unchanged' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+def manifest_diff(spark, d):
+    """Two generations made from one table: some rows go, some come, some change."""
+    docs = table(spark, d, "documents")
+    a = docs.where("doc_id % 7 <> 0").select("doc_id", F.md5("text").alias("h"), "n_chars")
+    b = docs.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(F.md5("text")).alias("h"), "n_chars")
+    return L.manifest_diff(a, b, "doc_id", ["h", "n_chars"])
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphan_documents(spark, d):
+    return L.orphans(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT arg_max(doc_id, (n_chars, -doc_id)) AS doc_id, source, max(n_chars) AS n_chars FROM documents GROUP BY source")
+def dedupe_keep_best(spark, d):
+    return R.keep_best(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], "n_chars", "doc_id")
+
+
+@query("SELECT sha256(text) AS key, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_groups(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE url IS NULL OR url = '') AS no_url, count(*) FILTER (WHERE html IS NULL) AS no_content, count(*) FILTER (WHERE trim(html) = '') AS blank FROM pages")
+def data_quality(spark, d):
+    p = table(spark, d, "pages")
+    return p.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("url"), F.lit("")) == "").alias("no_url"), F.count_if(F.col("html").isNull()).alias("no_content"), F.count_if(F.trim("html") == "").alias("blank"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '') AS ps FROM documents),
+c AS (SELECT doc_id, flatten(list_transform(ps, lambda x: list_transform(range(0, (length(x) - 1) // 2000 + 1), lambda i: substring(x, (i * 2000 + 1)::BIGINT, 2000)))) AS cs FROM p)
+SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_index, md5(unnest(cs)) AS chunk FROM c""")
+def chunk_paragraphs(spark, d):
+    return T.paragraphs(table(spark, d, "documents")).select("doc_id", "chunk_index", F.md5("chunk_text").alias("chunk"))
+
+
+@query("SELECT doc_id, pos AS line_no, md5(line) AS line FROM (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) AS pos FROM documents) WHERE trim(line) <> ''")
+def chunk_lines(spark, d):
+    return T.lines(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "line_no", F.md5("line").alias("line"))
+
+
+@query("""SELECT conv_id, md5(string_agg(role || ': ' || text, E'\\n' ORDER BY turn)) AS rendered, count(*) AS turns FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
+def conversation_render(spark, d):
+    c = table(spark, d, "conversations").where(F.trim("text") != "").select("conv_id", F.col("turn").alias("chunk_index"), F.concat("role", F.lit(": "), "text").alias("chunk_text"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text")))
+    return c.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(parts, lambda p: p["chunk_text"]), "\n")).alias("rendered"), F.count("*").alias("turns"))
+
+
+@query("SELECT conv_id, turn, coalesce(lag(turn) OVER w, -1) AS prev, coalesce(lead(turn) OVER w, -1) AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def turn_links(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.lag("turn").over(w), F.lit(-1)).alias("prev"), F.coalesce(F.lead("turn").over(w), F.lit(-1)).alias("next"))
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '(?:^|[^A-Za-z0-9_-])(?:github_pat_|glpat-|xoxb-|xoxp-|ghp_|gho_|ghs_|AKIA|AIza|npm_|sk-|hf_)[A-Za-z0-9_-]{16,}') OR (contains(text, '-----BEGIN') AND contains(text, 'PRIVATE KEY-----'))
+ OR regexp_matches(text, '[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@') OR regexp_matches(text, '(?m)^\s*[A-Z_][A-Z0-9_]*\s*=\s*\S') AS secret FROM documents""")
+def secret_detection(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.has_secret(F.col("text")).alias("secret"))
+
+
+@query()
+def secret_redaction(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"), (T.redact(F.col("text")) != F.col("text")).alias("changed"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g')) AS clean FROM documents")
+def whitespace_cleanup(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.squeeze(F.col("text"))).alias("clean"))
+
+
+@query("""WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS c, length(text) AS n FROM benchmark), f AS (SELECT item_id, c, count(*) / any_value(n) AS p FROM c GROUP BY item_id, c)
+SELECT item_id, round(-sum(p * log2(p)), 9) AS bits FROM f GROUP BY item_id""")
+def text_entropy(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.round(T.entropy(F.col("text")), 9).alias("bits"))
+
+
+@query("SELECT event_type AS kind, json_extract_string(props, '$.k') AS status, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def active_by_kind(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("status")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("SELECT user_id, arg_max(event_id, (value, -event_id)) AS event_id, max(value) AS value FROM events GROUP BY user_id")
+def most_valuable_event(spark, d):
+    return R.keep_best(table(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "value", "event_id")
+
+
+@query("SELECT user_id, epoch(max(ts) - min(ts)) AS span_s, count(*) / nullif(epoch(max(ts) - min(ts)), 0) AS rate FROM events GROUP BY user_id")
+def duration_and_rate(spark, d):
+    span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
+    return table(spark, d, "events").groupBy("user_id").agg(span.alias("span_s"), (F.count("*") / F.nullif(span, F.lit(0.0))).alias("rate"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 day, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark, d):
+    return S.tumbling(table(spark, d, "events"), "1 day")
+
+
+@query("""SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 hours, ts), time_bucket(INTERVAL 12 hours, ts) - INTERVAL 12 hours]) AS s FROM events) GROUP BY ALL""")
+def events_sliding(spark, d):
+    return S.sliding(table(spark, d, "events"), "24 hours", "12 hours")
+
+
+@query("""WITH g AS (SELECT user_id, ts, sum(CASE WHEN ts - prev < INTERVAL 6 hours THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+ FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events))
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 hours AS "end", count(*) AS n FROM g GROUP BY user_id, s""")
+def events_sessions(spark, d):
+    return S.sessions(table(spark, d, "events"), "6 hours")
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events")
+def events_sequence(spark, d):
+    return S.sequenced(table(spark, d, "events")).select("event_id", "user_id", "sequence")
+
+
+@query("""SELECT event_id, round(least(greatest((0.45 * (value - floor(value)) + 0.20 * 0.5 + 0.15 * 0.4 + 0.10 + 0.10 * least(ln(1 + user_id) / 5, 1)) * power(0.5, greatest(epoch(TIMESTAMP '2024-02-01' - ts) / 86400.0, 0) / 7.0)
+ - CASE WHEN event_type = 'error' THEN 0.25 ELSE 0 END, 0), 1), 9) AS score FROM events""")
+def memory_scores(spark, d):
+    age = (F.unix_timestamp(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6) / 86400
+    score = L.memory_score(F.col("value") - F.floor("value"), F.lit(0.5), F.lit(0.4), F.lit(1.0), F.col("user_id"), L.decay(age, F.lit(7.0)), F.col("event_type") == "error")
+    return table(spark, d, "events").select("event_id", F.round(score, 9).alias("score"))
+
+
+_EDGES = "e AS (SELECT DISTINCT o_custkey AS src, o_custkey % 97 AS dst FROM orders)"
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN (SELECT src, dst FROM e UNION SELECT dst, src FROM e) e ON e.src = r.node WHERE r.depth < 3)
+SELECT node, min(depth) AS depth FROM r GROUP BY node""")
+def graph_traverse(spark, d):
+    edges = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") % 97).alias("dst"))
+    return L.traverse(edges, spark.range(1, 2).select(F.col("id").alias("node")), 3, both=True)
+
+
+@query("""SELECT user_id % 10 AS node_id, arg_max(a, (r, event_id)) AS authority, max(value) AS confidence, list_sort(list(DISTINCT event_type)) AS source_ids, arg_max(event_id, ts) AS label FROM
+ (SELECT *, ['unknown', 'inferred', 'observed', 'declared', 'verified', 'official', 'user_pinned'][(event_id % 7 + 1)::INT] AS a, event_id % 7 AS r FROM events) GROUP BY 1""")
+def graph_merge_nodes(spark, d):
+    e = table(spark, d, "events")
+    names = F.array(*map(F.lit, L.AUTHORITIES))
+    return L.merge_nodes(e.select((F.col("user_id") % 10).alias("node_id"), F.element_at(names, (F.col("event_id") % 7 + 1).cast("int")).alias("authority"), F.col("value").alias("confidence"), F.col("event_type").alias("source_id"), F.col("event_id").alias("label"), F.col("ts").alias("updated_at")))
+
+
+@query("""SELECT event_id, greatest(0, user_id % 6 - least(4, floor(greatest(epoch(TIMESTAMP '2024-01-15') - floor(epoch(ts)), 0) / 3600)))::INT AS effective FROM events""")
+def priority_aging(spark, d):
+    jobs = table(spark, d, "events").select("event_id", (F.col("user_id") % 6).cast("int").alias("priority"), F.col("ts").cast("timestamp").alias("created_at"))
+    return L.claim_order(jobs, F.lit("2024-01-15").cast("timestamp"), quantum_s=3600).select("event_id", "effective")
+
+
+@query("SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 3")
+def retention_newest(spark, d):
+    return L.newest(table(spark, d, "events"), "user_id", "event_id", 3).select("event_id", "user_id", "ts")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 50")
+def keyset_page(spark, d):
+    return R.page_after(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 100, 50)
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (WHERE n_chars < 200) AS thin, round(100.0 * count(*) FILTER (WHERE n_chars < 200) / count(*), 2) AS thin_rate, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY source")
+def thin_documents(spark, d):
+    thin = F.count_if(F.col("n_chars") < 200)
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), thin.alias("thin"), F.round(100.0 * thin / F.count("*"), 2).alias("thin_rate"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+
+
+@query("SELECT CASE WHEN html IS NULL OR trim(html) = '' THEN 'empty' WHEN strlen(html) < 1500 THEN 'thin' ELSE 'write' END AS verdict, count(*) AS n FROM pages GROUP BY 1")
+def page_verdicts(spark, d):
+    verdict = F.when(F.coalesce(F.trim("html"), F.lit("")) == "", "empty").when(F.octet_length("html") < 1500, "thin").otherwise("write")
+    return table(spark, d, "pages").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("""SELECT vec_id, len(embedding) = 64 AS dims_ok, len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS finite, count(*) OVER (PARTITION BY vec_id) = 1 AS alone FROM embeddings""")
+def validate_vectors(spark, d):
+    e = table(spark, d, "embeddings")
+    once = e.groupBy("vec_id").agg((F.count("*") == 1).alias("alone"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return e.join(once, "vec_id").select("vec_id", (F.size("embedding") == 64).alias("dims_ok"), finite.alias("finite"), "alone")
