@@ -9,13 +9,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """By prefix doubling; the end of the text sorts before everything."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    order = np.argsort(rank, kind="stable")
     k = 1
     while True:
         second = np.zeros(n, np.int64)
         second[: n - k] = rank[k:]
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.append(True, sorted_key[1:] != sorted_key[:-1]))
@@ -48,15 +47,21 @@ class WaveletMatrix:
             self.levels.append(_Bits(bits.astype(np.uint8)))
             values = np.concatenate((values[bits == 0], values[bits == 1]))
 
-    def rank(self, symbol: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
-        """How often each symbol occurs before each end, and so from the first place that the symbol could have."""
-        at = [np.zeros(len(symbol), np.int64), *ends]
+        self.first = self._path(np.arange(int(top) + 1), [np.zeros(int(top) + 1, np.int64)])[0]
+
+    def _path(self, symbol: np.ndarray, at: list[np.ndarray]) -> list[np.ndarray]:
+        at = list(at)
         for level, shift in zip(self.levels, self.shifts, strict=True):
             one = ((symbol >> shift) & 1).astype(bool)
             for k, i in enumerate(at):
                 ones = level.ones(i)
                 at[k] = np.where(one, level.zeros + ones, i - ones)
-        return [e - at[0] for e in at[1:]]
+        return at
+
+    def rank(self, symbol: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+        """How often each symbol occurs before each end."""
+        first = self.first[symbol]
+        return [e - first for e in self._path(symbol, list(ends))]
 
 
 class RangeMin:
@@ -122,8 +127,13 @@ class FMIndex:
         lane = np.flatnonzero(self.sizes >= least_length)
         first, own = self.starts[lane], self.rank_of[lane]
         end = first + self.sizes[lane]
-        left = end.copy()
-        lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), len(self.text), np.int64)
+
+        def one(end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Matches of the last symbol alone, which need no search."""
+            symbol = self.text[end - 1]
+            return end - 1, self.before[symbol], self.before[symbol + 1]
+
+        left, lo, hi = one(end)
         while len(lane):
             symbol = self.text[np.maximum(left - 1, 0)]
             a, b = self.bwt.rank(symbol, lo, hi)
@@ -139,8 +149,9 @@ class FMIndex:
                 found[lane[i]].append((int(left[i] - first[i]), int(end[i] - first[i])))
             # what could be new starts further left and so ends before
             end = np.where(stop, np.where(end - left >= least_length, left - 1 + least_length, end - 1), end)
-            left[stop], lo[stop], hi[stop] = end[stop], 0, len(self.text)
-            go = ~(stop & (end - first < least_length)) & ~(stop & (left <= first))
+            go = ~(stop & (end - first < least_length))
+            at = np.flatnonzero(stop & go)
+            left[at], lo[at], hi[at] = one(end[at])
             if not go.all():
                 lane, first, own, end, left, lo, hi = (x[go] for x in (lane, first, own, end, left, lo, hi))
         return found

@@ -15,7 +15,7 @@ from millrace.llm.fm_index import FMIndex
 from millrace.llm.shared import raw, slices, stored, text_rows
 from millrace.llm.words import run_hashes, word_hashes, words
 
-WINDOW, GRAM = 50, 8
+WINDOW, GRAM = 50, 16
 SHARD_SEGMENTS = 20_000
 #: A minimizer with more different segments than this is settled by window hashes, which need no common task.
 DENSE = 50_000
