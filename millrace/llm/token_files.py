@@ -39,16 +39,16 @@ def encode_words(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     bits = _bits(ids)
-    # widest[w][i]: ids from i on that fit w bits each; a selector can start at i if its count is reached
-    takes = np.ones(n, np.int64)
+    at = np.arange(n, dtype=np.int32)
+    ahead = lambda stops: np.minimum.accumulate(np.where(stops, at, n)[::-1])[::-1] - at  # noqa: E731  ids before the next stop
+    takes = np.ones(n, np.int32)
     selectors = np.full(n, 15, np.uint64)
     for s in range(14, 1, -1):
-        wide = np.flatnonzero(bits > WIDTHS[s])
-        to = np.append(wide, n)[np.searchsorted(wide, np.arange(n))]
-        fits = to - np.arange(n) >= COUNTS[s]
-        takes[fits], selectors[fits] = COUNTS[s], s
-    change = np.flatnonzero(np.append(ids[1:] != ids[:-1], True))
-    runs = np.minimum(change[np.searchsorted(change, np.arange(n))] - np.arange(n) + 1, (1 << 28) - 1)
+        wide = bits > WIDTHS[s]
+        if n - np.count_nonzero(wide) >= COUNTS[s]:
+            fits = ahead(wide) >= COUNTS[s]
+            takes[fits], selectors[fits] = COUNTS[s], s
+    runs = np.minimum(ahead(np.append(ids[1:] != ids[:-1], True)) + 1, (1 << 28) - 1)
     long_run = runs > np.maximum(takes, 60)
     takes[long_run], selectors[long_run] = runs[long_run], 1
     starts, at, step = [], 0, takes.tolist()
