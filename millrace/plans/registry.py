@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions import urls as U
 from millrace.operators import lifecycle as L
+from millrace.operators import reports as P
 from millrace.operators import retrieval as R
 from millrace.sources.tables import table
 from millrace.streaming import events as S
@@ -326,3 +327,50 @@ def validate_vectors(spark, d):
     once = e.groupBy("vec_id").agg((F.count("*") == 1).alias("alone"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return e.join(once, "vec_id").select("vec_id", (F.size("embedding") == 64).alias("dims_ok"), finite.alias("finite"), "alone")
+
+
+@query("""WITH k AS (SELECT source AS name, sha256(text) AS key, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL)
+SELECT name, sum(n)::BIGINT AS points, count(*) AS distinct_keys, count(*) FILTER (WHERE n > 1) AS duplicate_groups, sum(n - 1)::BIGINT AS duplicate_points,
+       round(100.0 * sum(n - 1) / sum(n), 2) AS duplicate_rate FROM k GROUP BY name""")
+def duplicate_breakdown(spark, d):
+    return P.duplicate_breakdown(table(spark, d, "documents"), F.col("source"), F.sha2("text", 256))
+
+
+@query("""SELECT count(*) AS total, count(ts) AS timed, count(*) - count(ts) AS untimed, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-13') AS stale,
+       coalesce(round(100.0 * count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-13') / nullif(count(ts), 0), 2), 0) AS stale_rate,
+       epoch(min(ts)) AS oldest, epoch(max(ts)) AS newest FROM events""")
+def stale_events(spark, d):
+    found = P.staleness(table(spark, d, "events"), F.col("ts").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"), 7)
+    seconds = {c: F.unix_micros(c) / 1e6 for c in ("oldest", "newest")}
+    return found.withColumns(seconds)
+
+
+@query("""SELECT count(*) FILTER (WHERE l IS NULL) AS added, count(*) FILTER (WHERE k IS NULL) AS removed, count(*) FILTER (WHERE k IS NOT NULL AND l IS NOT NULL) AS unchanged
+FROM (SELECT DISTINCT doc_id AS k FROM documents) FULL JOIN (SELECT DISTINCT doc_id AS l FROM labels) ON k = l""")
+def set_audit(spark, d):
+    """Labelled ids against all ids."""
+    return P.set_audit(table(spark, d, "labels"), table(spark, d, "documents"), "doc_id")
+
+
+@query("""SELECT epoch(TIMESTAMP '2024-03-01') - floor(epoch(min(ts))) AS waited_s FROM events WHERE event_type = 'click' AND user_id % 2 = 1
+HAVING count(*) > 0""")
+def starvation_probe(spark, d):
+    """Clicks pass for interactive jobs, those of odd users for queued ones; none runs."""
+    e = table(spark, d, "events")
+    priority, status = F.when(F.col("event_type") == "click", "interactive").otherwise("background"), F.when(F.col("user_id") % 2 == 1, "queued").otherwise("done")
+    jobs = e.select(priority.alias("priority"), status.alias("status"), F.col("ts").cast("timestamp").alias("created_at"))
+    return P.starved(jobs, F.lit("2024-03-01").cast("timestamp"), 60)
+
+
+@query("SELECT event_id, user_id FROM events WHERE (ts, event_id) < (TIMESTAMP '2024-01-20', 500) ORDER BY ts DESC, event_id DESC LIMIT 50")
+def history_page(spark, d):
+    cursor = (F.lit("2024-01-20").cast("timestamp"), F.lit(500))
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return P.page_before(e, "ts", "event_id", cursor, 50).select("event_id", "user_id")
+
+
+@query("SELECT lines, count(*) AS documents FROM (SELECT len(string_split(text, E'\\n')) AS lines FROM documents WHERE text IS NOT NULL) GROUP BY lines")
+def line_distribution(spark, d):
+    """How many documents have each number of lines."""
+    lines = F.size(F.split("text", "\n", -1)).alias("lines")
+    return table(spark, d, "documents").where("text IS NOT NULL").select(lines).groupBy("lines").agg(F.count("*").alias("documents"))
