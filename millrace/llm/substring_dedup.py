@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.fm_index import FMIndex
 from millrace.llm.shared import raw, slices, stored, text_rows
-from millrace.llm.words import run_hashes, word_hashes, words
+from millrace.llm.words import hash_texts, run_hashes, words
 
 WINDOW, GRAM = 50, 16
 SHARD_SEGMENTS = 20_000
@@ -56,12 +56,11 @@ def spans(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator
     """
     for batch in batches:
         for part in slices(batch, "text", 4 << 20):
-            found = [words(t) for t in raw(part.column("text"))]
-            sizes = np.array([len(w) for w in found])
+            h, sizes = hash_texts(raw(part.column("text")))
             keep = np.flatnonzero(sizes >= window)
             if not len(keep):
                 continue
-            h = np.concatenate([word_hashes(found[i]) for i in keep])
+            h = h[np.repeat(sizes >= window, sizes)]
             sizes = sizes[keep]
             first = np.cumsum(sizes) - sizes
             doc = np.repeat(np.arange(len(keep)), sizes)

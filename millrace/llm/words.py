@@ -6,22 +6,20 @@ import numpy as np
 import xxhash
 
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-MOST_WORDS = 300_000
+#: Words up to REACH bytes are hashed by a table of one 64-bit number for each place and byte, longer ones one by one.
+REACH, BLOCK = 64, 1 << 18
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembered for at most MOST_WORDS words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
+def _table() -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = np.arange(1, REACH * 256 + 1, dtype=np.uint64) * _MIX_A
+        x = (x ^ (x >> np.uint64(30))) * _MIX_B
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
-_hashes = WordHash()
+_TABLE = _table()
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def words(text: bytes) -> list[bytes]:
@@ -29,8 +27,24 @@ def words(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+def hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of each word of all texts, one after the other, and the number of words of each text."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    blank = _BLANK[data]
+    edges = np.flatnonzero(np.diff(np.append(True, blank)))
+    starts, length = edges[::2], edges[1::2] - edges[::2]
+    sizes = np.diff(np.searchsorted(starts, np.append(0, np.cumsum([len(t) + 1 for t in texts]))))
+    inside = data[~blank]
+    first = np.cumsum(length) - length
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(inside), BLOCK)), len(first)))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        lo, hi = first[i], first[j - 1] + length[j - 1]
+        place = np.arange(hi - lo) - np.repeat(first[i:j] - lo, length[i:j])
+        out[i:j] = np.add.reduceat(_TABLE[(np.minimum(place, REACH - 1) << 8) | inside[lo:hi]], first[i:j] - lo)
+    for i in np.flatnonzero(length > REACH):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + length[i]])
+    return out, sizes
 
 
 def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -48,9 +62,18 @@ def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """For each text its sorted distinct k-word shingles, A-Z lower-cased, as hashes. Fewer than k words: all as one."""
+    hashes, sizes = hash_texts([t.lower() for t in texts])
+    runs = run_hashes(hashes, k)
+    out = []
+    for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+        if n >= k or not n:
+            out.append(np.unique(runs[end - n : end - k + 1]) if n else hashes[:0])
+        else:
+            out.append(run_hashes(hashes[end - n : end], n) + np.uint64(1))
+    return out
+
+
 def shingle_set(text: bytes, k: int) -> np.ndarray:
-    """Sorted distinct k-word shingles of the ASCII-lower-cased text, as hashes. Fewer than k words: all as one."""
-    hashes = word_hashes(words(text.lower()))
-    if not len(hashes):
-        return hashes
-    return np.unique(run_hashes(hashes, min(k, len(hashes))) + np.uint64(len(hashes) < k))
+    return shingle_sets([text], k)[0]
