@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import urls as U
+from millrace.operators import jobs as J
 from millrace.operators import lifecycle as L
 from millrace.operators import reports as P
 from millrace.operators import retrieval as R
@@ -374,3 +375,82 @@ def line_distribution(spark, d):
     """How many documents have each number of lines."""
     lines = F.size(F.split("text", "\n", -1)).alias("lines")
     return table(spark, d, "documents").where("text IS NOT NULL").select(lines).groupBy("lines").agg(F.count("*").alias("documents"))
+
+
+_JOBS = "SELECT o_orderkey AS job_id, o_custkey AS watch_id, CASE WHEN o_orderkey % 301 = 0 THEN 'running' WHEN o_orderkey % 97 = 0 THEN 'queued' ELSE 'completed' END AS status FROM orders"
+
+
+@query(f"""WITH w AS (SELECT c_custkey AS watch_id, c_custkey % 200 AS source_id, c_custkey % 7 <> 0 AS enabled, 10 + c_custkey % 60 AS every_seconds, c_custkey * 100 % 7919 AS next_run_at, CASE WHEN c_custkey % 5 = 0 THEN 5000 + c_custkey % 2 * 2000 END AS lease FROM customer),
+j AS ({_JOBS}), a AS (SELECT * FROM j WHERE status <> 'completed'),
+able AS (SELECT * FROM w WHERE enabled AND every_seconds >= 30 AND next_run_at <= 6000 AND (lease IS NULL OR lease < 6000))
+SELECT source_id, next_run_at, watch_id FROM able w WHERE watch_id = (SELECT x.watch_id FROM able x WHERE x.source_id = w.source_id ORDER BY next_run_at, watch_id LIMIT 1)
+ AND source_id NOT IN (SELECT w.source_id FROM a JOIN w ON w.watch_id = a.watch_id WHERE a.job_id % 97 <> 0) AND watch_id NOT IN (SELECT watch_id FROM a WHERE job_id % 97 = 0)
+ORDER BY next_run_at, watch_id LIMIT 50""")
+def due_watches(spark, d):
+    """Customers pass for watches, orders for their jobs; every 97th job is known by its key alone."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    lease = F.when(k % 5 == 0, 5000 + k % 2 * 2000).alias("lease_expires_at")
+    watches = table(spark, d, "customer").select(k.alias("watch_id"), (k % 200).alias("source_id"), (k % 7 != 0).alias("enabled"), (10 + k % 60).alias("every_seconds"), (k * 100 % 7919).alias("next_run_at"), lease)
+    orders = table(spark, d, "orders")
+    status = F.when(o % 301 == 0, "running").when(o % 97 == 0, "queued").otherwise("completed")
+    key = F.when(o % 97 == 0, F.concat(F.lit("source-watch:"), "o_custkey", F.lit(":"), "o_orderkey"))
+    jobs = orders.select(o.alias("job_id"), status.alias("status"), key.alias("idempotency_key"))
+    runs = orders.where(o % 97 != 0).select(o.alias("job_id"), F.col("o_custkey").alias("watch_id"))
+    return J.due_watches(watches, runs, jobs, F.lit(6000), 50)
+
+
+@query("""SELECT event_id, user_id FROM events WHERE ts >= CASE WHEN user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 50) THEN TIMESTAMP '2024-01-10' ELSE TIMESTAMP '2024-01-20' END""")
+def event_retention(spark, d):
+    """Users pass for jobs; one with an error of a value above 50 has failed."""
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("timestamp"), "event_type", "value")
+    jobs = e.where("event_type = 'error' AND value > 50").select("job_id", F.lit("failed").alias("status"))
+    at = [F.lit(x).cast("timestamp") for x in ("2024-01-20", "2024-01-10")]
+    return J.events_kept(e, jobs, *at).select("event_id", F.col("job_id").alias("user_id"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag <> 'A'), b AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linestatus = 'F')
+SELECT l_orderkey AS page_id, l_partkey AS href, 'added' AS change FROM b WHERE (l_orderkey, l_partkey) NOT IN (SELECT (l_orderkey, l_partkey) FROM a)
+UNION ALL SELECT l_orderkey, l_partkey, 'removed' FROM a WHERE (l_orderkey, l_partkey) NOT IN (SELECT (l_orderkey, l_partkey) FROM b)""")
+def link_changes(spark, d):
+    """Orders pass for pages, their parts for links; the versions hold lines of other flags and states."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_partkey").alias("href"), "l_returnflag", "l_linestatus")
+    before, after = lines.where("l_returnflag <> 'A'"), lines.where("l_linestatus = 'F'")
+    return J.link_changes(before.select("page_id", "href"), after.select("page_id", "href"))
+
+
+@query("SELECT doc_id, 1 AS generation FROM documents UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def generation_carry(spark, d):
+    """Labelled documents did not change: they are carried into the second generation."""
+    points = table(spark, d, "documents").select("doc_id", F.lit(1).cast("long").alias("generation"))
+    return J.carried(points, table(spark, d, "labels"), "doc_id", 2)
+
+
+@query("""SELECT user_id, ['public', 'derived', 'internal', 'redacted', 'sensitive'][(max(event_id % 5) + 1)::INT] AS visibility, max(value) AS confidence FROM events GROUP BY user_id""")
+def memory_compaction(spark, d):
+    """Every user's events become one record: the greatest confidence, the most restrictive visibility."""
+    names = F.array(*map(F.lit, J.VISIBILITIES))
+    e = table(spark, d, "events").select("user_id", "value", F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("visibility"))
+    return e.groupBy("user_id").agg(J.most_restrictive(F.col("visibility")).alias("visibility"), F.max("value").alias("confidence"))
+
+
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r > 3 AND o_orderstatus <> 'O'""")
+def generations_prunable(spark, d):
+    """Orders pass for generations of their customer; an open one is current."""
+    g = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "O").alias("current"))
+    return J.prunable(g, "o_custkey", "o_orderkey", "current", 3).select("o_custkey", "o_orderkey")
+
+
+@query("""WITH c AS (SELECT DISTINCT doc_id AS k FROM documents), v AS (SELECT vec_id AS k, count(*) AS n, max(len(embedding)) AS most, min(len(embedding)) AS least FROM embeddings GROUP BY vec_id)
+SELECT coalesce(c.k, v.k) AS chunk_id, CASE WHEN v.k IS NULL THEN 'missing' WHEN c.k IS NULL THEN 'unexpected' WHEN n > 1 THEN 'duplicate' WHEN most <> 64 OR least <> 64 THEN 'wrong_dimension' ELSE 'ok' END AS verdict FROM c FULL JOIN v ON c.k = v.k""")
+def embedding_audit(spark, d):
+    """Documents pass for chunks; vectors are theirs by id."""
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return J.embedding_audit(chunks, vectors, "chunk_id", "embedding", 64)
+
+
+@query("""SELECT conv_id, md5(trim(string_agg(text, E'\\n' ORDER BY CASE WHEN turn % 4 = 3 THEN 1 ELSE 0 END, CASE WHEN turn % 4 <> 3 THEN turn END, text))) AS rendered FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
+def document_render(spark, d):
+    """Turns pass for chunks; every fourth has no index and comes last."""
+    c = table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 4 != 3, F.col("turn")).alias("at"), "text")
+    return J.rendered(c, "conv_id", "at", "text").select("conv_id", F.md5("text").alias("rendered"))
