@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
+
+#: Points and queries of one task of a search, on average; cells of a matrix that it holds at a time.
+POINT_SHARD, LEAST_SHARDS, QUERY_BLOCK, CELLS = 20_000, 12, 5_000, 4_000_000
+#: So many of the buckets that most pairs share are multiplied as a matrix, the others by their lists.
+COMMON = 1024
 
 
 def matches(column: Column, value: object) -> Column:
@@ -45,22 +54,137 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def dense_topk(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of the k points of the greatest inner product, for a stated set of few queries.
+def _topk(points: DataFrame, queries: DataFrame, k: int, best: Callable, sizes: tuple[int, int]) -> DataFrame:
+    """(query_id, id, score, rank): every block of queries meets every shard of points in a task, which sends on k rows a query.
 
-    queries (query_id, q) are sent to the points; the group limit of the window keeps k rows a query in each task.
+    best(points, queries, place) gives (row of queries, rows of points, scores) of each query's k best; place is the order of ids.
     """
-    scored = points.join(F.broadcast(queries)).select("query_id", "id", dot("v", "q").alias("score"))
+    shards, blocks = max(LEAST_SHARDS, -(-sizes[0] // POINT_SHARD)), -(-sizes[1] // QUERY_BLOCK) or 1
+    left = points.withColumn("shard", F.pmod(F.xxhash64(*points.columns), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    shape = S.StructType([S.StructField("query_id", queries.schema["query_id"].dataType), S.StructField("id", points.schema["id"].dataType), S.StructField("score", S.DoubleType())])
+
+    def scan(p: pa.Table, q: pa.Table) -> pa.Table:
+        place = np.empty(p.num_rows, np.int64)
+        place[pc.array_sort_indices(p["id"].combine_chunks(), null_placement="at_start").to_numpy()] = np.arange(p.num_rows)
+        found = list(best(p, q, place)) if p.num_rows and q.num_rows else []
+        asked = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+        rows = np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+        scores = pa.array([x for f in found for x in f[2]], pa.float64())
+        return pa.table([q["query_id"].take(pa.array(asked)), p["id"].take(pa.array(rows)), scores], names=["query_id", "id", "score"])
+
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(scan, shape)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def sparse_topk(weights: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): sums of products of weights (id, bucket, weight) and query (query_id, bucket, weight)."""
-    q = query.withColumnRenamed("weight", "q_weight")
-    scored = weights.join(q, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Lengths (-1 for null), first positions and values of a column of lists."""
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy().astype(np.int64)
+    held = np.maximum(lengths, 0)
+    return lengths, np.cumsum(held) - held, pc.list_flatten(column).combine_chunks()
+
+
+def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrix of the vectors of each length; a vector that is null or holds a null is in none."""
+    lengths, starts, values = _flat(column)
+    null = values.is_null().to_numpy(zero_copy_only=False)
+    numbers, out = pc.fill_null(values.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False), {}
+    for n in np.unique(lengths[lengths >= 0]):
+        rows = np.flatnonzero(lengths == n)
+        at = starts[rows][:, None] + np.arange(n)
+        whole = ~null[at].any(1)
+        out[int(n)] = rows[whole], numbers[at[whole]]
+    return out
+
+
+def dense_topk(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) of the k points (id, v) of the greatest inner product with each of queries (query_id, q).
+
+    Scores are sums in order of the components, as in dot(), so equal vectors tie. Null scores come last.
+    """
+
+    def best(p: pa.Table, q: pa.Table, place: np.ndarray) -> Iterator[tuple]:
+        points, left = _by_length(p["v"]), set(range(q.num_rows))
+        asked = _by_length(q["q"])
+        for n, (rows, y) in asked.items():
+            own, x = points.get(n, (np.zeros(0, np.int64), np.zeros((0, n))))
+            rest = np.setdiff1d(np.arange(len(place)), own, assume_unique=True)
+            rest = rest[np.argsort(place[rest])][:k]
+            left -= set(rows.tolist())
+            step, longest = max(1, CELLS // max(len(own), 1)), np.sqrt((x**2).sum(1)).max(initial=0.0)
+            for at in range(0, len(rows), step):
+                part = y[at : at + step]
+                near = part @ x.T
+                near[np.isnan(near)] = np.inf
+                for row, v, s in zip(rows[at : at + step], part, near, strict=True):
+                    hits, exact = np.zeros(0, np.int64), np.zeros(0)
+                    if m := min(k, len(s)):
+                        slack = 1e-14 * n * longest * np.sqrt(v @ v)
+                        least = np.partition(s, len(s) - m)[len(s) - m]
+                        hits = np.flatnonzero(s >= (least - slack if np.isfinite(least) and np.isfinite(slack) else least if np.isfinite(slack) else -np.inf))
+                        exact = np.cumsum(x[hits] * v, axis=1)[:, -1] if n else np.zeros(len(hits))
+                        order = np.lexsort((place[own[hits]], -exact, ~np.isnan(exact)))[:k]
+                        hits, exact = own[hits[order]], exact[order]
+                    more = rest[: k - len(hits)]
+                    yield row, np.concatenate((hits, more)), [*exact.tolist(), *[None] * len(more)]
+        every = np.argsort(place)[:k]
+        for row in sorted(left):
+            yield row, every, [None] * len(every)
+
+    return _topk(points.select("id", "v"), queries.select("query_id", "q"), k, best, (points.count(), queries.count()))
+
+
+def sparse_topk(weights: DataFrame, query: DataFrame, k: int, sizes: tuple[int, int] | None = None, digits: int = 6) -> DataFrame:
+    """(query_id, id, score, rank): sums of products of weights (id, bucket, weight) and query (query_id, bucket, weight).
+
+    Weights are above zero; each id has a bucket once. The sums are taken in any order, so they are rounded before they
+    are ranked. sizes: how many ids and query_ids there are at most, counted where not given.
+    """
+
+    def listed(df: DataFrame, key: str) -> DataFrame:
+        return df.groupBy(key).agg(F.collect_list(F.struct("bucket", "weight")).alias("e")).select(key, F.col("e.bucket").alias("b"), F.col("e.weight").alias("w"))
+
+    def cells(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths, _, b = _flat(t["b"])
+        return np.repeat(np.arange(len(lengths)), lengths), b.to_numpy(), _flat(t["w"])[2].to_numpy()
+
+    def best(p: pa.Table, q: pa.Table, place: np.ndarray) -> Iterator[tuple]:
+        n, m, (row, b, w), (q_row, q_b, q_w) = p.num_rows, q.num_rows, cells(p), cells(q)
+        both = np.intersect1d(b, q_b)
+        kept, q_kept = np.isin(b, both), np.isin(q_b, both)
+        row, w, q_row, q_w = row[kept], w[kept], q_row[q_kept], q_w[q_kept]
+        code, q_code = np.searchsorted(both, b[kept]), np.searchsorted(both, q_b[q_kept])
+        pairs = np.bincount(code, minlength=len(both)) * np.bincount(q_code, minlength=len(both))
+        by_pairs = np.empty(len(both), np.int64)
+        by_pairs[np.argsort(-pairs, kind="stable")] = np.arange(len(both))
+        code, q_code = by_pairs[code], by_pairs[q_code]
+        known = np.zeros((n, min(COMMON, len(both))))
+        known[row[code < COMMON], code[code < COMMON]] = w[code < COMMON]
+        listed = np.argsort(code, kind="stable")
+        starts = np.searchsorted(code[listed], np.arange(len(both) + 1))
+        row, w, step = row[listed], w[listed], max(1, CELLS // n)
+        for at in range(0, m, step):
+            size = min(step, m - at)
+            own = slice(*np.searchsorted(q_row, (at, at + size)))
+            r, c, x = q_row[own] - at, q_code[own], q_w[own]
+            asked = np.zeros((size, known.shape[1]))
+            asked[r[c < COMMON], c[c < COMMON]] = x[c < COMMON]
+            scores = (asked @ known.T).ravel()
+            r, c, x = r[c >= COMMON], c[c >= COMMON], x[c >= COMMON]
+            count = starts[c + 1] - starts[c]
+            for part in np.split(np.arange(len(c)), np.flatnonzero(np.diff(np.cumsum(count) // CELLS)) + 1):
+                k_ = count[part]
+                of = np.arange(k_.sum()) + np.repeat(starts[c[part]] - np.cumsum(k_) + k_, k_)
+                scores += np.bincount(np.repeat(r[part] * n, k_) + row[of], weights=np.repeat(x[part], k_) * w[of], minlength=len(scores))
+            for i, s in enumerate(scores.reshape(size, n)):
+                s, met = np.round(s, digits), s > 0
+                hits = np.flatnonzero((s >= np.partition(s, n - min(k, n))[n - min(k, n)]) & met)
+                hits = hits[np.lexsort((place[hits], -s[hits]))][:k]
+                yield at + i, hits, s[hits].tolist()
+
+    sizes = sizes or (weights.select("id").distinct().count(), query.select("query_id").distinct().count())
+    return _topk(listed(weights, "id"), listed(query, "query_id"), k, best, sizes)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int, constant: int = 60) -> DataFrame:

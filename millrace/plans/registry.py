@@ -40,13 +40,18 @@ def _points(spark, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-def _asked(spark, d: str) -> DataFrame:
-    """The stated query set: the five vectors of the smallest ids."""
-    return _points(spark, d).where("id < 5").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+def _asked(spark, d: str, which: str = "id < 5") -> DataFrame:
+    """The query set that the SQL states: the five vectors of the smallest ids."""
+    return _points(spark, d).where(which).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+
+
+#: The query set of a whole search: every row whose id is divisible by 20.
+_EVERY = "id % 20 = 0"
 
 
 _DOT = "list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: p.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE))"
 _DENSE = f"SELECT q.vec_id AS query_id, p.vec_id AS id, {_DOT} AS score FROM embeddings p, embeddings q WHERE q.vec_id < 5"
+_DENSE_WHOLE = f"SELECT q.vec_id AS query_id, p.vec_id AS id, {_DOT} AS score FROM embeddings p, embeddings q WHERE q.vec_id % 20 = 0"
 _URL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '')"
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
@@ -68,6 +73,22 @@ def retrieval_exclude_after_topk(spark, d):
     return hits.join(_points(spark, d).select("id", "label"), "id").where(~F.col("label").isin(2) | F.col("label").isNull()).select("query_id", "id", "rank")
 
 
+@query(f"SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DENSE_WHOLE})) WHERE rank <= 10")
+def retrieval_dense_topk_whole(spark, d):
+    return R.dense_topk(_points(spark, d), _asked(spark, d, _EVERY), 10).withColumn("score", F.round("score", 9))
+
+
+@query(f"SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DENSE_WHOLE} AND p.label IN (1, 3))) WHERE rank <= 10")
+def retrieval_filtered_topk_whole(spark, d):
+    return R.dense_topk(R.matching(_points(spark, d), {"label": [1, 3]}), _asked(spark, d, _EVERY), 10).withColumn("score", F.round("score", 9))
+
+
+@query(f"SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DENSE_WHOLE.replace('AS id,', 'AS id, p.label,')})) WHERE rank <= 10 AND (label NOT IN (2) OR label IS NULL)")
+def retrieval_exclude_after_topk_whole(spark, d):
+    hits = R.dense_topk(_points(spark, d), _asked(spark, d, _EVERY), 10)
+    return hits.join(_points(spark, d).select("id", "label"), "id").where(~F.col("label").isin(2) | F.col("label").isNull()).select("query_id", "id", "rank")
+
+
 _TERMS = f"""
 t AS (SELECT doc_id, lower(term) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS term FROM documents) WHERE len(term) >= 3),
 u AS (SELECT doc_id, term, count(*) AS n FROM t WHERE term NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)}) GROUP BY ALL),
@@ -84,9 +105,14 @@ _SPARSE = """, q AS (SELECT doc_id AS query_id, bucket, weight FROM w WHERE doc_
 s AS (SELECT query_id, w.doc_id AS id, sum(w.weight * q.weight) AS score FROM w JOIN q USING (bucket) GROUP BY ALL)"""
 
 
-def _sparse(spark, d):
+def _sparse(spark, d, which="id < 3"):
     w = T.term_weights(table(spark, d, "documents")).withColumnRenamed("doc_id", "id")
-    return w, w.where("id < 3").select(F.col("id").alias("query_id"), "bucket", "weight")
+    return w, w.where(which).select(F.col("id").alias("query_id"), "bucket", "weight")
+
+
+def _sparse_whole(spark, d, k):
+    ids = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    return R.sparse_topk(*_sparse(spark, d, _EVERY), k, (ids.count(), ids.where(_EVERY).count()))
 
 
 @query(f"WITH {_TERMS}{_SPARSE} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s) WHERE rank <= 10")
@@ -96,11 +122,19 @@ def retrieval_sparse_topk(spark, d):
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 10")
 
 
+_SPARSE_WHOLE = """, q AS (SELECT doc_id AS query_id, bucket, weight FROM w WHERE doc_id % 20 = 0),
+s AS (SELECT query_id, w.doc_id AS id, sum(w.weight * q.weight) AS score FROM w JOIN q USING (bucket) GROUP BY ALL)"""
+
+
+@query(f"WITH {_TERMS}{_SPARSE_WHOLE} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s) WHERE rank <= 10")
+def retrieval_sparse_topk_whole(spark, d):
+    return _sparse_whole(spark, d, 10)
+
+
 @query()
 def retrieval_hybrid_rrf(spark, d):
     """Dense and sparse rankings of a hundred each, fused by reciprocal ranks; ids of both tables are taken as the same."""
-    w, q = _sparse(spark, d)
-    return R.fuse(R.dense_topk(_points(spark, d), _asked(spark, d), 100), R.sparse_topk(w, q, 100), 10)
+    return R.fuse(R.dense_topk(_points(spark, d), _asked(spark, d, _EVERY), 100), _sparse_whole(spark, d, 100), 10)
 
 
 @query("""WITH h AS (SELECT lang AS query_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents),
