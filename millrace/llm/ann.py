@@ -19,7 +19,7 @@ MOST_LISTS = 4096
 #: Boundary vectors go to every list whose centroid is nearly as near as the nearest, this many at most.
 CLOSURE, REPLICAS, ASSIGN_WIDTH = 1.15, 4, 64
 #: A query reads the lists whose centroid is within this ratio of the nearest centroid's distance.
-#: The LEAST nearest lists are always read.
+#: The LEAST nearest lists are always read, and more until they hold as many items as a result needs.
 RATIO, WIDTH, LEAST = 1.6, 256, 8
 SHARD_VECTORS, QUERY_BLOCK = 50_000, 10_000
 
@@ -120,6 +120,20 @@ def _lifted(x: np.ndarray, reach: float) -> np.ndarray:
     return np.concatenate((x, np.sqrt(np.maximum(reach * reach - (x**2).sum(1), 0))[:, None]), axis=1)
 
 
+def _level(q: np.ndarray, reach: float) -> np.ndarray:
+    """Queries beside lifted vectors: the extra component is zero, the norm is `reach`, as a query's own norm orders nothing."""
+    return np.concatenate((q * (reach / np.sqrt((q**2).sum(1)))[:, None], np.zeros((len(q), 1))), axis=1)
+
+
+def _read(found: np.ndarray, d: np.ndarray, sizes: np.ndarray, keep: int, ratio: float) -> list[list[int]]:
+    """The lists that each query reads of those found: all where they hold fewer than `keep` items."""
+    near = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-12
+    near[:, :LEAST] = True
+    held = np.cumsum(sizes[found], axis=1)
+    near |= held - sizes[found] < keep
+    return [f[m].tolist() if n >= keep else list(range(len(sizes))) for f, m, n in zip(found, near, held[:, -1], strict=True)]
+
+
 def build(vectors: DataFrame, k: int, sample: int = SAMPLE) -> PostingIndex:
     """An index for searches of up to k neighbours among vectors, a result of usable().
 
@@ -163,15 +177,17 @@ def search(index: PostingIndex, queries: DataFrame, k: int, width: int = WIDTH,
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                found, d = graph.search(_lifted(np.array(part.column("v").to_pylist(), float), reach), width)
-                near = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-12
-                near[:, :LEAST] = True
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("v"), pa.array([f[m].tolist() for f, m in zip(found, near, strict=True)], pa.list_(pa.int32()))], names=["rep", "v", "lists"])
+                found, d = graph.search(_level(np.array(part.column("v").to_pylist(), float), reach), width)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("v"), pa.array(_read(found, d, sizes, keep, ratio), pa.list_(pa.int32()))], names=["rep", "v", "lists"])
 
     shape = "rep long, v array<double>, lists array<int>"
     shards = max(16, -(-index.n_items * REPLICAS // SHARD_VECTORS))
     # a posting lies in the shard of its id, so every list is spread evenly, however long it is
-    postings = index.items.mapInArrow(assign, shape).select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), "rep", "v", "lists")
+    posted = stored(index.items.mapInArrow(assign, shape), "ann-postings")
+    sizes = np.zeros(len(graph.centroids), np.int64)  # an item counts in its nearest list alone, so lists together hold no fewer
+    for row in posted.groupBy(F.col("lists")[0].alias("list")).count().collect():
+        sizes[row["list"]] = row["count"]
+    postings = posted.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), "rep", "v", "lists")
     by_vector = queries.select(F.col("vec_id").alias("query_id"), "v")
     asked = stored(by_vector.groupBy("v").agg(F.min("query_id").alias("rep")), "ann-queries")
     blocks = -(-asked.count() // QUERY_BLOCK) or 1

@@ -136,6 +136,32 @@ def test_nearest(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def _recall(spark, x, k=20, every=20):
+    out = ann.nearest(spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>"), k, every).collect()
+    asked = list(range(0, len(x), every))
+    hits = 0
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({r["vec_id"] for r in out if r["query_id"] == q} & set(np.argsort(-s, kind="stable")[:k].tolist()))
+    return hits / sum(min(k, len(x) - 1) for _ in asked), len(out)
+
+
+def test_nearest_of_different_norms(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 16))
+    x *= np.exp(rng.normal(0, 1.2, (4000, 1))) / np.sqrt((x**2).sum(1, keepdims=True))
+    assert _recall(spark, x)[0] >= 0.95
+
+
+@pytest.mark.parametrize("n", [20, 22, 30, 40])
+def test_nearest_of_few(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 8))
+    recall, rows = _recall(spark, x)
+    assert rows == len(range(0, n, 20)) * min(20, n - 1)
+    assert recall >= 0.9
+
+
 def test_html_field_on_pages_kept_apart():
     model = html_text.trained()
     wrong = total = 0
