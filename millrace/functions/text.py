@@ -80,10 +80,59 @@ def has_secret(text: Column) -> Column:
     )
 
 
+#: Fixed values of the reference's detectors: what marks a secret in lower-cased text, and how bare tokens begin.
+SECRET_FRAGMENTS = ["authorization:", "proxy-authorization:", "bearer ", "cookie:", "set-cookie:", "api_key=", "apikey=", "api-key:", "x-api-key:", "access_token=", "refresh_token=", "secret_key=", "token=", "adapter_response"]
+BARE_PREFIXES = ["sk-proj-", "github_pat_", "sk-", "sk_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxb-", "xoxp-", "glpat-"]
+
+
+def cookie_string(text: Column) -> Column:
+    """Two or more segments between semicolons, each key=value or a flag, with a value of 16 bytes or more."""
+    parts = F.filter(F.transform(F.split(text, ";"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    pair, size = r"(?U)^[A-Za-z0-9_-]+=\S+\z", lambda s: F.octet_length(F.regexp_replace(s, "^[^=]*=", ""))
+    shaped = F.forall(parts, lambda s: s.rlike(pair) | s.rlike(r"^[A-Za-z0-9]+\z"))
+    return text.contains(";") & text.contains("=") & (F.size(parts) >= 2) & shaped & F.exists(parts, lambda s: s.contains("=") & (size(s) >= 16))
+
+
+def contains_secret(text: Column) -> Column:
+    """Whether text has a secret by the reference's detectors: fragments, a dotenv line, a bare token of 20 characters
+    after its prefix, a private key block, an address with user and password, or a cookie string."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = F.lit(False)
+    for fragment in SECRET_FRAGMENTS:
+        found |= lower.contains(fragment)
+    return (
+        found
+        | text.rlike(r"(?Udm)^[^\S\n]*[A-Z_][A-Z0-9_]*[^\S\n]*=[^\S\n]*\S")
+        | text.rlike(f"(?<![A-Za-z0-9_-])(?:{'|'.join(BARE_PREFIXES)})[A-Za-z0-9_-]{{20}}")
+        | text.rlike("-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
+        | text.rlike(r"(?U)[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@]+:[^\s/@]+@[^\s/]+")
+        | cookie_string(text)
+    )
+
+
+#: Shapes that are redacted whatever their entropy. A marker's run is entered at its start or after the last match alone,
+#: where a match from the left would begin, so long runs without a marker are read once.
+STRUCTURED = r"""(?xU)
+  AIza[0-9A-Za-z_\-]{35}
+| ya29\.[\w\-]+
+| \bsk-[A-Za-z0-9][A-Za-z0-9_\-]*
+| \bgh[pousr]_[A-Za-z0-9]+
+| \batk_[A-Za-z0-9_\-]+
+| (?i:authorization)[:=][\ \t]*(?:(?i:bearer|basic|token)[\ \t]+)?\S*
+| (?:(?<!\S)|\G)\S*(?i:API_KEY|TOKEN|SECRET)[:=]\S*
+"""
+RUN, LEAST_ENTROPY = "[A-Za-z0-9_-]", 3.0
+
+
 def redact(text: Column) -> Column:
-    """Keys of services, passwords in addresses and bearer tokens replaced by [REDACTED]."""
+    """Secrets replaced by [REDACTED]: structured shapes, then runs of 32 or more characters with 3 bits of entropy each,
+    then keys of further services, passwords in addresses and bearer tokens."""
+    out = F.regexp_replace(text, STRUCTURED, "[REDACTED]")
+    pieces = F.split(out, f"(?<!{RUN})(?={RUN}{{32}})|(?<={RUN}{{32}})(?!{RUN})")
+    hide = lambda p: F.when(p.rlike(rf"^{RUN}{{32,}}\z") & (entropy(p) >= LEAST_ENTROPY), F.lit("[REDACTED]")).otherwise(p)
+    out = F.when(out.rlike(f"{RUN}{{32}}"), F.array_join(F.transform(pieces, hide), "")).otherwise(out)
     prefix = "|".join(sorted(TOKEN_PREFIXES, key=len, reverse=True))
-    out = F.regexp_replace(text, f"(?<![A-Za-z0-9_-])(?:{prefix})[A-Za-z0-9_-]{{16,}}", "[REDACTED]")
+    out = F.regexp_replace(out, f"(?<![A-Za-z0-9_-])(?:{prefix})[A-Za-z0-9_-]{{16,}}", "[REDACTED]")
     out = F.regexp_replace(out, r"([A-Za-z][A-Za-z0-9+.-]*://)[^\s/:@]+:[^\s/@]+@", "$1[REDACTED]@")
     return F.regexp_replace(out, r"(?i)\b(bearer\s+)[A-Za-z0-9._-]{16,}", "$1[REDACTED]")
 

@@ -184,6 +184,13 @@ def url_junk_and_first(spark, d):
     return p.where(F.length("url").isNotNull() & (F.col("url").contains("&amp;") | (F.length("url") > 2048))).select("url").union(p.agg(F.min("url").alias("url"))).distinct()
 
 
+@query(f"""SELECT url FROM pages WHERE length(url) > 2048 OR contains(url, '&amp;') OR regexp_matches(lower({_PATH}), '%3c|%3e|%7b|%7d')
+ OR length(url) - length(replace(url, '%20', '')) >= 9 OR contains(url, '''%20') OR contains(url, '%20''') UNION SELECT min(url) FROM pages""")
+def url_junk_and_first_whole(spark, d):
+    p = table(spark, d, "pages")
+    return p.where(U.junk(F.col("url"))).select("url").union(p.agg(F.min("url").alias("url"))).distinct()
+
+
 @query("""WITH a AS (SELECT doc_id, md5(text) AS h, n_chars FROM documents WHERE doc_id % 7 <> 0),
 b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN md5(text || 'x') ELSE md5(text) END AS h, n_chars FROM documents WHERE doc_id % 11 <> 0)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed'
@@ -248,6 +255,19 @@ def secret_detection(spark, d):
     return table(spark, d, "documents").select("doc_id", T.has_secret(F.col("text")).alias("secret"))
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PARTS = r"list_filter(list_transform(string_split(text, ';'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+
+
+@query(rf"""SELECT doc_id, {' OR '.join(f"contains({_LOWER}, '{x}')" for x in T.SECRET_FRAGMENTS)}
+ OR regexp_matches(text, '(?m)^[^\S\n]*[A-Z_][A-Z0-9_]*[^\S\n]*=[^\S\n]*\S') OR regexp_matches(text, '(?:^|[^A-Za-z0-9_-])(?:{'|'.join(T.BARE_PREFIXES)})[A-Za-z0-9_-]{{20}}')
+ OR regexp_matches(text, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----') OR regexp_matches(text, '[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@[^\s/]+')
+ OR (len({_PARTS}) >= 2 AND len(list_filter({_PARTS}, lambda s: NOT regexp_matches(s, '^([A-Za-z0-9_-]+=\S+|[A-Za-z0-9]+)$'))) = 0
+  AND len(list_filter({_PARTS}, lambda s: contains(s, '=') AND strlen(regexp_replace(s, '^[^=]*=', '')) >= 16)) > 0) AS secret FROM documents""")
+def secret_detection_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.contains_secret(F.col("text")).alias("secret"))
+
+
 @query()
 def secret_redaction(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"), (T.redact(F.col("text")) != F.col("text")).alias("changed"))

@@ -3,6 +3,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from millrace.functions import sitemaps as M
+from millrace.functions import text as T
 from millrace.operators import reports as P
 
 
@@ -47,3 +48,37 @@ def test_reports_of_nothing(spark):
     assert P.duplicate_breakdown(none, F.col("k"), F.col("k")).count() == 0
     assert tuple(P.staleness(none, F.col("at"), F.current_timestamp(), 1).first()) == (0, 0, 0, 0, 0.0, None, None)
     assert tuple(P.set_audit(none, none, "k").first()) == (0, 0, 0)
+
+
+def test_redact(spark):
+    run, dull = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6", "x" * 40
+    for text, want in (
+        (f"id {run}, {dull} end", f"id [REDACTED], {dull} end"),
+        (f"{dull}{dull}\n{run}-{run}\n", f"{dull}{dull}\n[REDACTED]\n"),
+        ("ab" * 40 + " " + run[:31], "ab" * 40 + " " + run[:31]),
+        ("12345678" * 4 + " " + "1234567" * 5, "[REDACTED] " + "1234567" * 5),
+        ("ya29.a-b atk_x ghu_1 ghr_2 sk-1 task-force", "[REDACTED] [REDACTED] [REDACTED] [REDACTED] [REDACTED] task-force"),
+        ("Authorization: Basic dXNlcg== rest", "[REDACTED] rest"),
+        ("authorization=abc\nAuthorization:\nnext", "[REDACTED]\n[REDACTED]\nnext"),
+        ("a MY_TOKEN=x1 b?api_key:2 ghp_ab.SECRET=q", "a [REDACTED] [REDACTED] [REDACTED][REDACTED]"),
+        ("no-gap sk-ab.TOKEN=1", "no-gap [REDACTED][REDACTED]"),
+        ("(ya29.x)TOKEN=1 AIza" + "b" * 35 + "c", "[REDACTED] [REDACTED]c"),
+        ("http://u:p@h/ hf_abcdefghijklmnop", "http://[REDACTED]@h/ [REDACTED]"),
+        ("", ""),
+        (None, None),
+    ):
+        assert one(spark, T.redact(F.col("v")), text) == want, text
+
+
+def test_contains_secret(spark):
+    token = "a" * 20
+    for text, want in (
+        ("a Bearer x", True), ("X-Api-Key: 1", True), ("?token=1", True), ("adapter_Response", True), ("bearer\nof news", False),
+        (f"(sk_{token})", True), (f"sk-{token[1:]}", False), (f"task-{token} xsk-{token}", False), (f"sk-proj-{token} ", True), (f"ghu_{token}", True),
+        ("x\n A_B = 1", True), ("A_B =\n1", False), ("Ab=1", False),
+        ("-----BEGIN RSA PRIVATE KEY-----", True), ("-----BEGIN x PRIVATE KEY-----", False),
+        ("s://u:p@h", True), ("s://u:p@ h", False), ("s://u@h:1", False),
+        ("sid=0123456789abcdef; HttpOnly", True), ("sid=0123456789abcde; HttpOnly", False), ("sid=0123456789abcdef;", False), ("sid=0123456789abcdef; no flag", False), ("sid=0123456789abcdef; a.b", False),
+        ("", False), (None, None),
+    ):
+        assert one(spark, T.contains_secret(F.col("v")), text) is want, text
