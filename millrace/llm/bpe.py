@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -16,6 +20,7 @@ from millrace.llm.shared import raw, slices, text_rows
 from millrace.llm.tokens import BPE_RANKS, default_path, units
 
 MOST_UNITS, MOST_PAIRS = 300_000, 500_000
+_NONE = 1 << 60
 SCHEMA = "doc_id long, ids binary, decoded binary"
 
 
@@ -28,7 +33,12 @@ class PrefixBPE:
         self.longest = max(map(len, ranks), default=1)
         self.pattern = regex.compile(pattern)
         self.valid: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.places = ahocorasick.Automaton()  # finds the tokens that end at each byte, the longest first
+        for data, rank in ranks.items():
+            self.places.add_word(data.decode("latin-1"), (rank, len(data)))
+        if ranks:
+            self.places.make_automaton()
 
     @classmethod
     def load(cls, path: str) -> PrefixBPE:
@@ -37,12 +47,17 @@ class PrefixBPE:
 
     def merge(self, data: bytes) -> list[int]:
         """The plain definition: join the neighbours of the lowest rank until none can be joined."""
+        get = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
+        joined = [get(data[i : i + 2], _NONE) for i in range(len(data) - 1)]
+        while joined and (rank := min(joined)) != _NONE:
+            at = joined.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joined[at]
+            if at:
+                joined[at - 1] = get(parts[at - 1] + parts[at], _NONE)
+            if at < len(joined):
+                joined[at] = get(parts[at] + parts[at + 1], _NONE)
         return [self.ranks[p] for p in parts]
 
     def is_valid(self, token: int) -> bool:
@@ -52,13 +67,46 @@ class PrefixBPE:
         return known
 
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the bytes of both, joined, are encoded as these two tokens."""
-        if (known := self.pairs.get((left, right))) is None:
+        """Whether right is valid and the bytes of both, joined, are encoded as these two tokens."""
+        key = left << 32 | right
+        if (known := self.pairs.get(key)) is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self.pairs[key] = self.is_valid(right) and self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
+    def extend(self, last: list[int], data: bytes) -> None:
+        """Fill last, which ends at some prefix of data, up to all of data: last[i] is the last token of its first i bytes."""
+        done = len(last) - 1
+        begin = max(0, done + 1 - self.longest)
+        pairs, see = self.pairs.get, self.may_follow
+        for at, (token, n) in self.places.iter(data[begin:].decode("latin-1")):
+            end = begin + at + 1
+            if end <= done or end < n:
+                continue
+            if end > done + 1:
+                break
+            if end == n:
+                fits = self.is_valid(token)
+            else:
+                left = last[end - n]
+                if (fits := pairs(left << 32 | token)) is None:
+                    fits = see(left, token)
+            if fits:
+                last.append(token)
+                done = end
+        if done < len(data):
+            raise ValueError(f"byte {data[done]} is in no token")
+
+    def split(self, last: list[int]) -> list[int]:
+        """The tokens, from the last token of each prefix."""
+        out, end = [], len(last) - 1
+        while end:
+            token = last[end]
+            out.append(token)
+            end -= len(self.bytes_of[token])
+        return out[::-1]
+
 
 class PrefixTable:
     """last[i] is the last token of the encoding of the first i bytes: appends and cuts leave the rest as it is."""
@@ -68,72 +116,78 @@ class PrefixTable:
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        bpe, last = self.bpe, self.last
-        ranks, width, valid, follows = bpe.ranks, bpe.longest, bpe.is_valid, bpe.may_follow
-        self.data = data = self.data + more
-        for end in range(len(last), len(data) + 1):
-            for start in range(max(0, end - width), end):
-                token = ranks.get(data[start:end])
-                if token is not None and (valid(token) if start == 0 else follows(last[start], token) and valid(token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"byte {data[end - 1]} is in no token")
+        self.data += more
+        self.bpe.extend(self.last, self.data)
 
     def cut(self, length: int) -> None:
         """Back to the first `length` bytes."""
         self.data, self.last = self.data[:length], self.last[: length + 1]
 
     def edit(self, start: int, end: int, new: bytes) -> None:
-        """Replace data[start:end]; only what follows start is looked at again."""
-        rest = self.data[end:]
+        """Replace data[start:end]. Looks anew at what follows start, up to where as many last tokens as a token has bytes
+        at most are as they were: those after them depend on nothing else."""
+        reach, old, rest = self.bpe.longest, self.last, self.data[end:]
         self.cut(start)
-        self.append(new + rest)
+        self.append(new)
+        at = 0  # bytes of rest that are done
+        while at < len(rest):
+            self.append(rest[at : at + reach])
+            at = min(len(rest), at + reach)
+            if at >= reach and self.last[-reach:] == old[end + at + 1 - reach : end + at + 1]:
+                self.data, self.last = self.data + rest[at:], self.last + old[end + at + 1 :]
+                return
 
     def tokens(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end])
-            end -= len(self.bpe.bytes_of[self.last[end]])
-        return out[::-1]
+        return self.bpe.split(self.last)
 
 
 class EditableText:
-    """An encoded text that takes edits: pre-tokens that an edit leaves alone keep their tables."""
+    """An encoded text that takes edits: pre-tokens that an edit leaves alone keep their tables, and are not read again."""
+
+    #: A pre-token may depend on what follows it as far as white space goes, which makes no more than so many pre-tokens.
+    BACK = 3
 
     def __init__(self, bpe: PrefixBPE, text: str = ""):
-        self.bpe, self.parts, self.tables = bpe, [], []
-        self._set(bpe.pattern.findall(text))
-
-    def _set(self, parts: list[str]) -> None:
-        same = 0
-        while same < min(len(parts), len(self.parts)) and parts[same] == self.parts[same]:
-            same += 1
-        tail = 0
-        while tail < min(len(parts), len(self.parts)) - same and parts[-1 - tail] == self.parts[-1 - tail]:
-            tail += 1
-        kept = self.tables[len(self.tables) - tail :]
-        middle = self.tables[same : len(self.tables) - tail]
-        made = []
-        for part in parts[same : len(parts) - tail]:
-            data = part.encode()
-            if middle and data.startswith(middle[0].data):  # an append to a pre-token
-                table = middle.pop(0)
-                table.append(data[len(table.data) :])
-            else:
-                table = PrefixTable(self.bpe, data)
-            made.append(table)
-        self.tables, self.parts = self.tables[:same] + made + kept, parts
+        self.bpe = bpe
+        self.parts: list[str] = bpe.pattern.findall(text)
+        self.tables = [PrefixTable(bpe, p.encode()) for p in self.parts]
 
     def append(self, more: str) -> None:
-        # white space at the end may group anew with what follows, so begin before the last three pre-tokens
-        keep = max(0, len(self.parts) - 3)
-        tail = "".join(self.parts[keep:]) + more
-        self._set(self.parts[:keep] + self.bpe.pattern.findall(tail))
+        n = sum(map(len, self.parts))
+        self.edit(n, n, more)
 
     def edit(self, start: int, end: int, new: str) -> None:
-        text = "".join(self.parts)
-        self._set(self.bpe.pattern.findall(text[:start] + new + text[end:]))
+        ends = list(accumulate(map(len, self.parts)))
+        first = max(0, bisect_right(ends, start) - self.BACK)
+        last, ahead = bisect_left(ends, end) + 1, 16
+        begin = ends[first - 1] if first else 0
+        while True:  # read on until a pre-token ends where one did, which then is also where the rest begins
+            stop = min(len(self.parts), last + ahead)
+            old = "".join(self.parts[first:stop])
+            text = old[: start - begin] + new + old[end - begin :]
+            shift = len(text) - len(old)
+            known = {e + shift: i + 1 for i, e in enumerate(ends[:stop]) if i >= first and e >= end}
+            made, at = [], begin
+            for part in self.bpe.pattern.findall(text):
+                made.append(part)
+                at += len(part)
+                if at in known and (stop == len(self.parts) or known[at] <= stop - self.BACK):
+                    break
+            if stop == len(self.parts) or at in known and known[at] <= stop - self.BACK:
+                break
+            ahead *= 4
+        to = known.get(at, stop) if made else stop
+        gone = self.tables[first:to]
+        tables = []
+        for part in made:
+            data = part.encode()
+            if gone and data.startswith(gone[0].data):  # an append to a pre-token
+                table = gone.pop(0)
+                table.append(data[len(table.data) :])
+            else:
+                table = PrefixTable(self.bpe, data)
+            tables.append(table)
+        self.parts[first:to], self.tables[first:to] = made, tables
 
     def tokens(self) -> list[int]:
         return [t for table in self.tables for t in table.tokens()]
@@ -150,8 +204,12 @@ class TextEncoder:
         if (known := self.words.get(word)) is None:
             data = word.encode()
             token = self.bpe.ranks.get(data)
-            ids = [token] if token is not None and self.bpe.is_valid(token) else PrefixTable(self.bpe, data).tokens()
-            known = np.array(ids, "<u4").tobytes()
+            if token is not None and self.bpe.is_valid(token):
+                known = token.to_bytes(4, "little")
+            else:
+                self.bpe.extend(last := [-1], data)
+                ids = self.bpe.split(last)
+                known = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) <= 64:
                 if len(self.words) >= MOST_UNITS:
                     self.words.clear()
@@ -160,6 +218,11 @@ class TextEncoder:
 
     def _unit(self, memory: dict[str, bytes], unit: str, lead: str) -> bytes:
         if (known := memory.get(unit)) is None:
+            before, newline, after = unit.partition("\n")
+            if newline and before and after and not before[-1].isspace() and not after[0].isspace():
+                return self._unit(memory, before, lead) + self._unit(self.first, "\n", "") + self._unit(self.first, after, "")
+            if unit.isalpha():  # letters alone are one pre-token
+                return self._word(lead + unit)
             known = b"".join(map(self._word, self.bpe.pattern.findall(lead + unit)))
             if len(unit) <= 64:
                 if len(memory) >= MOST_UNITS:
@@ -170,8 +233,8 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         head, *rest = units(text)
-        later, unit = self.later, self._unit
-        return unit(self.first, head, "") + b"".join([later.get(u) or unit(later, u, " ") for u in rest])
+        words, later, unit = self.words, self.later, self._unit
+        return unit(self.first, head, "") + b"".join([words.get(" " + u) or later.get(u) or unit(later, u, " ") for u in rest])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bpe.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -24,13 +24,17 @@ BLOCKS = "part int, block int, first_id long, n_ids int, words binary, doc_ids a
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids), np.uint8)
-    x = ids.astype(np.uint64)
-    for shift in (16, 8, 4, 2, 1):
-        big = x >= np.uint64(1 << shift)
-        out[big] += shift
-        x[big] >>= np.uint64(shift)
-    return out + (ids > 0)
+    return np.frexp(ids.astype(np.float64))[1]
+
+
+def _all_of(flags: np.ndarray, k: int) -> np.ndarray:
+    """Where k flags in a row are set, as the positions of the first."""
+    done, out = 1, flags
+    while done < k and out.any():
+        step = min(done, k - done)
+        out = out[:-step] & out[step:]
+        done += step
+    return np.flatnonzero(out) if done == k else np.empty(0, np.int64)
 
 
 def encode_words(ids: np.ndarray) -> np.ndarray:
@@ -39,18 +43,18 @@ def encode_words(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     bits = _bits(ids)
-    at = np.arange(n, dtype=np.int32)
-    ahead = lambda stops: np.minimum.accumulate(np.where(stops, at, n)[::-1])[::-1] - at  # noqa: E731  ids before the next stop
     takes = np.ones(n, np.int32)
     selectors = np.full(n, 15, np.uint64)
     for s in range(14, 1, -1):
-        wide = bits > WIDTHS[s]
-        if n - np.count_nonzero(wide) >= COUNTS[s]:
-            fits = ahead(wide) >= COUNTS[s]
+        fits = _all_of(bits <= WIDTHS[s], int(COUNTS[s])) if n >= COUNTS[s] else ()
+        if len(fits):
             takes[fits], selectors[fits] = COUNTS[s], s
-    runs = np.minimum(ahead(np.append(ids[1:] != ids[:-1], True)) + 1, (1 << 28) - 1)
-    long_run = runs > np.maximum(takes, 60)
-    takes[long_run], selectors[long_run] = runs[long_run], 1
+    same = ids[1:] == ids[:-1]
+    if len(_all_of(same, 60)) if n > 60 else False:
+        at = np.arange(n, dtype=np.int32)
+        runs = np.minimum.accumulate(np.where(np.append(~same, True), at, n)[::-1])[::-1] - at + 1
+        long_run = np.minimum(runs, (1 << 28) - 1) > np.maximum(takes, 60)
+        takes[long_run], selectors[long_run] = np.minimum(runs, (1 << 28) - 1)[long_run], 1
     starts, at, step = [], 0, takes.tolist()
     while at < n:
         starts.append(at)

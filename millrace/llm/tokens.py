@@ -47,7 +47,7 @@ class _Memory(dict):
 
     def __missing__(self, unit: str) -> bytes:
         known = self.owner._learn(unit, self.lead)
-        if len(unit) <= 64:
+        if len(unit) <= 64 and "\n" not in unit[1:]:  # what is made of others is not kept
             if len(self) >= MOST_UNITS:
                 self.clear()
             self[unit] = known
