@@ -18,36 +18,90 @@ from millrace.llm.shared import raw, slices
 #: Elements by the part they play in a page.
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template iframe svg math canvas object select option textarea button datalist".split())
+#: What these hold is never text of the page; the first of them hold no elements but end at their end tag.
+RAW = set("script style noscript iframe textarea title noembed noframes xmp".split())
+HIDDEN = set("template svg math canvas object audio video map select option optgroup datalist button".split())
+#: A hidden element that was left open ends before these.
+_OPENERS = set("p h1 h2 h3 h4 h5 h6 article section main table ul ol blockquote pre footer header aside nav form".split())
+#: Elements whose names tell a block's part, and those whose presence alone is of use.
+_TAG_KIND = {"nav": "nav", "menu": "nav", "header": "head", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "dialog": "note", "article": "main", "main": "main"}
+_TELLING = set("article main section aside nav header footer form ul ol li table td th figure figcaption blockquote pre details dl dt dd h1 h2 h3 h4 h5 h6 p address".split())
 #: Words in class, id and role that tell a block's part.
 KEYWORDS = {
-    "nav": "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager tabs",
-    "head": "header masthead topbar banner logo branding hero",
-    "foot": "footer foot copyright colophon legal",
-    "side": "sidebar side aside rail widget related recommended recommend popular trending more",
-    "ad": "ad ads advert advertisement adsense sponsor sponsored promo promotion promoted banner-ad",
-    "note": "cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup paywall",
-    "share": "share sharing social follow tags meta byline",
+    "nav": "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager tabs sitemap skip",
+    "head": "header masthead topbar banner logo branding",
+    "foot": "footer foot copyright colophon legal contentinfo",
+    "side": "sidebar side aside rail widget related recommended recommend recommendations popular trending complementary",
+    "ad": "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted teaser",
+    "note": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup paywall dialog toast",
+    "share": "share sharing social follow tags byline meta metadata author print",
     "comment": "comment comments reply replies respond disqus discussion",
-    "form": "form search login contact",
-    "main": "article content main post entry story body text prose",
+    "form": "form search login contact poll survey",
+    "main": "article content main post entry story body text prose page",
 }
 _KIND = {word: kind for kind, words in KEYWORDS.items() for word in words.split()}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)",
-    re.DOTALL | re.IGNORECASE,
-)
+_MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_STOP = re.compile(r"[=>]")
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])", re.IGNORECASE) for tag in RAW}
+_DEPTH = 200
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(kind, tag, attributes, text) of the page's texts, start tags and end tags, each found in one pass over the page.
+
+    A quote only counts after an equals sign, as browsers have it; one that nothing closes counts as a letter. A
+    tag or comment that the page's end cuts off is dropped; raw elements go with all they hold.
+    """
+    at, n, unquoted = 0, len(page), set()
+    while at < n:
+        mark = _MARK.search(page, at)
+        if mark is None:
+            yield "text", "", "", page[at:]
+            return
+        if mark.start() > at:
+            yield "text", "", "", page[at : mark.start()]
+        comment, slash, tag = mark.groups()
+        at = mark.end()
+        if comment:
+            end = page.find("-->", at - 2)
+            at = n if end < 0 else end + 3
+            continue
+        if not tag:
+            end = page.find(">", at)
+            at = n if end < 0 else end + 1
+            continue
+        begin = at
+        while (stop := _STOP.search(page, at)) is not None and page[stop.start()] == "=":
+            at = stop.end()
+            while at < n and page[at] in " \t\n\f\r":
+                at += 1
+            quote = page[at : at + 1]
+            if quote in ('"', "'") and quote not in unquoted:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    unquoted.add(quote)
+                at = at if end < 0 else end + 1
+        if stop is None:
+            return
+        at = stop.end()
+        tag = tag.lower()
+        if slash:
+            yield "end", tag, "", ""
+            continue
+        yield "start", tag, page[begin : stop.start()], ""
+        if tag in RAW:
+            end = _RAW_END[tag].search(page, at)
+            at = n if end is None else end.start()
 
 
 @dataclass
 class Block:
     text: str
-    ancestors: tuple[str, ...]
-    kinds: frozenset[str]
+    tags: tuple[str, ...]
+    kinds: tuple[str, ...]
     link_share: float
     tag: str
 
@@ -55,15 +109,27 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    kinds: frozenset[str]
     tags: tuple[str, ...] = field(default=())
+    kinds: tuple[str, ...] = field(default=())
+    hidden: bool = False
+
+
+def _kind(tag: str, attributes: str) -> str:
+    """The part that a block element's name, classes and id tell; a part that is left out goes before the main one."""
+    names = " ".join("".join(x) for x in _ATTRIBUTE.findall(attributes)).lower() if attributes else ""
+    found = [_KIND[w] for w in _PARTS.findall(names) if w in _KIND]
+    if tag in ("body", "html"):
+        return ""
+    return next((k for k in found if k != "main"), "") or _TAG_KIND.get(tag, "") or ("main" if found else "")
 
 
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order: stretches of text that no block element divides, references decoded,
-    white space made single. What scripts, styles, comments, forms' choices and the head's title hold is no block."""
+    white space made single, with the block elements around them and the parts that these tell, outermost first. What
+    scripts, styles, comments, buttons, choices and the head's title hold is no block."""
     out: list[Block] = []
-    stack = [_Open("", frozenset(), ())]
+    stack = [_Open("")]
+    opened: dict[str, int] = {}
     pieces: list[str] = []
     linked = in_link = 0
 
@@ -72,50 +138,57 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                top = next(o for o in reversed(stack) if o.tag not in INLINE)
-                out.append(Block(text, top.tags, top.kinds, min(1.0, linked / len(text)), top.tag))
+                top = stack[-1]
+                out.append(Block(text, top.tags, top.kinds, min(1.0, linked / len(text)), top.tags[-1] if top.tags else ""))
             pieces.clear()
             linked = 0
 
-    for m in _TOKEN.finditer(page):
-        hidden, slash, tag, attributes, text = m.groups()
-        if text is not None:
-            pieces.append(text)
-            if in_link:
-                linked += len(text)
-            continue
-        if tag is None:
+    def close(at: int) -> None:
+        for gone in stack[at:]:
+            opened[gone.tag] -= 1
+        del stack[at:]
+
+    for what, tag, attributes, text in tokens(page):
+        if what == "text":
+            if not stack[-1].hidden:
+                pieces.append(text)
+                if in_link:
+                    linked += len(text)
             continue
-        tag = tag.lower()
+        block = tag not in INLINE
+        if tag == "a":
+            in_link = int(what == "start")
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag == "a":
-            in_link = int(not slash)
-        block = tag not in INLINE
         if block:
             flush()
         if tag in VOID:
             continue
-        if slash:
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].tag == tag:
-                    del stack[at:]
-                    break
-                if stack[at].tag not in INLINE and not block:
-                    break  # an inline end tag closes nothing outside its block
+        if what == "end":
+            if opened.get(tag):
+                for at in range(len(stack) - 1, 0, -1):
+                    if stack[at].tag == tag:
+                        close(at)
+                        break
+                    if not block and (stack[at].tag not in INLINE or len(stack) - at > _DEPTH):
+                        break  # an inline end tag closes nothing outside its block
             continue
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and block:
+        if tag in _OPENERS and stack[-1].hidden:
+            at = next(i for i, o in enumerate(stack) if o.hidden)
+            if stack[at].tag in ("button", "select", "option"):
+                close(at)
+        if block and tag in ("p", "li", "td", "th", "tr", "dt", "dd"):
             while len(stack) > 1 and (stack[-1].tag in INLINE or stack[-1].tag == "p" or stack[-1].tag == tag):
-                stack.pop()
+                close(len(stack) - 1)
         top = stack[-1]
-        kinds = top.kinds
-        if block and attributes:
-            names = " ".join("".join(x) for x in _ATTRIBUTE.findall(attributes)).lower()
-            found = {_KIND[w] for w in _PARTS.findall(names) if w in _KIND}
-            if found:
-                kinds = kinds | found
-        stack.append(_Open(tag, kinds, (*top.tags, tag) if block and len(top.tags) < 200 else top.tags))
+        tags, kinds = top.tags, top.kinds
+        if block and len(tags) < _DEPTH:
+            tags = (*tags, tag)
+            if kind := _kind(tag, attributes):
+                kinds = (*kinds, kind)
+        stack.append(_Open(tag, tags, kinds, top.hidden or tag in HIDDEN or tag in RAW))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
@@ -123,19 +196,27 @@ def blocks(page: str) -> list[Block]:
 _SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 
 
+def _part(kinds: tuple[str, ...]) -> str:
+    return kinds[-1] if kinds else "none"
+
+
 def text_features(b: Block) -> tuple[str, ...]:
     words = b.text.count(" ") + 1
-    return (
-        f"words:{min(6, words.bit_length())}",
-        f"ends:{min(3, len(_SENTENCE.findall(b.text)))}",
-        f"links:{int(b.link_share * 3.99)}",
-        "copyright:1" if "©" in b.text or "&copy" in b.text else "copyright:0",
-        f"last:{b.text[-1] in '.!?…:;'}",
-    )
+    part = _part(b.kinds)
+    where = part if part in ("main", "none") else "other"
+    size, ends, links = f"words:{min(6, words.bit_length())}", f"ends:{min(3, len(_SENTENCE.findall(b.text)))}", f"links:{int(b.link_share * 3.99)}"
+    rights = "copyright:1" if "©" in b.text or "&copy" in b.text else "copyright:0"
+    return (size, ends, links, rights, f"last:{b.text[-1] in '.!?…:;'}", f"{where} {size}", f"{where} {links}", f"{where} {rights}", f"{where} {ends}", f"{where} {b.tag} {links}")
 
 
 def place_features(b: Block) -> tuple[str, ...]:
-    return (*{f"in:{t}" for t in b.ancestors}, *(f"kind:{k}" for k in b.kinds), f"tag:{b.tag}", f"hidden:{bool(HIDDEN & set(b.ancestors))}")
+    part = _part(b.kinds)
+    inside = "main" if "main" in b.kinds[:-1] else "other" if b.kinds[:-1] else "none"
+    marked = part not in ("main", "none")
+    return (
+        *{f"in:{t}" for t in b.tags if t in _TELLING}, *{f"kind:{k}" for k in b.kinds}, f"tag:{b.tag if b.tag in _TELLING else 'other'}", f"part:{part}", f"part:{part} in {inside}",
+        f"marked:{marked}", f"{b.tag if b.tag in _TELLING else 'other'} in {part}",
+    )
 
 
 @dataclass
@@ -156,7 +237,7 @@ class Field:
         back: list[tuple[int, int]] = []
         a, b = self.start.tolist()
         for i, block in enumerate(page):
-            place = block.ancestors, block.kinds, block.tag
+            place = block.tags, block.kinds
             if (e := memory.get(place)) is None:
                 if len(memory) > 20_000:
                     memory.clear()
@@ -214,17 +295,23 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 150, rate: f
     return Field(dict(zip(names, theta[:d].tolist(), strict=True)), theta[d : d + 2], theta[d + 2 :].reshape(2, 2))
 
 
-def labelled_pages(n: int = 160, seed: int = 11) -> list[tuple[str, dict[str, int]]]:
-    """Pages of varied layouts with the label of each block's text, made by rule: the labelled set to learn from."""
+def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, dict[str, int]]]:
+    """Pages of varied layouts with the label of each block's text, made by rule: the labelled set to learn from.
+
+    The article stands in a marked element, in a plain one, or in none; what is left out stands before, behind and
+    inside it, marked or told only by its links and its place.
+    """
     rng = random.Random(seed)
     serial = iter(range(10**9))
+    pick = rng.choice
 
     def prose(sentences: int) -> str:
         word = lambda: "".join(rng.choices(["an", "to", "re", "ils", "or", "e", "um", "ka", "ti", "sé"], k=rng.randint(1, 3)))
-        return " ".join(" ".join(word() for _ in range(rng.randint(4, 16))).capitalize() + f" x{next(serial)}." for _ in range(sentences))
+        end = lambda: pick([".", ".", ".", "?", "!", ". &&&"])
+        return " ".join(" ".join(word() for _ in range(rng.randint(4, 16))).capitalize() + f" x{next(serial)}{end()}" for _ in range(sentences)).replace("&&&", "")
 
     def phrase() -> str:
-        return prose(1).rstrip(".").split(" ", 1)[-1][-30:] + f" y{next(serial)}"
+        return prose(1).rstrip(".?! ").split(" ", 1)[-1][-30:] + f" y{next(serial)}"
 
     out = []
     for _ in range(n):
@@ -235,38 +322,62 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[tuple[str, dict[str, in
             return text
 
         def element(tag: str, cls: str, inner: str) -> str:
-            attribute = rng.choice(["class", "class", "id"])
-            return f'<{tag} {attribute}="{cls}">{inner}</{tag}>' if cls else f"<{tag}>{inner}</{tag}>"
+            return f'<{tag} {pick(["class", "class", "id"])}="{cls}">{inner}</{tag}>' if cls else f"<{tag}>{inner}</{tag}>"
 
-        pick = rng.choice
-        links = lambda k: "<ul>" + "".join(f'<li><a href="/">{say(phrase(), 0)}</a></li>' for _ in range(k)) + "</ul>"
+        link = lambda: f'<a href="/">{say(phrase(), 0)}</a>'
+        links = lambda k: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(k)) + "</ul>"
+        row = lambda k: "".join(f"<div>{link()}</div>" for _ in range(k))
+        words = lambda label, tag="p": f"<{tag}>{say(prose(rng.randint(1, 3)), label)}</{tag}>"
         junk = {
-            "nav": lambda: element(*pick([("nav", ""), ("div", "menu"), ("nav", "main-nav"), ("div", "breadcrumbs")]), links(rng.randint(2, 6))),
-            "header": lambda: element(*pick([("header", ""), ("div", "site-header"), ("div", "topbar")]), pick(["<div>", "<h2>", "<p>"]) + say(phrase(), 0)),
-            "ad": lambda: element(pick(["div", "section", "aside"]), pick(["ad", "ads", "sponsored", "promo-box"]), say(prose(rng.randint(1, 3)), 0)),
-            "side": lambda: element(*pick([("aside", ""), ("div", "sidebar"), ("div", "related")]), f"<h3>{say(phrase(), 0)}</h3>" + pick([links(3), f"<p>{say(prose(2), 0)}</p>"])),
-            "note": lambda: element("div", pick(["cookie-notice", "notice", "newsletter", "alert"]), f"<p>{say(prose(rng.randint(1, 2)), 0)}</p>"),
-            "form": lambda: f"<form><label>{say(phrase(), 0)}</label><input><p>{say(phrase(), 0)}</p></form>",
-            "share": lambda: element("div", pick(["share", "social-links"]), links(2)),
-            "comments": lambda: element(*pick([("section", "comments"), ("div", "comment-list"), ("ol", "comments")]), "".join(f'<div class="comment"><p>{say(prose(rng.randint(1, 4)), 0)}</p></div>' for _ in range(rng.randint(1, 5)))),
-            "footer": lambda: element(*pick([("footer", ""), ("div", "footer")]), pick(["<p>", ""]) + say("© " + prose(rng.randint(1, 2)), 0)),
+            "nav": lambda: element(*pick([("nav", ""), ("div", "menu"), ("nav", "main-nav"), ("div", "breadcrumbs"), ("ul", "nav"), ("div", "toc")]), pick([links, row])(rng.randint(2, 8))),
+            "header": lambda: element(*pick([("header", ""), ("div", "site-header"), ("div", "topbar"), ("div", "masthead")]), pick(["<div>{}</div>", "<h2>{}</h2>", "<p>{}</p>", "<h1>{}</h1>", "{}"]).format(say(phrase(), 0))),
+            "ad": lambda: element(pick(["div", "section", "aside", "p"]), pick(["ad", "ads", "sponsored", "promo-box", "advert", "ad-slot"]), say(prose(rng.randint(1, 3)), 0)),
+            "side": lambda: element(*pick([("aside", ""), ("aside", "pull"), ("div", "sidebar"), ("div", "related"), ("section", "recommended")]), f"<h3>{say(phrase(), 0)}</h3>" + pick([links(3), words(0), say(prose(1), 0)])),
+            "note": lambda: element(pick(["div", "section", "p"]), pick(["cookie-notice", "notice", "newsletter", "alert", "subscribe-box", "paywall"]), say(prose(rng.randint(1, 2)), 0)),
+            "form": lambda: f"<form><label>{say(phrase(), 0)}</label><input>{pick(['', words(0)])}<button>Go</button></form>",
+            "share": lambda: element(pick(["div", "p", "ul"]), pick(["share", "social-links", "byline", "post-meta", "tags"]), pick([links(2), say(phrase(), 0)])),
+            "comments": lambda: element(*pick([("section", "comments"), ("div", "comment-list"), ("ol", "comments"), ("div", "disqus")]), f"<h3>{say(phrase(), 0)}</h3>" + "".join(f'<div class="comment">{words(0)}</div>' for _ in range(rng.randint(1, 5)))),
+            "footer": lambda: element(*pick([("footer", ""), ("div", "footer"), ("div", "site-footer")]), pick(["<p>", ""]) + say(pick(["© ", ""]) + prose(rng.randint(1, 2)), 0)),
+            "plain-nav": lambda: element(pick(["div", "ul", "table"]), "", pick([links, row])(rng.randint(3, 8))),
+            "plain-footer": lambda: element(pick(["div", "p"]), "", say("© " + phrase(), 0)),
         }
         some = lambda names, p: "".join(junk[k]() for k in names if rng.random() < p)
+        inside = ["ad", "side", "note", "form", "share", "nav"]
+        shapes = ["<p>{}</p>"] * 6 + ["<p><b>{}</b></p>", "<p><b>{}<br>", "<p>{}", "<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li></ul>", "<ol><li>{}</ol>", "<blockquote>{}</blockquote>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>"]
+        shapes += ["<table><tr><td>{}</td></tr></table>", "<div>{}</div>", "<section><p>{}</p></section>", "<figure><img><figcaption>{}</figcaption></figure>", "<dl><dt>{}</dt></dl>", "<details><p>{}</p></details>", '<p><a href="/x">{}</a></p>', "{}<br>", '<div class="wrap"><p>{}</p></div>']
         body = []
-        for _ in range(rng.randint(1, 9)):
-            kind = rng.random()
-            text = say(prose(rng.randint(1, 5)), 1) if kind < 0.8 else say(phrase(), 1)
-            body.append(pick(["<p>{}</p>", "<p>{}</p>", "<p><b>{}</b></p>", "<p>{}", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<div>{}</div>"]).format(text))
-        if rng.random() < 0.4:
-            body.insert(rng.randint(0, len(body)), some(["ad", "side", "note", "form", "share"], 0.4))
-        main = f"<h1>{say(phrase(), 1)}</h1>" + "".join(body) + some(["share", "comments"], 0.2)
-        main = element(*pick([("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "entry-content")]), main)
-        page = some(["header", "nav", "note", "ad", "side"], 0.5) + main + some(["comments", "side", "ad", "form", "nav"], 0.35) + some(["footer"], 0.9)
+        for _ in range(rng.randint(1, 12)):
+            shape = pick(shapes)
+            short = shape.startswith(("<h", "<dl")) or rng.random() < 0.15
+            text = say(phrase() if short else prose(rng.randint(1, 6)), 1)
+            if not short and rng.random() < 0.25:  # words of a paragraph that are a link
+                cut = text.rfind(" ", 0, rng.randint(len(text) // 2, len(text)))
+                at = text.rfind(" ", 0, max(cut - rng.randint(4, 60), 0)) + 1
+                text = text[:at] + '<a href="/y">' + text[at:cut] + "</a>" + text[cut:] if at < cut else text
+            body.append(shape.format(text))
+            if rng.random() < 0.12:
+                body.append(junk[pick(inside)]())
+        title = pick([f"<h1>{say(phrase(), 1)}</h1>", f"<h1>{say(phrase(), 1)}</h1>", ""])
+        layout = rng.random()
+        if layout < 0.15 and title:
+            title = f"<header>{title}</header>"
+        main = title + "".join(body) + some(["share", "comments", "side", "footer"], 0.12)
+        if layout < 0.45:
+            main = element(*pick([("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "entry-content"), ("div", "story")]), main)
+        elif layout < 0.7:
+            main = element(pick(["div", "div", "section", "td"]), pick(["", "", "wrap", "col-8"]), main)
+        marked = ["header", "nav", "note", "ad", "side"]
+        if layout < 0.85:
+            page = some(marked, 0.45) + main + some(["comments", "side", "ad", "form", "nav"], 0.3) + some(["footer"], 0.8)
+        else:  # little or nothing is marked
+            page = some(["plain-nav"], 0.7) + some(["header"], 0.2) + main + some(["plain-nav"], 0.3) + some(["plain-footer"], 0.6)
+        if rng.random() < 0.25:
+            page = element(pick(["div", "main"]), pick(["page", "wrapper", "content", "main"]), page)
         out.append((f"<html><head><title>t</title><style>p{{}}</style></head><body>{page}</body></html>", labels))
     return out
 
 
-def trained(n_pages: int = 160) -> Field:
+def trained(n_pages: int = 400) -> Field:
     made = []
     for page, labels in labelled_pages(n_pages):
         found = [b for b in blocks(page) if b.text in labels]

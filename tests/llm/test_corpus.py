@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -195,6 +196,42 @@ def test_extract(spark):
     assert html_text.main_text("<p>" * 5000 + "deep", html_text.trained(20)) is not None
 
 
+#: Pages written by hand, with the text that a reader would take for the article.
+BY_HAND = {
+    "a form inside does not end the article": ("<article><h1>Title of it</h1><p>First has some words in it.</p><form><label>Email</label><button>Go</button></form><p>Second has words, too.</p><p>Third as well.</p></article>", "Title of it First has some words in it. Second has words, too. Third as well."),
+    "an article in a plain element": ("<nav><a href=/>Home</a><a href=/b>Blog</a></nav><div><h1>Title of it</h1><p>First has some words in it, and more.</p><p>Second has words in it, too.</p></div><footer>&copy; us</footer>", "Title of it First has some words in it, and more. Second has words in it, too."),
+    "nothing but paragraphs": ("<body><p>First has some words in it, and then more.</p><p>Short one.</p></body>", "First has some words in it, and then more. Short one."),
+    "adverts and notices inside": ("<article><h1>T</h1><p>First has some words.</p><div class='ad'>Buy this now. It is great.</div><p>Second has words.</p><div class=newsletter>Get our letter. Sign up.</div><aside>Pulled words here.</aside><p>Third one, at last.</p><p class='share'>Share this</p><select><option>One<option>Two</select></article>", "T First has some words. Second has words. Third one, at last."),
+    "a lone quote": ("<article><p title=it's>First has some words.</p><p>And it's a second.</p></article>", "First has some words. And it's a second."),
+    "a quote that is never closed": ('<article><p>First has some words.</p><p title="oh>And a second one.</p></article>', "First has some words. And a second one."),
+    "no tags": ("Just plain text without any tags at all. It goes on.", "Just plain text without any tags at all. It goes on."),
+    "its own header, comments behind": ("<article><header><h1>The headline</h1><p class=byline>By someone</p></header><p>First has some words.</p><h2>Sub head</h2><ul><li>One thing</li><li>Another thing</li></ul><footer>Filed under x</footer></article><div id=comments><h3>2 comments</h3><p>I like it a lot. Very good.</p></div>", "The headline First has some words. Sub head One thing Another thing"),
+    "a sidebar inside the content": ("<div id='content'><div class='sidebar'><ul><li><a href=x>Link a</a></li><li><a href=x>Link b</a></li></ul></div><div class='post'><h1>Title</h1><p>First has some words.</p><p>Read <a href=x>this long piece about it all</a> now.</p></div></div>", "Title First has some words. Read this long piece about it all now."),
+    "a form around the page": ("<form id='aspnetForm'><div id=menu><a href=x>Home</a></div><div id=main><h1>Title</h1><p>First has some words.</p><p>Next one has words as well.</p></div></form>", "Title First has some words. Next one has words as well."),
+    "a button left open": ("<article><p>First has some words.</p><button>Go<p>Second has some, too.</p></article>", "First has some words. Second has some, too."),
+}
+
+
+@pytest.fixture(scope="module")
+def field():
+    return html_text.trained()
+
+
+@pytest.mark.parametrize("what", BY_HAND)
+def test_pages_written_by_hand(field, what):
+    page, want = BY_HAND[what]
+    assert html_text.main_text(f"<html><head><title>no</title></head>{page}</html>", field) == want
+
+
+def test_scanner_is_linear(field):
+    for bad in ("<a '", "<p x='", '<p x="', "<!--", "<", "</", "<svg>", "<b>"):
+        start = time.time()
+        html_text.main_text(bad * 60_000, field)
+        assert time.time() - start < 10, bad
+    long = "word " * 400_000
+    assert html_text.main_text(f"<article><p>{long}</p></article>", field) == long.strip()
+
+
 def test_quality(spark):
     rng = np.random.default_rng(1)
     prose = lambda: " ".join("".join(rng.choice(list("abcde"), rng.integers(2, 7))) for _ in range(rng.integers(20, 90))).capitalize() + "."
