@@ -13,27 +13,26 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import stored
 
-#: Centroids are fitted on a sample of at most so many distinct vectors; every vector is indexed.
-SAMPLE = 50_000
-MOST_LISTS = 4096
-#: Boundary vectors go to every list whose centroid is nearly as near as the nearest, this many at most.
-CLOSURE, REPLICAS, ASSIGN_WIDTH = 1.15, 4, 64
-#: A query reads the lists whose centroid is within this ratio of the nearest centroid's distance.
-#: The LEAST nearest lists are always read, and more until they hold as many items as a result needs.
-RATIO, WIDTH, LEAST = 1.6, 256, 8
-SHARD_VECTORS, QUERY_BLOCK = 50_000, 10_000
+#: Centroids, and the ratio by which lists are pruned, are fitted on a sample of at most so many distinct vectors; every
+#: vector is indexed. There are LISTS * sqrt(n) lists, and at least MEMBERS sampled vectors for each.
+SAMPLE, LISTS, MEMBERS = 50_000, 4, 8
+#: A boundary vector goes to further lists whose centroid is at most CLOSURE times as far as the nearest and is not
+#: nearer to a list it already has: to REPLICAS lists in all, of the ASSIGN_WIDTH nearest.
+CLOSURE, REPLICAS, ASSIGN_WIDTH = 1.05, 4, 16
+#: The share of the neighbours in the sample that the fitted ratio must reach, with so many sampled queries.
+TARGET, TRIALS = 0.93, 256
+#: Lists that lie together make a shard of about so many vectors, longer lists several; queries come in blocks.
+SHARD_VECTORS, QUERY_BLOCK = 20_000, 5_000
 
 
 def balanced_centroids(x: np.ndarray, n_lists: int, seed: int = 1) -> np.ndarray:
-    """Means of leaves of equal size: each part is halved at the median along the direction of a 2-means split."""
+    """Means of leaves of about equal size, neighbours next to each other: a part is halved at the median along the
+    direction of a 2-means split, and its halves share the leaves."""
     rng = np.random.default_rng(seed)
-    parts = [np.arange(len(x))]
-    while len(parts) < n_lists:
-        parts.sort(key=len)
-        own = parts.pop()
-        if len(own) < 2:
-            parts.append(own)
-            break
+
+    def halves(own: np.ndarray, leaves: int) -> list[np.ndarray]:
+        if leaves <= 1 or len(own) < 2:
+            return [x[own].mean(0)]
         a, b = x[rng.choice(own, 2, replace=False)]
         for _ in range(6):
             side = x[own] @ (a - b) > (a @ a - b @ b) / 2
@@ -41,9 +40,11 @@ def balanced_centroids(x: np.ndarray, n_lists: int, seed: int = 1) -> np.ndarray
                 break
             a, b = x[own[side]].mean(0), x[own[~side]].mean(0)
         order = np.argsort(x[own] @ (a - b), kind="stable")
-        half = len(own) // 2
-        parts += [own[order[:half]], own[order[half:]]]
-    return np.array([x[p].mean(0) for p in parts])
+        left = leaves // 2
+        half = max(1, len(own) * left // leaves)
+        return halves(own[order[:half]], left) + halves(own[order[half:]], leaves - left)
+
+    return np.array(halves(np.arange(len(x)), n_lists))
 
 
 @dataclass
@@ -55,42 +56,53 @@ class CentroidGraph:
     entries: np.ndarray
 
     @classmethod
-    def of(cls, centroids: np.ndarray, degree: int = 16, n_entries: int = 64) -> CentroidGraph:
+    def of(cls, centroids: np.ndarray, degree: int = 48, n_entries: int = 128) -> CentroidGraph:
         n = len(centroids)
-        d = _squared(centroids, centroids)
-        near = np.argsort(d, axis=1, kind="stable")[:, 1 : degree // 2 + 1]
+        near = [np.argsort(_squared(centroids[i : i + 1024], centroids), axis=1, kind="stable")[:, 1 : degree * 2 // 3 + 1] for i in range(0, n, 1024)]
         rng = np.random.default_rng(2)
-        far = rng.integers(0, n, (n, degree // 2)) if n else np.zeros((0, degree // 2), int)  # long links keep it in one piece
-        return cls(centroids, np.concatenate((near, far), axis=1), np.arange(0, n, max(1, n // n_entries)))
+        far = rng.integers(0, n, (n, degree // 3)) if n else np.zeros((0, degree // 3), int)  # long links keep it in one piece
+        return cls(centroids, np.concatenate((np.concatenate(near), far), axis=1) if n else far, np.arange(0, n, max(1, n // n_entries)))
 
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The `width` nearest centroids found for each row of x, nearest first, with squared distances."""
+        """The `width` nearest centroids found for each row of x, nearest first, with squared distances.
+
+        Every round opens the nearest centroids of each row that are not open yet, meets those they link to, and keeps the
+        nearest; it ends where no unopened one is among the nearest `width`.
+        """
         n_lists, n = len(self.centroids), len(x)
         width = min(width, n_lists)
-        norms = (self.centroids**2).sum(1)
-        own = (x**2).sum(1)
-        dist = np.full((n, n_lists), np.inf)
-        opened = np.zeros((n, n_lists), bool)
-        rows = np.arange(n)[:, None]
-        dist[:, self.entries] = norms[self.entries] - 2 * x @ self.centroids[self.entries].T
-        for _ in range(2 * width + 8):  # each round opens the nearest unopened centroids of every row
-            front = np.where(opened, np.inf, dist)
-            step = max(1, width // 8)
-            pick = np.argpartition(front, min(step, n_lists) - 1, axis=1)[:, :step]
-            best = np.partition(dist, width - 1, axis=1)[:, width - 1]
-            useful = np.take_along_axis(front, pick, 1) <= best[:, None]
-            useful &= np.isfinite(np.take_along_axis(front, pick, 1))
-            if not useful.any():
+        norms, rows = (self.centroids**2).sum(1), np.arange(n)[:, None]
+        seen = np.zeros((n, n_lists), bool)
+        seen[:, self.entries] = True
+        ids = np.broadcast_to(self.entries, (n, len(self.entries))).copy()
+        d = norms[self.entries] - 2 * x @ self.centroids[self.entries].T
+        opened = np.zeros(ids.shape, bool)
+        step = min(max(4, width // 8), ids.shape[1])
+        while True:
+            front = np.where(opened, np.inf, d)
+            pick = np.argpartition(front, step - 1, axis=1)[:, :step] if step < front.shape[1] else np.broadcast_to(np.arange(front.shape[1]), front.shape)
+            worth = np.isfinite(np.take_along_axis(front, pick, 1))
+            if d.shape[1] >= width:
+                worth &= np.take_along_axis(front, pick, 1) <= np.partition(d, width - 1, axis=1)[:, width - 1 : width]
+            if not worth.any():
                 break
-            np.put_along_axis(opened, pick, np.take_along_axis(opened, pick, 1) | useful, 1)
-            fresh = self.links[pick].reshape(n, -1)
-            r = np.broadcast_to(rows, fresh.shape)
-            take = np.repeat(useful, self.links.shape[1], axis=1) & ~np.isfinite(dist[r, fresh])
-            r, c = r[take], fresh[take]
-            dist[r, c] = norms[c] - 2 * np.einsum("ij,ij->i", x[r], self.centroids[c])
-        found = np.argsort(dist, axis=1, kind="stable")[:, :width]
-        d = np.take_along_axis(dist, found, 1) + own[:, None]
-        return found, np.maximum(d, 0)
+            np.put_along_axis(opened, pick, np.take_along_axis(opened, pick, 1) | worth, 1)
+            fresh = self.links[np.take_along_axis(ids, pick, 1)].reshape(n, -1)
+            new = np.repeat(worth, self.links.shape[1], axis=1) & ~seen[rows, fresh]
+            order = np.argsort(np.where(new, fresh, -1), axis=1)  # equal ones stand together: keep one of each
+            fresh, new = np.take_along_axis(fresh, order, 1), np.take_along_axis(new, order, 1)
+            new[:, 1:] &= (fresh[:, 1:] != fresh[:, :-1]) | ~new[:, :-1]
+            r, c = np.nonzero(new)
+            seen[r, fresh[r, c]] = True
+            more = np.full(fresh.shape, np.inf)
+            more[r, c] = norms[fresh[r, c]] - 2 * np.einsum("ij,ij->i", x[r], self.centroids[fresh[r, c]])
+            ids, d, opened = np.concatenate((ids, fresh), 1), np.concatenate((d, more), 1), np.concatenate((opened, ~new), 1)
+            if d.shape[1] > width:
+                best = np.argpartition(d, width - 1, axis=1)[:, :width]
+                ids, d, opened = (np.take_along_axis(v, best, 1) for v in (ids, d, opened))
+        order = np.argsort(d, axis=1, kind="stable")[:, :width]
+        ids, d = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
+        return ids, np.maximum(d + (x**2).sum(1)[:, None], 0)
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,13 +118,15 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 @dataclass
 class PostingIndex:
-    """items (rep, v, ids): each distinct vector with the smallest ids that have it; graph over centroids; reach: the largest norm."""
+    """items (rep, v, ids): each distinct vector with the smallest ids that have it; graph over centroids; reach: the
+    largest norm; ratio: a query reads the lists whose centroid is at most so many times as far as the nearest."""
 
     items: DataFrame
     graph: CentroidGraph
     reach: float
     n_items: int
     keep: int
+    ratio: float
 
 
 def _lifted(x: np.ndarray, reach: float) -> np.ndarray:
@@ -125,13 +139,87 @@ def _level(q: np.ndarray, reach: float) -> np.ndarray:
     return np.concatenate((q * (reach / np.sqrt((q**2).sum(1)))[:, None], np.zeros((len(q), 1))), axis=1)
 
 
-def _read(found: np.ndarray, d: np.ndarray, sizes: np.ndarray, keep: int, ratio: float) -> list[list[int]]:
-    """The lists that each query reads of those found: all where they hold fewer than `keep` items."""
-    near = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-12
-    near[:, :LEAST] = True
-    held = np.cumsum(sizes[found], axis=1)
-    near |= held - sizes[found] < keep
-    return [f[m].tolist() if n >= keep else list(range(len(sizes))) for f, m, n in zip(found, near, held[:, -1], strict=True)]
+def _lists(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of each lifted vector, nearest first, and which of them it has."""
+    found, d = graph.search(x, ASSIGN_WIDTH)
+    d = np.sqrt(d)
+    has = np.zeros(found.shape, bool)
+    has[:, 0] = True
+    for j in range(1, found.shape[1]):
+        apart = np.sqrt(((graph.centroids[found[:, :j]] - graph.centroids[found[:, j]][:, None]) ** 2).sum(2))
+        has[:, j] = (d[:, j] <= CLOSURE * d[:, 0] + 1e-12) & (has.sum(1) < REPLICAS) & ~(has[:, :j] & (apart < d[:, j][:, None])).any(1)
+    return found, has
+
+
+def _near_lists(graph: CentroidGraph, q: np.ndarray, sizes: np.ndarray, keep: int, ratio: float) -> list[np.ndarray]:
+    """The lists that each query reads: those within the ratio, and more until they hold `keep` items. A search that ends
+    within the ratio is done again with twice the width, so no number of lists is the most."""
+    out: list[np.ndarray] = [np.empty(0, int)] * len(q)
+    rows, width, n_lists = np.arange(len(q)), 64, len(sizes)
+    while len(rows):
+        found, d = graph.search(q[rows], width)
+        near = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-12
+        held = np.cumsum(sizes[found], axis=1)
+        near |= held - sizes[found] < keep
+        done = ~near[:, -1] | (found.shape[1] == n_lists)
+        for i in np.flatnonzero(done):
+            out[rows[i]] = found[i][near[i]]
+        rows, width = rows[~done], width * 2
+    return out
+
+
+def fitted_ratio(graph: CentroidGraph, x: np.ndarray, reach: float, k: int) -> float:
+    """The smallest ratio by which TARGET of the k nearest in the sample x are read, for TRIALS of its vectors as queries.
+
+    Neighbours in a sample are further off than those among all vectors, so the ratio rather reads too much.
+    """
+    trials = np.random.default_rng(3).permutation(len(x))[:TRIALS]
+    q = _level(x[trials], reach)
+    d = np.sqrt(_squared(q, graph.centroids))
+    k = min(k, len(x) - 1)
+    scores = x[trials] @ x.T
+    scores[np.arange(len(trials)), trials] = -np.inf
+    top = np.argpartition(-scores, k - 1, axis=1)[:, :k] if k else np.empty((len(trials), 0), int)
+    near, top = np.unique(top, return_inverse=True)
+    top = top.reshape(len(trials), k)
+    parts = [_lists(graph, _lifted(x[near[i : i + 256]], reach)) for i in range(0, len(near), 256)]
+    found, has = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty((0, 1), int), np.empty((0, 1), bool))
+    need = np.where(has[top], d[np.arange(len(trials))[:, None, None], found[top]], np.inf).min(2) / d.min(1, keepdims=True)
+    margin = 3 * np.sqrt(TARGET * (1 - TARGET) / max(1, need.size / 4))  # few trials tell less
+    return float(np.quantile(need, min(1.0, TARGET + margin))) if need.size else 1.0
+
+
+@dataclass
+class _Dealt:
+    """Lists dealt to places: neighbours share one, a list too long for one is dealt by hash to several of its own."""
+
+    first: list[int]
+    parts: list[int]
+
+    def of(self, part: int, rep: int) -> int:
+        return self.first[part] + ((rep * 0x9E3779B97F4A7C15) % (1 << 64) >> 33) % self.parts[part]
+
+    def all_of(self, part: int) -> range:
+        return range(self.first[part], self.first[part] + self.parts[part])
+
+
+def _dealt(sizes: np.ndarray, room: int) -> _Dealt:
+    first, parts, at, held = [], np.maximum(1, -(-sizes // room)).tolist(), -1, room + 1
+    for n, p in zip(sizes.tolist(), parts, strict=True):
+        if p > 1 or held + n > room:
+            at, held = at + 1, 0
+        first.append(at)
+        at, held = at + p - 1, held + n if p == 1 else room + 1
+    return _Dealt(first, parts)
+
+
+def _members(lists: pd.Series) -> dict[int, np.ndarray]:
+    """The rows that have each list."""
+    flat = np.concatenate([np.asarray(x, np.int64) for x in lists])
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    order = np.argsort(flat, kind="stable")
+    names, starts = np.unique(flat[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(rows[order], starts[1:]), strict=True))
 
 
 def build(vectors: DataFrame, k: int, sample: int = SAMPLE) -> PostingIndex:
@@ -148,78 +236,122 @@ def build(vectors: DataFrame, k: int, sample: int = SAMPLE) -> PostingIndex:
     reach = float(np.sqrt(reach2 or 0.0))
     drawn = items.select("rep", "v").where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.0 * sample / max(n, 1)))).orderBy("rep").limit(sample)
     x = np.array([r["v"] for r in drawn.collect()], float)
-    n_lists = int(min(MOST_LISTS, max(1, 2 * n**0.5, 1), max(len(x), 1)))
-    centroids = balanced_centroids(_lifted(x, reach), n_lists) if len(x) else np.zeros((0, 1))
-    return PostingIndex(items, CentroidGraph.of(centroids), reach, n, k + 1)
+    if not len(x):
+        return PostingIndex(items, CentroidGraph.of(np.zeros((0, 1))), reach, n, k + 1, 1.0)
+    graph = CentroidGraph.of(balanced_centroids(_lifted(x, reach), int(max(1, min(LISTS * n**0.5, len(x) / MEMBERS)))))
+    return PostingIndex(items, graph, reach, n, k + 1, fitted_ratio(graph, x, reach, k))
 
 
-def search(index: PostingIndex, queries: DataFrame, k: int, width: int = WIDTH, ratio: float = RATIO) -> DataFrame:
+def search(index: PostingIndex, queries: DataFrame, k: int, ratio: float | None = None, read: list | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row of queries, a result of usable().
 
     Nearest by inner product of the original vectors in double precision, ties to the smaller vec_id; a query's
-    own id is left out. Equal query vectors are searched once.
+    own id is left out. Equal query vectors are searched once. A vector is met by a query only in a list that this
+    query reads: neighbouring lists make shards, queries of one neighbourhood blocks, and a shard goes to the blocks
+    that read of it. A list longer than a shard is dealt by hash to several. ratio overrides the fitted one; read, if
+    given, gets the number of postings read by all queries.
     """
     spark = queries.sparkSession
     if index.n_items == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     graph, reach, keep = index.graph, index.reach, index.keep
+    ratio = index.ratio if ratio is None else ratio
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                found, d = graph.search(_lifted(np.array(part.column("v").to_pylist(), float), reach), ASSIGN_WIDTH)
-                near = np.sqrt(d) <= CLOSURE * np.sqrt(d[:, :1]) + 1e-12
-                near[:, REPLICAS:] = False
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("v"), pa.array([f[m].tolist() for f, m in zip(found, near, strict=True)], pa.list_(pa.int32()))], names=["rep", "v", "lists"])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                found, d = graph.search(_level(np.array(part.column("v").to_pylist(), float), reach), width)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("v"), pa.array(_read(found, d, sizes, keep, ratio), pa.list_(pa.int32()))], names=["rep", "v", "lists"])
+    def placed(lists_of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    lists = lists_of(np.array(part.column("v").to_pylist(), float))
+                    yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("v"), pa.array([own.tolist() for own in lists], pa.list_(pa.int32()))], names=["rep", "v", "lists"])
+
+        return run
+
+    def assigned(x: np.ndarray) -> list[np.ndarray]:
+        found, has = _lists(graph, _lifted(x, reach))
+        return [f[h] for f, h in zip(found, has, strict=True)]
 
     shape = "rep long, v array<double>, lists array<int>"
-    shards = max(16, -(-index.n_items * REPLICAS // SHARD_VECTORS))
-    # a posting lies in the shard of its id, so every list is spread evenly, however long it is
-    posted = stored(index.items.mapInArrow(assign, shape), "ann-postings")
-    sizes = np.zeros(len(graph.centroids), np.int64)  # an item counts in its nearest list alone, so lists together hold no fewer
-    for row in posted.groupBy(F.col("lists")[0].alias("list")).count().collect():
-        sizes[row["list"]] = row["count"]
-    postings = posted.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), "rep", "v", "lists")
+    posted = stored(index.items.mapInArrow(placed(assigned), shape), "ann-postings")
+
+    def count(df: DataFrame, of) -> np.ndarray:
+        out = np.zeros(len(graph.centroids), np.int64)
+        for r in df.groupBy(of.alias("list")).count().collect():  # a row for each list
+            out[r["list"]] = r["count"]
+        return out
+
+    sizes = count(posted.select(F.explode("lists").alias("l")), F.col("l"))
+    nearest_sizes = count(posted, F.col("lists")[0])  # an item counts in its nearest list alone, so lists together hold no fewer
     by_vector = queries.select(F.col("vec_id").alias("query_id"), "v")
     asked = stored(by_vector.groupBy("v").agg(F.min("query_id").alias("rep")), "ann-queries")
-    blocks = -(-asked.count() // QUERY_BLOCK) or 1
-    sent = asked.select("rep", "v").mapInArrow(probe, shape)
-    left = postings.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = sent.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    sent = stored(asked.select("rep", "v").mapInArrow(placed(lambda q: _near_lists(graph, _level(q, reach), nearest_sizes, keep, ratio)), shape), "ann-probes")
+    asks = count(sent, F.col("lists")[0])
+    if read is not None:
+        read.append(sent.select(F.explode("lists").alias("l")).groupBy("l").count().toPandas().pipe(lambda t: int((sizes[t["l"]] * t["count"]).sum())))
+
+    places, blocks = _dealt(sizes, SHARD_VECTORS), _dealt(asks, QUERY_BLOCK)
+
+    def rows_of(batch: pa.RecordBatch, own: list[list], names: list[str]) -> pa.RecordBatch:
+        at = np.repeat(np.arange(batch.num_rows), [len(o) for o in own])
+        flat = [row for o in own for row in o]
+        columns = [pa.array([r[i] for r in flat], pa.int64()) for i in range(len(names))]
+        taken = batch.select(["rep", "v"]).take(pa.array(at, pa.int64()))
+        lists = pa.array([r[-1] for r in flat], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([*columns, taken.column("rep"), taken.column("v"), lists], names=[*names, "rep", "v", "lists"])
+
+    def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for rep, lists in zip(batch.column("rep").to_pylist(), batch.column("lists").to_pylist(), strict=True):
+                by: dict[int, list[int]] = {}
+                for part in lists:
+                    by.setdefault(places.of(part, rep), []).append(part)
+                own.append([(shard, held) for shard, held in by.items()])
+            yield rows_of(batch, own, ["shard"])
+
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for rep, lists in zip(batch.column("rep").to_pylist(), batch.column("lists").to_pylist(), strict=True):
+                by = {}
+                for part in lists:
+                    for shard in places.all_of(part):
+                        by.setdefault(shard, []).append(part)
+                block = blocks.of(lists[0], rep)
+                own.append([(shard, block, held) for shard, held in by.items()])
+            yield rows_of(batch, own, ["shard", "block"])
+
+    right = stored(sent.mapInArrow(to_blocks, "shard long, block long, " + shape), "ann-asks")
+    left = posted.mapInArrow(to_shards, "shard long, " + shape).join(right.select("shard", F.col("block").alias("to")).distinct(), "shard")
 
     def scan(posted: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        q_, r_, s_ = (np.empty(0, t) for t in (int, int, float))
         if len(posted) and len(ask):
-            reps = posted["rep"].to_numpy()
             x, q = np.stack(posted["v"].to_numpy()).astype(float), np.stack(ask["v"].to_numpy()).astype(float)
-            inside = np.zeros((len(x), len(graph.centroids)), bool)
-            for i, own in enumerate(posted["lists"]):
-                inside[i, own] = True
-            for at in range(0, len(q), 256):
-                wants = np.zeros((len(q[at : at + 256]), len(graph.centroids)), np.float32)
-                for i, own in enumerate(ask["lists"].iloc[at : at + 256]):
-                    wants[i, own] = 1
-                scores = np.where(wants @ inside.T.astype(np.float32) > 0, q[at : at + 256] @ x.T, -np.inf)
-                for i, row in enumerate(scores):
-                    m = min(keep, len(row))
-                    least = np.partition(row, len(row) - m)[len(row) - m]
-                    own = np.flatnonzero((row >= least) & np.isfinite(row))
-                    own = own[np.lexsort((reps[own], -row[own]))][:keep]
-                    out.append((np.full(len(own), ask["rep"].iloc[at + i]), reps[own], row[own]))
-        q_, r_, s_ = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [])
+            held, wanted = _members(posted["lists"]), _members(ask["lists"])
+            out = []
+            for part in held.keys() & wanted.keys():
+                mine, m = held[part], min(keep, len(held[part]))
+                for at in range(0, len(wanted[part]), 256):
+                    asks = wanted[part][at : at + 256]
+                    scores = q[asks] @ x[mine].T
+                    i, j = np.nonzero(scores >= np.partition(scores, len(mine) - m, axis=1)[:, len(mine) - m, None])
+                    out.append((asks[i], mine[j], scores[i, j]))
+            if out:
+                q_, r_, s_ = (np.concatenate(c) for c in zip(*out, strict=True))
+                reps = posted["rep"].to_numpy()[r_]
+                once = np.unique(np.stack((q_, r_)), axis=1, return_index=True)[1]  # a vector of several lists counts once
+                q_, r_, s_ = q_[once], reps[once], s_[once]
+                order = np.lexsort((r_, -s_, q_))
+                q_, r_, s_ = q_[order], r_[order], s_[order]
+                top = np.arange(len(q_)) - np.searchsorted(q_, q_) < keep
+                q_, r_, s_ = ask["rep"].to_numpy()[q_[top]], r_[top], s_[top]
         return pd.DataFrame({"q": pd.Series(q_, dtype="int64"), "rep": pd.Series(r_, dtype="int64"), "score": pd.Series(s_, dtype="float64")})
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(scan, "q long, rep long, score double")
+    found = left.groupBy("shard", "to").cogroup(right.groupBy("shard", "block")).applyInPandas(scan, "q long, rep long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    top = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= keep).join(index.items.select("rep", "ids"), "rep")
+    once = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
+    top = once.withColumn("at", F.row_number().over(best)).where(F.col("at") <= keep).join(index.items.select("rep", "ids"), "rep")
     ids = top.select("q", "score", F.explode("ids").alias("vec_id"))
     each = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     listed = ids.withColumn("at", F.row_number().over(each)).where(F.col("at") <= keep)

@@ -155,6 +155,29 @@ def test_nearest_of_different_norms(spark):
     assert _recall(spark, x)[0] >= 0.95
 
 
+def test_nearest_reads_a_part_of_the_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 32))
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    rows = ann.usable(spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>"))
+    asked, read = list(range(0, 6000, 20)), []
+    found = ann.search(ann.build(rows, 20), rows.where("vec_id % 20 = 0"), 20, read=read).collect()
+    hits = 0
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({r["vec_id"] for r in found if r["query_id"] == q} & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(asked)
+    assert read[0] < 0.2 * len(x) * len(asked)  # postings scored, replicas included
+
+
+def test_long_lists_are_dealt_to_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_VECTORS", 30)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    recall, rows = _recall(spark, np.random.default_rng(2).normal(size=(900, 6)))
+    assert recall >= 0.9 and rows == 45 * 20
+
+
 @pytest.mark.parametrize("n", [20, 22, 30, 40])
 def test_nearest_of_few(spark, n):
     x = np.random.default_rng(n).normal(size=(n, 8))
