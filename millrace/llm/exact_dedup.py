@@ -13,36 +13,32 @@ PREFIX_CHARS = 64
 def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """Each row of docs as (doc_id, keep_id, group_size, kept, text_sha256): rows of equal text form a group.
 
-    Lengths held by one row need no hash; rows alone with their length and prefix hash take no part in the last
-    round; only the rest are grouped by SHA-256 of the whole text. The largest doc_id of a group stays.
+    Lengths held by one row need no further look; of the rest, lengths and prefix hashes held by one row are done; only
+    what is left is grouped by SHA-256 of the whole text. Every row is asked for its SHA-256, so it is taken where the
+    text is read and no text is sent on. Counts by (length, prefix hash) come first and give those by length, so a
+    group with a third of all rows costs a row for each task. The largest doc_id of a group stays.
     A null text is the empty text. A null doc_id is smaller than any other. Rows that repeat a doc_id count
     each in group_size, and are kept together. An empty table gives an empty result; columns other than
     doc_id and text play no part.
     """
+    text = F.coalesce("text", F.lit(""))
     light = text_rows(docs).select(
         "doc_id",
-        F.coalesce("text", F.lit("")).alias("text"),
-    ).select(
-        "doc_id",
-        "text",
-        F.octet_length("text").alias("len"),
-        F.xxhash64(F.substring("text", 1, prefix_chars)).alias("prefix"),
-    )
-    # counts are summed before any shuffle, so a group with a third of all rows costs one row for each task
-    by_len = light.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
-    by_prefix = light.select("len", "prefix").join(by_len, "len", "left_semi").groupBy("len", "prefix")
-    survivors = by_prefix.agg(F.count("*").alias("n")).where("n > 1").select("len", "prefix", F.lit(True).alias("again"))
-    refined = light.join(survivors, ["len", "prefix"], "left").select(
-        "doc_id", "len", F.sha2("text", 256).alias("text_sha256"), "again"
+        F.octet_length(text).alias("len"),
+        F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"),
+        F.sha2(text, 256).alias("text_sha256"),
     )
-    refined = stored(refined, "refined")
+    light = stored(light, "digests")
+    by_prefix = stored(light.groupBy("len", "prefix").agg(F.count("*").alias("n")), "prefix-counts")
+    by_len = by_prefix.groupBy("len").agg(F.sum("n").alias("rows")).where("rows > 1").select("len")
+    survivors = by_prefix.where("n > 1").join(by_len, "len", "left_semi").select("len", "prefix")
     groups = (
-        refined.where("again")
+        light.join(survivors, ["len", "prefix"], "left_semi")
         .groupBy("len", "text_sha256")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
     )
-    return refined.join(groups, ["len", "text_sha256"], "left").select(
+    return light.join(groups, ["len", "text_sha256"], "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -114,10 +114,26 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [list({_digest(k) for line in text.split(b"\n") if (k := line_key(line))}) for text in raw(batch.column("text"))]
+        ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]), pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, pa.array([k for x in own for k in x], pa.binary())], names=["doc_id", "key"])
+
+
 def reference_counts(docs: DataFrame) -> DataFrame:
-    """(key, n_docs): the number of rows of docs that hold a line of this key, for each non-empty key."""
-    found = text_rows(docs).select("text").mapInArrow(_occurrences, "key binary, n_docs long")
-    return found.groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+    """(key, n_docs): the number of documents in docs that hold a line of this key, for each non-empty key.
+
+    Rows that repeat a doc_id are one document: only these go by (doc_id, key), all others are summed where they are.
+    A row of null doc_id is a document of its own.
+    """
+    rows = text_rows(docs)
+    again = stored(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if not again.limit(1).count():
+        return rows.select("text").mapInArrow(_occurrences, "key binary, n_docs long").groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+    once = rows.join(again, "doc_id", "left_anti").select("text").mapInArrow(_occurrences, "key binary, n_docs long")
+    more = rows.join(again, "doc_id", "left_semi").mapInArrow(_own_keys, "doc_id long, key binary").distinct().groupBy("key").agg(F.count("*").alias("n_docs"))
+    return once.union(more).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
 
 
 @dataclass
@@ -153,7 +169,8 @@ def build_index(docs: DataFrame, min_docs: int = 10, n_shards: int = FILTER_SHAR
 
 
 def _change(index: LineIndex, docs: DataFrame, sign: int) -> LineIndex:
-    """Counts move by those of docs; of the filters only the keys that cross min_docs are put in or taken out."""
+    """Counts move by those of docs, which are other documents than those that stay; of the filters only the keys that
+    cross min_docs are put in or taken out."""
     delta = reference_counts(docs).select("key", (F.col("n_docs") * sign).alias("change"))
     moved = stored(
         index.counts.join(delta, "key", "full")

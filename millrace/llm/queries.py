@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, bpe, exact_dedup, html_text, jaccard_join, line_dedup, packing, quality, substring_dedup, token_files
-from millrace.llm.shared import shared_dir
+from millrace.llm.shared import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +40,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = f"{shared_dir(spark)}/millrace-tokens-{uuid.uuid4().hex}"
+    to = scratch(spark, "tokens")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), to)
     return token_files.read_tokens(spark, to)
 

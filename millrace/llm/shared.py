@@ -19,23 +19,33 @@ _tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local temporary one only where the setting is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local one will do if all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext._jsc.sc()
+        kept = context.getCheckpointDir()
+        if not kept.isDefined() and not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext._jsc.sc().setCheckpointDir(path) if not kept.isDefined() else None
+        if not kept.isDefined():
+            context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a lost executor costs no earlier stage."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _tables:
         atexit.register(_drop_tables)
     _tables.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: a lost executor costs no earlier stage."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,8 @@ from millrace.llm.shared import raw, slices, stored, text_rows
 from millrace.llm.words import hash_texts, run_hashes, words
 
 WINDOW, GRAM = 50, 16
-SHARD_SEGMENTS = 20_000
+#: Words of the different segments in a shard, about: many small shards are dealt evenly.
+SHARD_WORDS = 1_000_000
 #: A minimizer with more different segments than this is settled by window hashes, which need no common task.
 DENSE = 50_000
 
@@ -125,7 +126,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dense: int
         ),
         "asked-spans",
     )
-    n_shards = 1 + asked.count() // SHARD_SEGMENTS
+    n_shards = 1 + (asked.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0) // SHARD_WORDS
     by_doc = asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(*key, "start", "end", "dense")).alias("asked"))
     segments = rows.join(by_doc, ["doc_id", "mark"]).select("doc_id", "text", "asked").mapInArrow(
         _cut, "owner long, value long, h1 long, h2 long, dense boolean, words binary"
@@ -133,6 +134,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dense: int
     held = (
         segments.where("not dense")
         .withColumn("shard", F.pmod("value", F.lit(n_shards)))
+        .repartition(int(n_shards), "shard")
         .groupBy("shard")
         .applyInPandas(lambda pdf: index_shard(pdf.drop_duplicates(key), window), HELD)
     )

@@ -29,7 +29,10 @@ def test_exact_dedup_keeps_columns(spark):
 
 
 def brute_lines(data, n):
-    seen = Counter(k for _, t, *_ in data for k in {line_dedup.line_key(x) for x in (t or "").encode().split(b"\n")} if k)
+    own = defaultdict(set)  # a document is all rows of a doc_id; without one, a row is
+    for at, (i, t, *_) in enumerate(data):
+        own[("none", at) if i is None else i] |= {line_dedup.line_key(x) for x in (t or "").encode().split(b"\n")}
+    seen = Counter(k for keys in own.values() for k in keys if k)
     out = Counter()
     for i, t, *_ in data:
         lines = (t or "").encode().split(b"\n")
@@ -48,6 +51,12 @@ def test_line_dedup(spark, sent):
     assert line_dedup.line_dedup(cases.empty(spark)).count() == 0
 
 
+def test_a_document_in_many_rows_counts_once(spark):
+    docs = spark.createDataFrame([(1, "same line")] * 12 + [(2, "same line")], "doc_id long, text string")
+    assert {r["n_dropped"] for r in line_dedup.line_dedup(docs, 3).collect()} == {0}
+    assert {r["n_dropped"] for r in line_dedup.line_dedup(docs, 2).collect()} == {1}
+
+
 def test_insert_and_delete_are_reversible(spark):
     docs = cases.frame(spark)
     more = spark.createDataFrame([(100 + i, f"Licensed line\nline {i % 2}") for i in range(6)], "doc_id long, text string")
