@@ -65,26 +65,26 @@ def entropy(text: Column) -> Column:
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
 
 
-#: How keys of well-known services begin.
+#: Fixed values of the reference's detectors: what marks a secret in lower-cased text, and how bare tokens begin.
+SECRET_FRAGMENTS = ["authorization:", "proxy-authorization:", "bearer ", "cookie:", "set-cookie:", "api_key=", "apikey=", "api-key:", "x-api-key:", "access_token=", "refresh_token=", "secret_key=", "token=", "adapter_response"]
+BARE_PREFIXES = ["sk-proj-", "github_pat_", "sk-", "sk_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxb-", "xoxp-", "glpat-"]
+
+
+#: Keys of further services, which only redaction looks for.
 TOKEN_PREFIXES = ["sk-", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AKIA", "AIza", "hf_", "npm_"]
 
 
 def has_secret(text: Column) -> Column:
-    """A service's key, a private key block, an address with a password, or an assignment as in a dotenv file."""
-    prefix = "|".join(sorted(TOKEN_PREFIXES, key=len, reverse=True))
+    """A service's key of 20 characters after its prefix, a private key block, an address with a password, or an assignment as in a
+    dotenv file."""
     return (
-        text.rlike(f"(?<![A-Za-z0-9_-])(?:{prefix})[A-Za-z0-9_-]{{16,}}")
+        text.rlike(f"(?<![A-Za-z0-9_-])(?:{'|'.join(BARE_PREFIXES)})[A-Za-z0-9_-]{{20}}")
         | text.contains("-----BEGIN") & text.contains("PRIVATE KEY-----")
         | text.rlike(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@")
         | text.rlike(r"(?m)^\s*[A-Z_][A-Z0-9_]*\s*=\s*\S")
     )
 
 
-#: Fixed values of the reference's detectors: what marks a secret in lower-cased text, and how bare tokens begin.
-SECRET_FRAGMENTS = ["authorization:", "proxy-authorization:", "bearer ", "cookie:", "set-cookie:", "api_key=", "apikey=", "api-key:", "x-api-key:", "access_token=", "refresh_token=", "secret_key=", "token=", "adapter_response"]
-BARE_PREFIXES = ["sk-proj-", "github_pat_", "sk-", "sk_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxb-", "xoxp-", "glpat-"]
-
-
 def cookie_string(text: Column) -> Column:
     """Two or more segments between semicolons, each key=value or a flag, with a value of 16 bytes or more."""
     parts = F.filter(F.transform(F.split(text, ";"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
@@ -150,3 +150,68 @@ def defang(text: Column) -> Column:
 def cited(answer: Column) -> Column:
     """Distinct source numbers that an answer cites, in order of first mention."""
     return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[S(\d+)\]"), 1))
+
+
+#: Marks of pages that stand between a reader and the page asked for, with the size in bytes below which they count.
+CHALLENGES = [
+    ("akamai", ["bazadebezolkohpepadr"], None),
+    ("cloudflare", ["_cf_chl_opt"], None),
+    ("cloudflare", ["challenge-platform/h/"], None),
+    ("cloudflare", ["just a moment", "cf-spinner"], None),
+    ("cloudflare", ["checking your browser", "cf-spinner"], None),
+    ("cloudflare", ["cf-turnstile"], 100_000),
+    ("cloudflare", ["challenges.cloudflare.com/turnstile"], 100_000),
+    ("datadome", ["geo.captcha-delivery.com"], None),
+    ("datadome", ["captcha-delivery.com/captcha"], None),
+    ("aws_waf", ["awswaf-captcha"], None),
+    ("aws_waf", ["aws-waf-client-browser"], None),
+    ("aws_waf", ["interstitial-spinner", "verifying your connection"], 10_000),
+    ("hcaptcha", ["hcaptcha.com", "h-captcha"], 50_000),
+]
+
+
+def challenge(body: Column, most_bytes: int = 150 << 10, head: int = 50_000) -> Column:
+    """Who blocks the reader, or null. Pages beyond most_bytes are judged by their first `head` characters, as challenges are short."""
+    size = F.octet_length(body)
+    low = F.lower(F.when(size <= most_bytes, body).otherwise(F.substring(body, 1, head)))
+    out = F.lit(None).cast("string")
+    for vendor, marks, below in reversed(CHALLENGES):
+        test = F.lit(True) if below is None else size < below
+        for mark in marks:
+            test &= low.contains(mark)
+        out = F.when(test, vendor).otherwise(out)
+    return out
+
+
+def meta_description(page: Column) -> Column:
+    """What the head's description says, from the first 8192 characters where the head has no end; null without one."""
+    ended = F.regexp_extract(page, r"(?s)^(.*?)</(?:head|HEAD)>", 1)
+    head = F.when(page.rlike(r"</(?:head|HEAD)>"), ended).otherwise(F.substring(page, 1, 8192))
+    pattern = r"(?is)name=\"description\".*?content=\"([^\"]*)\""
+    return F.when(head.rlike(pattern), F.regexp_extract(head, pattern, 1))
+
+
+def links(page: Column) -> Column:
+    """Absolute addresses of the page's anchors, in order, once each."""
+    anchors = F.regexp_extract_all(page, F.lit(r"<a[ \t\n\r][^>]*>"), 0)
+    found = F.flatten(F.transform(anchors, lambda a: F.regexp_extract_all(a, F.lit(r"href=\"([^\"]*)\""), 1)))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x.startswith("http://") | x.startswith("https://")))
+
+
+def env_keys(lines: Column) -> Column:
+    """struct(key, secret, has_default) of each KEY=value line; the value itself is never given."""
+    pattern = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=(.*)$"
+    name = F.regexp_extract(lines, pattern, 1)
+    secret = F.lower(name).rlike("secret|password|token|api_key|apikey|private_key|database_url")
+    return F.when(lines.rlike(pattern), F.struct(name.alias("key"), secret.alias("secret"), (F.trim(F.regexp_extract(lines, pattern, 2)) != "").alias("has_default")))
+
+
+def without_sources(answer: Column) -> Column:
+    """An answer without the list of sources at its end."""
+    return F.regexp_replace(answer, r"(?is)\n\s*#{0,3}\s*sources:?\s*\n.*$", "")
+
+
+def markdown_links(text: Column) -> Column:
+    """http(s) targets of Markdown links in order, repeats kept, without fragments."""
+    found = F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(\s*(https?://[^\s)#]*)"), 1)
+    return found

@@ -165,15 +165,16 @@ def url_parts(spark, d):
 
 @query(r"""WITH c AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
 p AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS h, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$', 1) AS r FROM c)
-SELECT page_id, s || '://' || CASE s WHEN 'https' THEN regexp_replace(h, ':443$', '') WHEN 'http' THEN regexp_replace(h, ':80$', '') ELSE h END || regexp_replace(r, '/+(\?|$)', '\1') AS canonical FROM p""")
+SELECT page_id, s || '://' || CASE s WHEN 'https' THEN regexp_replace(h, ':443$', '') WHEN 'http' THEN regexp_replace(h, ':80$', '') ELSE h END
+ || CASE WHEN regexp_replace(regexp_extract(r, '^[^?]*'), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(r, '^[^?]*'), '/+$', '') END || regexp_extract(r, '\?.*$') AS canonical FROM p""")
 def url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", U.canonical(F.col("url")).alias("canonical"))
 
 
-@query(rf"""WITH p AS (SELECT page_id, url, lower({_PATH}) AS p FROM pages)
-SELECT page_id, (CASE WHEN regexp_matches(p, '/(docs?|guides?|reference|api|tutorials?|learn|manual)(/|$)') THEN 4 ELSE 0 END + CASE WHEN len(list_filter(string_split(p, '/'), lambda s: s <> '')) = 0 THEN 1 ELSE 0 END
- + CASE WHEN len(list_filter(string_split(p, '/'), lambda s: s <> '')) BETWEEN 1 AND 4 THEN 2 ELSE 0 END - CASE WHEN contains(url, '?') THEN 2 ELSE 0 END
- - CASE WHEN regexp_matches(p, '/(login|signup|privacy|terms|careers|tag|tags|author)(/|$)') THEN 3 ELSE 0 END - CASE WHEN regexp_matches(p, '\.(zip|gz|tgz|tar|rar|7z)$') THEN 6 ELSE 0 END) AS score FROM p""")
+@query(rf"""WITH p AS (SELECT page_id, url, lower({_PATH}) AS p, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h FROM pages)
+SELECT page_id, (CASE WHEN regexp_matches(h || p, '{'|'.join(U.HIGH_VALUE)}') THEN 4 ELSE 0 END + CASE WHEN len(list_filter(string_split(p, '/'), lambda s: s <> '')) = 0 THEN 1 ELSE 0 END
+ + CASE WHEN len(list_filter(string_split(p, '/'), lambda s: s <> '')) BETWEEN 1 AND 4 THEN 2 ELSE 0 END - CASE WHEN contains(regexp_replace(url, '#.*$', ''), '?') THEN 2 ELSE 0 END
+ - CASE WHEN regexp_matches(p, '{'|'.join(U.LOW_VALUE)}') THEN 3 ELSE 0 END - CASE WHEN regexp_matches(p, '\.(zip|gz|tar|exe|dmg)$') THEN 6 ELSE 0 END) AS score FROM p""")
 def url_suggestion_scores(spark, d):
     return table(spark, d, "pages").select("page_id", U.suggestion_score(F.col("url")).alias("score"))
 
@@ -249,7 +250,7 @@ def turn_links(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.lag("turn").over(w), F.lit(-1)).alias("prev"), F.coalesce(F.lead("turn").over(w), F.lit(-1)).alias("next"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?:^|[^A-Za-z0-9_-])(?:github_pat_|glpat-|xoxb-|xoxp-|ghp_|gho_|ghs_|AKIA|AIza|npm_|sk-|hf_)[A-Za-z0-9_-]{16,}') OR (contains(text, '-----BEGIN') AND contains(text, 'PRIVATE KEY-----'))
+@query(r"""SELECT doc_id, regexp_matches(text, '(?:^|[^A-Za-z0-9_-])(?:sk-proj-|github_pat_|sk-|sk_|ghp_|gho_|ghu_|ghs_|ghr_|xoxb-|xoxp-|glpat-)[A-Za-z0-9_-]{20}') OR (contains(text, '-----BEGIN') AND contains(text, 'PRIVATE KEY-----'))
  OR regexp_matches(text, '[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@') OR regexp_matches(text, '(?m)^\s*[A-Z_][A-Z0-9_]*\s*=\s*\S') AS secret FROM documents""")
 def secret_detection(spark, d):
     return table(spark, d, "documents").select("doc_id", T.has_secret(F.col("text")).alias("secret"))

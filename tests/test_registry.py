@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from millrace.plans import registry
+from millrace.plans import registry, rules  # noqa: F401  rules registers its queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
