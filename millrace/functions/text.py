@@ -22,8 +22,9 @@ def bucket(term: Column) -> Column:
 
 def term_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, bucket, tf, weight): terms are ASCII alphanumeric runs of 3 or more, no stop words; weight ln(1 + tf)."""
-    terms = F.filter(F.split(F.regexp_replace(text_col, "[^A-Za-z0-9]+", " "), " "), lambda t: F.length(t) >= 3)
-    each = docs.select(id_col, F.explode(F.transform(terms, lambda t: F.lower(t))).alias("term"))
+    terms = F.filter(F.split(F.lower(F.regexp_replace(text_col, "[^A-Za-z0-9]+", " ")), " "), lambda t: F.length(t) >= 3)
+    # dealt by id once, before the terms are apart: neither count needs another shuffle
+    each = docs.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(terms).alias("term"))
     counted = each.where(~F.col("term").isin(STOP_WORDS)).groupBy(id_col, "term").agg(F.count("*").alias("n"))
     by_bucket = counted.select(id_col, bucket(F.col("term")).cast("int").alias("bucket"), "n").groupBy(id_col, "bucket").agg(F.sum("n").alias("tf"))
     return by_bucket.withColumn("weight", F.log1p("tf"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import written
+
 
 def manifest_diff(previous: DataFrame, following: DataFrame, key: str, compared: Sequence[str]) -> DataFrame:
     """(key, change): added, removed, modified (a compared column differs, null being equal to null) or unchanged."""
@@ -50,11 +52,12 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int, both: bool = False)
     step = edges.select("src", "dst")
     if both:
         step = step.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    step = step.distinct()
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
+    step = written(step.distinct())
+    seen = written(start.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for d in range(1, depth + 1):
-        front = front.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
+    for d in range(1, depth + 1):  # each level is written, so the next one reads it instead of making it again
+        reached = front.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        front = written(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.union(front)
     return seen
 
@@ -78,7 +81,7 @@ def merge_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def claim_order(jobs: DataFrame, now: Column, quantum_s: int = 30, most: int = 4) -> DataFrame:
-    """Jobs with their effective priority (less is sooner; waiting lowers it by one a quantum, `most` times at most) and place."""
+    """Jobs with their effective priority: less is sooner; waiting lowers it by one a quantum, `most` times at most."""
     waited = F.greatest(F.unix_timestamp(now) - F.unix_timestamp("created_at"), F.lit(0))
     aged = jobs.withColumn("effective", F.greatest(F.lit(0), F.col("priority") - F.least(F.lit(most), F.floor(waited / quantum_s).cast("int"))))
     return aged

@@ -196,7 +196,11 @@ def fuse(first: DataFrame, second: DataFrame, k: int, constant: int = 60) -> Dat
 
 
 def context(hits: DataFrame, most_bytes: int, most_tokens: int, gap: int = 2) -> DataFrame:
-    """The longest prefix of hits (query_id, rank, text) that fits both budgets; a token is four bytes, rounded up."""
+    """The longest prefix of hits (query_id, rank, text), ranked from 1, that fits both budgets; a token is four bytes, rounded up.
+
+    Every hit after the first costs the gap at least, so hits of a rank that cannot fit go before the running sums."""
+    if gap > 0:
+        hits = hits.where(F.col("rank") <= most_bytes // gap + 1)
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     size = F.sum(F.octet_length("text")).over(w) + gap * (F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
     tokens = F.sum(F.ceil(F.octet_length("text") / 4)).over(w)
@@ -221,10 +225,3 @@ def page_after(df: DataFrame, key: str, cursor: object, limit: int = 50) -> Data
     if not 1 <= limit <= 500:
         raise ValueError("limit is from 1 to 500")
     return (df if cursor is None else df.where(F.col(key) > F.lit(cursor))).orderBy(key).limit(limit)
-
-
-def render(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, text): a document's chunks (chunk_index, chunk_text) in order, missing indexes last, empty ones left out."""
-    at = F.coalesce(F.col("chunk_index"), F.lit(2**31 - 1))
-    parts = F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("chunk_text").alias("t"))))
-    return chunks.where(F.trim("chunk_text") != "").groupBy(key).agg(F.trim(F.array_join(F.transform(parts, lambda p: p["t"]), "\n")).alias("text"))

@@ -186,13 +186,13 @@ def page_descriptions(spark, d):
 
 MEMORIES = Rows(
     "customer", memory_id="c_custkey", status=_pick("c_custkey", "'active'", "'working'", "'forgotten'", "'superseded'", "'archived'", "'contradicted'"), body="concat(c_name, ' ', c_mktsegment)", words="CAST(length(c_mktsegment) AS INT)",
-    scope_kind=_pick("c_custkey", "'global'", "'repo'", "''"), scope_value="c_mktsegment", salience="(c_custkey % 100) / 100.0", nation="c_nationkey",
+    scope_kind=_pick("c_custkey", "'global'", "'repo'", "''"), scope_value="c_mktsegment", salience="CAST(c_custkey % 100 AS DOUBLE) / 100", nation="c_nationkey",
 )
 
 
 @query(f"""SELECT memory_id, CASE status WHEN 'forgotten' THEN FALSE WHEN 'superseded' THEN TRUE WHEN 'archived' THEN FALSE ELSE TRUE END AS found, status IN ('active', 'contradicted') AS shown,
- CASE WHEN contains(lower(body), 'building 00') THEN 1.0 ELSE ((contains(lower(body), 'building'))::INT + (contains(lower(body), '00'))::INT) / 2.0 END AS semantic,
- CASE WHEN scope_value = 'BUILDING' THEN 1.0 WHEN scope_kind IN ('global', '') THEN 0.5 ELSE 0.25 END AS scope FROM {MEMORIES.sql}""")
+ CASE WHEN contains(lower(body), 'building 00') THEN 1.0 ELSE ((contains(lower(body), 'building'))::INT + (contains(lower(body), '00'))::INT) / 2.0 END::DOUBLE AS semantic,
+ CASE WHEN scope_value = 'BUILDING' THEN 1.0 WHEN scope_kind IN ('global', '') THEN 0.5 ELSE 0.25 END::DOUBLE AS scope FROM {MEMORIES.sql}""")
 def memory_rules(spark, d):
     s = F.col("status")
     return MEMORIES.frame(spark, d).select(
@@ -234,8 +234,8 @@ def memory_hits(spark, d):
     return found.select("memory_id", "name", F.row_number().over(Window.orderBy("rank")).alias("rank"))
 
 
-@query(f"""SELECT m.memory_id, round(least(1, greatest(0, salience + coalesce(a, 0))), 9) AS salience, coalesce(n, 0) AS reinforcement_count, CASE WHEN n IS NULL THEN 0 ELSE epoch(last_at) END AS last_at FROM {MEMORIES.sql} m
-LEFT JOIN (SELECT o_custkey AS memory_id, sum(0.05) AS a, count(*) AS n, max(o_orderdate) AS last_at FROM orders GROUP BY 1) r USING (memory_id)""")
+@query(f"""SELECT m.memory_id, round(least(1::DOUBLE, greatest(0::DOUBLE, salience + coalesce(a, 0))), 9) AS salience, coalesce(n, 0) AS reinforcement_count, CASE WHEN n IS NULL THEN 0 ELSE epoch(last_at) END::BIGINT AS last_at FROM {MEMORIES.sql} m
+LEFT JOIN (SELECT o_custkey AS memory_id, sum(0.05::DOUBLE) AS a, count(*) AS n, max(o_orderdate) AS last_at FROM orders GROUP BY 1) r USING (memory_id)""")
 def memory_reinforced(spark, d):
     records = MEMORIES.frame(spark, d).withColumns({"reinforcement_count": F.lit(0).cast("long"), "last_reinforced_at": F.lit(None).cast("timestamp"), "salience": F.col("salience").cast("double")})
     changes = table(spark, d, "orders").select(F.col("o_custkey").alias("memory_id"), F.lit(0.05).alias("amount"), F.col("o_orderdate").cast("timestamp").alias("at"))
@@ -279,7 +279,7 @@ def graph_edge_ends(spark, d):
 ALIASES = Rows("nation", alias_kind=_pick("n_nationkey", "'stable_key'", "'node_id'", "'canonical_uri'", "'other'"), alias_value="n_name", node_id="n_nationkey")
 
 
-@query(f"SELECT s.c AS asked, a.node_id, CASE WHEN a.node_id IS NOT NULL THEN 1.0 END AS confidence FROM (SELECT DISTINCT c FROM (SELECT n_name AS c FROM nation UNION ALL SELECT r_name FROM region)) s LEFT JOIN (SELECT * FROM {ALIASES.sql} WHERE alias_kind <> 'other') a ON a.alias_value = s.c")
+@query(f"SELECT s.c AS asked, a.node_id, CASE WHEN a.node_id IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM (SELECT DISTINCT c FROM (SELECT n_name AS c FROM nation UNION ALL SELECT r_name FROM region)) s LEFT JOIN (SELECT * FROM {ALIASES.sql} WHERE alias_kind <> 'other') a ON a.alias_value = s.c")
 def graph_resolve(spark, d):
     names = table(spark, d, "nation").select(F.col("n_name").alias("asked")).union(table(spark, d, "region").select("r_name"))
     return G.by_alias(names, ALIASES.frame(spark, d))
@@ -324,7 +324,7 @@ def job_sweep(spark, d):
     return L.swept(jobs, F.timestamp_seconds(F.lit(1000)), 300, 3).select("job_id", "status", "attempt")
 
 
-@query(f"""SELECT kind, count(*) AS completed, round(avg(seconds), 6) AS mean_seconds, round(avg(docs / nullif(seconds, 0)), 6) AS docs_per_second, coalesce(sum(docs), 0) AS docs, coalesce(sum(chunks), 0) AS chunks,
+@query(f"""SELECT kind, count(*) AS completed, round(avg(seconds), 6) AS mean_seconds, round(avg(docs / nullif(seconds, 0)), 6) AS docs_per_second, coalesce(sum(docs), 0)::BIGINT AS docs, coalesce(sum(chunks), 0)::BIGINT AS chunks,
  greatest(0, 1200000000 - epoch(max(updated_at) + to_seconds(seconds)))::BIGINT AS seconds_ago, count(*) FILTER (WHERE updated_at + to_seconds(seconds) >= TIMESTAMP '2008-01-09 21:20:00') AS last_day, round(sum(chunks) / nullif(sum(docs), 0) * 500.0, 6) AS tokens_per_doc
 FROM {JOBS.sql} WHERE status = 'completed' GROUP BY kind""".replace("epoch(max(updated_at) + to_seconds(seconds))", "epoch(max(updated_at + to_seconds(seconds)))"))
 def job_statistics(spark, d):
@@ -340,7 +340,7 @@ def event_append(spark, d):
     return L.appended(e, "user_id", "key", ["ts", "event_id"]).select("event_id", "sequence")
 
 
-@query("""SELECT event_id, first_value(CASE WHEN event_id % 4 = 0 THEN 60 END IGNORE NULLS) OVER w AS total, least(max(floor(value)) OVER w, first_value(CASE WHEN event_id % 4 = 0 THEN 60 END IGNORE NULLS) OVER w) AS done
+@query("""SELECT event_id, first_value(CASE WHEN event_id % 4 = 0 THEN 60 END IGNORE NULLS) OVER w AS total, least(max(floor(value)) OVER w, first_value(CASE WHEN event_id % 4 = 0 THEN 60 END IGNORE NULLS) OVER w)::BIGINT AS done
 FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def progress_counters(spark, d):
     e = table(spark, d, "events").withColumns({"total": F.when(F.col("event_id") % 4 == 0, 60), "done": F.floor("value")})

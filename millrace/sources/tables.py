@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,5 +26,27 @@ def session_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_points(points: DataFrame, path: str, partition: str | None = None) -> None:
+    """points instead of all that stands at path; see upsert_points for a write that keeps other points."""
     writer = points.write.mode("overwrite")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+
+def upsert_points(points: DataFrame, path: str, to: str, key: str = "point_id") -> None:
+    """Write at `to` the points at path with those of points put in their place or added: doing it twice changes nothing.
+
+    Of points that repeat a key one stays, the greatest by its columns. Files do not change, so the result is a new version."""
+    rest = [c for c in points.columns if c != key]
+    new = points.groupBy(key).agg(F.max(F.struct(*rest)).alias("r")).select(key, "r.*")
+    old = points.sparkSession.read.parquet(path).join(new.select(key), key, "left_anti")
+    old.unionByName(new, allowMissingColumns=True).write.parquet(to)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read back; a local folder in local mode where spark.checkpoint.dir is unset."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="millrace-"))
+    return df.checkpoint()

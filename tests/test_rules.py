@@ -9,6 +9,7 @@ from millrace.operators import access as A
 from millrace.operators import graph as G
 from millrace.operators import ledger as L
 from millrace.operators import memory as M
+from millrace.sources import tables as S
 
 
 def one(spark, column, value):
@@ -99,3 +100,14 @@ def test_deletions(spark):
     assert left("points", point_ids=[]) == [1, 2, 3]
     assert left("filter", filter={"source_generation": 3}) == [2]
     assert left("collection") == []
+
+
+def test_upsert_is_idempotent(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "point_id long, v string")
+    new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "point_id long, v string")
+    paths = [f"file://{tmp_path}/{i}" for i in range(3)]
+    S.write_points(old, paths[0])
+    S.upsert_points(new, paths[0], paths[1])
+    S.upsert_points(new, paths[1], paths[2])
+    for p in paths[1:]:
+        assert sorted(tuple(r) for r in spark.read.parquet(p).collect()) == [(1, "a"), (2, "c"), (3, "e")]
