@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, exact_dedup, html_text, jaccard_join, line_dedup, packing, quality, substring_dedup, token_files
+from millrace.llm import ann, bpe, exact_dedup, html_text, jaccard_join, lexical, line_dedup, packing, piece_bpe, quality, spelling, substring_dedup, token_files
 from millrace.llm.shared import scratch
 
 
@@ -57,6 +57,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(_table(spark, sf_dir, "documents"), jaccard_join.Measure(k=3, num=90, den=100))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_pieces(_table(spark, sf_dir, "documents"), digests=True)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.dictionary(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -68,6 +80,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_nearest": op9_nearest,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_piece_bpe": op11_piece_bpe,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES = {
@@ -105,4 +120,31 @@ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(seen) FROM r WHERE r.node = d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+c AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+f AS (SELECT t, floor(1000 * ln((2 * c.n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, c.n),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(w) * c.n) // c.l) AS m FROM d, c),
+s AS (SELECT q.item_id, m.r, m.doc_id, sum(f.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m)))::BIGINT AS score
+      FROM q JOIN p ON p.t = q.t JOIN f ON f.t = q.t JOIN m ON m.r = p.r GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10""",
+    "op13_spelling": r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents WHERE text IS NOT NULL),
+each AS (SELECT doc_id, w, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM run GROUP BY doc_id, w),
+crc AS (SELECT doc_id, w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i:i+1])::BIGINT)),
+        lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM each, tab),
+dict AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % len(w))::INT) || substr(w, (h % len(w))::INT + 2) ELSE w END AS word, sum(n)::BIGINT AS n FROM crc GROUP BY 1 HAVING len(word) >= 5 AND sum(n) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i::INT) || chr(1) || substr(word, i::INT + 2) AS hole, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS less FROM (SELECT word, n, unnest(range(len(word))) AS i FROM dict)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n, a.n FROM cut a JOIN cut b ON a.hole = b.hole AND a.word <> b.word
+   UNION SELECT d.word, c.word, c.n, d.n FROM cut c JOIN dict d ON c.less = d.word UNION SELECT c.word, d.word, d.n, c.n FROM cut c JOIN dict d ON c.less = d.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+form AS (SELECT near.word, min(other) AS form, any_value(top) AS form_n FROM near JOIN best ON best.word = near.word AND other_n = top AND top >= 2 * near.n GROUP BY near.word),
+chain AS (SELECT word, word AS stop, 0 AS depth FROM dict UNION ALL SELECT chain.word, form.form, depth + 1 FROM chain JOIN form ON form.word = chain.stop),
+ends AS (SELECT word, arg_max(stop, depth) AS root FROM chain GROUP BY word)
+SELECT dict.word, form.form, ends.root, dict.n, coalesce(best.n_near, 0)::BIGINT AS n_near, form.form_n
+FROM dict JOIN ends ON ends.word = dict.word LEFT JOIN best ON best.word = dict.word LEFT JOIN form ON form.word = dict.word""",
 }
