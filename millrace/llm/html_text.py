@@ -37,14 +37,17 @@ KEYWORDS = {
     "share": "share sharing social follow tags byline meta metadata author print",
     "comment": "comment comments reply replies respond disqus discussion",
     "form": "form search login contact poll survey",
-    "main": "article content main post entry story body text prose page",
+    "main": "article content main post entry hentry story body text prose page",
 }
+#: First words of a class that only say what a page has or is filed under, and last words that only say how it is set.
+MODIFIERS = set("has with no not without is are hide show tag category format status type".split())
+STATES = set("open opened closed enabled disabled on off allowed layout active visible ready loaded".split())
 _KIND = {word: kind for kind, words in KEYWORDS.items() for word in words.split()}
 
 _MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
 _STOP = re.compile(r"[=>]")
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_PARTS = re.compile(r"[a-z]+")
+_PARTS, _CAMEL = re.compile(r"[a-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])", re.IGNORECASE) for tag in RAW}
 _DEPTH = 200
 
@@ -114,13 +117,30 @@ class _Open:
     hidden: bool = False
 
 
+def _told(name: str) -> str:
+    """The part that one class, id or role tells. Of its words those of parts that are left out go first; what only says that the page has
+    such a part, or how it is set (has-sidebar, tag-social, comment-open), tells nothing; a header of the text itself is its lead."""
+    words = _PARTS.findall(_CAMEL.sub("-", name).lower())
+    if len(words) > 1 and (words[0] in MODIFIERS or words[-1] in STATES):
+        return ""
+    found = [_KIND[w] for w in words if w in _KIND]
+    out = next((k for k in found if k != "main"), "")
+    return "lead" if out == "head" and found[0] == "main" else out or ("main" if found else "")
+
+
 def _kind(tag: str, attributes: str) -> str:
-    """The part that a block element's name, classes and id tell; a part that is left out goes before the main one."""
-    names = " ".join("".join(x) for x in _ATTRIBUTE.findall(attributes)).lower() if attributes else ""
-    found = [_KIND[w] for w in _PARTS.findall(names) if w in _KIND]
+    """The part that a block element's name, classes and id tell. Where one of them tells the main part and another one that is left out
+    (post tags), it is mixed: the texts within decide. An element's own name (nav, aside) goes before that."""
     if tag in ("body", "html"):
         return ""
-    return next((k for k in found if k != "main"), "") or _TAG_KIND.get(tag, "") or ("main" if found else "")
+    names = " ".join("".join(x) for x in _ATTRIBUTE.findall(attributes)).split() if attributes else ()
+    found = [k for k in map(_told, names) if k]
+    out, own = next((k for k in found if k != "main"), ""), _TAG_KIND.get(tag, "")
+    if own and own != "main":
+        return "lead" if own == "head" and out in ("", "lead") and found else out or own
+    if out and out != "lead" and ("main" in found or tag == "main"):
+        return "mixed"
+    return out or own or ("main" if found else "")
 
 
 def blocks(page: str) -> list[Block]:
@@ -203,7 +223,7 @@ def _part(kinds: tuple[str, ...]) -> str:
 def text_features(b: Block) -> tuple[str, ...]:
     words = b.text.count(" ") + 1
     part = _part(b.kinds)
-    where = part if part in ("main", "none") else "other"
+    where = part if part in ("main", "none", "mixed", "lead") else "other"
     size, ends, links = f"words:{min(6, words.bit_length())}", f"ends:{min(3, len(_SENTENCE.findall(b.text)))}", f"links:{int(b.link_share * 3.99)}"
     rights = "copyright:1" if "©" in b.text or "&copy" in b.text else "copyright:0"
     return (size, ends, links, rights, f"last:{b.text[-1] in '.!?…:;'}", f"{where} {size}", f"{where} {links}", f"{where} {rights}", f"{where} {ends}", f"{where} {b.tag} {links}")
@@ -212,7 +232,7 @@ def text_features(b: Block) -> tuple[str, ...]:
 def place_features(b: Block) -> tuple[str, ...]:
     part = _part(b.kinds)
     inside = "main" if "main" in b.kinds[:-1] else "other" if b.kinds[:-1] else "none"
-    marked = part not in ("main", "none")
+    marked = part not in ("main", "none", "mixed", "lead")
     return (
         *{f"in:{t}" for t in b.tags if t in _TELLING}, *{f"kind:{k}" for k in b.kinds}, f"tag:{b.tag if b.tag in _TELLING else 'other'}", f"part:{part}", f"part:{part} in {inside}",
         f"marked:{marked}", f"{b.tag if b.tag in _TELLING else 'other'} in {part}",
@@ -299,7 +319,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, dict[str, in
     """Pages of varied layouts with the label of each block's text, made by rule: the labelled set to learn from.
 
     The article stands in a marked element, in a plain one, or in none; what is left out stands before, behind and
-    inside it, marked or told only by its links and its place.
+    inside it, marked or told only by its links and its place. Some elements of the article have classes that tell other parts too.
     """
     rng = random.Random(seed)
     serial = iter(range(10**9))
@@ -340,6 +360,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, dict[str, in
             "footer": lambda: element(*pick([("footer", ""), ("div", "footer"), ("div", "site-footer")]), pick(["<p>", ""]) + say(pick(["© ", ""]) + prose(rng.randint(1, 2)), 0)),
             "plain-nav": lambda: element(pick(["div", "ul", "table"]), "", pick([links, row])(rng.randint(3, 8))),
             "plain-footer": lambda: element(pick(["div", "p"]), "", say("© " + phrase(), 0)),
+            "mixed": lambda: element(pick(["div", "ul", "section"]), pick(["post tags", "content related", "entry share", "post nav", "story promo"]), pick([links, row])(rng.randint(2, 5))),
         }
         some = lambda names, p: "".join(junk[k]() for k in names if rng.random() < p)
         inside = ["ad", "side", "note", "form", "share", "nav"]
@@ -359,11 +380,16 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, dict[str, in
                 body.append(junk[pick(inside)]())
         title = pick([f"<h1>{say(phrase(), 1)}</h1>", f"<h1>{say(phrase(), 1)}</h1>", ""])
         layout = rng.random()
-        if layout < 0.15 and title:
-            title = f"<header>{title}</header>"
-        main = title + "".join(body) + some(["share", "comments", "side", "footer"], 0.12)
+        if layout < 0.3 and title:
+            byline = element(pick(["p", "div", "span"]), pick(["byline", "entry-meta", "author"]), say(pick(["", prose(1)]) + phrase(), 0)) if rng.random() < 0.4 else ""
+            title = element(*pick([("header", ""), ("header", "entry-header"), ("div", "post-header"), ("div", "article-header"), ("div", "entry-header")]), title + byline)
+        main = title + "".join(body) + some(["share", "comments", "side", "footer", "mixed"], 0.12)
         if layout < 0.45:
-            main = element(*pick([("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "entry-content"), ("div", "story")]), main)
+            cls = pick(["post", "content", "entry-content", "story", "article-body", "post hentry", "site-main"])
+            if rng.random() < 0.4:  # further classes that tell other parts
+                also = [pick(["tags", "meta", "print", "notice", "poll", "logo-left", "author-page", "page-popular", "sidebar-right", "social", "comment", "promo", "header-top", "ad-free"]) for _ in range(rng.randint(1, 2))]
+                cls = " ".join(rng.sample([cls, *also], 1 + len(also)))
+            main = element(*pick([("article", ""), ("article", cls), ("main", ""), ("main", cls), ("div", cls), ("div", cls), ("section", cls)]), main)
         elif layout < 0.7:
             main = element(pick(["div", "div", "section", "td"]), pick(["", "", "wrap", "col-8"]), main)
         marked = ["header", "nav", "note", "ad", "side"]

@@ -246,6 +246,30 @@ def test_pages_written_by_hand(field, what):
     assert html_text.main_text(f"<html><head><title>no</title></head>{page}</html>", field) == want
 
 
+#: Classes of ordinary articles with words that tell other parts of a page.
+CLASSES = [
+    "post has-sidebar", "content with-sidebar", "post-12 post hentry category-news tag-social", "entry-content comment-open", "article-body no-ads", "site-main page-popular", "post-content share-enabled",
+    "content-area search-enabled", "post tags", "article meta", "story promo-layout", "hentry print", "post notice", "post poll", "post related-on", "content logo-left", "entry brand-story", "site-content tags-on", "author-page main",
+]
+
+
+@pytest.mark.parametrize("cls", CLASSES)
+def test_articles_with_telling_classes_are_whole(field, cls):
+    body = "<h1>Title of it</h1><p>First has some words in it, and more.</p><h2>Sub head</h2><ul><li>One thing</li><li>Another thing here</li></ul><p>Second has words in it, too. And then it goes on.</p>"
+    want = "Title of it First has some words in it, and more. Sub head One thing Another thing here Second has words in it, too. And then it goes on."
+    for tag in ("article", "div", "main", "section"):
+        for name in ("class", "id"):
+            page = f'<nav><a href=/>Home</a><a href=/b>Blog</a></nav><{tag} {name}="{cls}">{body}</{tag}><div class="comments"><p>I like it. Very good.</p></div><footer><p>&copy; us.</p></footer>'
+            assert html_text.main_text(f"<html><body>{page}</body></html>", field) == want
+
+
+@pytest.mark.parametrize("lead", ['<div class="post-header">{}</div>', '<header class="entry-header">{}</header>', '<div class="articleHeader">{}</div>'])
+def test_titles_in_a_lead_stay(field, lead):
+    head = lead.format("<h1>Title of it</h1><p class='byline'>By someone</p>")
+    page = f"<div class='site-header'><p>Brand of all</p></div><div class='post'>{head}<p>First has some words in it, and more.</p><p>Second has words.</p><div class='post tags'><a href=x>one</a><a href=y>two</a></div></div>"
+    assert html_text.main_text(page, field) == "Title of it First has some words in it, and more. Second has words."
+
+
 def test_scanner_is_linear(field):
     for bad in ("<a '", "<p x='", '<p x="', "<!--", "<", "</", "<svg>", "<b>"):
         start = time.time()
