@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -19,6 +20,8 @@ PIECES = "piece_bpe_32k.model"
 #: Units that a worker keeps in memory, and the longest of them.
 MOST_UNITS, LONGEST_UNIT = 400_000, 64
 SPACE = "▁"
+#: Symbols of a text whose agenda is a list; a place after all others; the half of a number that holds an id.
+MOST_LISTED, _NONE, _ID = 40, 1 << 62, (1 << 32) - 1
 SCHEMA = "doc_id long, ids binary, decoded string, agrees boolean"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
 
@@ -37,6 +40,15 @@ class PieceBPE:
         if any(SPACE in p.lstrip(SPACE) for p in joined):
             raise ValueError("a piece holds a space after other characters: texts cannot be cut before spaces")
         self.lines_apart = not any("\n" in p for p in joined)
+        self.text_of = {i: p for p, (i, _) in pieces.items()}
+        self.single = {p: i for p, (i, _) in pieces.items() if len(p) == 1}
+        # each way to make a piece of two: left << 32 | right -> place of its score << 32 | piece
+        place = {score: at for at, score in enumerate(sorted({pieces[p][1] for p in joined}, reverse=True))}
+        self.pairs = {
+            pieces[p[:k]][0] << 32 | pieces[p[k:]][0]: place[pieces[p][1]] << 32 | pieces[p][0] for p in joined for k in range(1, len(p)) if p[:k] in pieces and p[k:] in pieces
+        }
+        times = Counter(pieces[p][1] for p in joined)
+        self.tied = {p[:2] for p in joined if times[pieces[p][1]] > 1}
 
     @classmethod
     def load(cls, path: str) -> PieceBPE:
@@ -50,42 +62,61 @@ class PieceBPE:
         as_bytes = {i: int(lib.id_to_piece(i)[3:5], 16) for i in known if lib.is_byte(i)}
         return cls(plain, as_bytes, lib.unk_id(), lib.bos_id(), lib.eos_id(), {i for i in known if lib.is_control(i)})
 
-    def merge(self, text: str) -> list[str]:
-        """The pieces of text, in which spaces are SPACE: of all adjacent pairs that make a piece the one of the highest score is
-        joined, the leftmost of equal ones, until none is left. Pairs wait in a heap; one that has changed since is skipped."""
-        pieces, last = self.pieces, len(text) - 1
-        symbols: list[str] = list(text)
-        after, before = list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
-        agenda = [(-found[1], i, i + 1, 2) for i in range(last) if (found := pieces.get(symbols[i] + symbols[i + 1]))]
+    def symbols(self, text: str) -> list[int]:
+        """The pieces of text, in which spaces are SPACE, by id, a character in no piece as the complement of its code point: of all adjacent pairs that make
+        a piece the one of the highest score is joined, the leftmost of equal ones, until none is left.
+
+        The agenda of a short text is a list with a pair for each symbol, of which the best is taken; that of a longer one is a heap."""
+        single = self.single
+        symbols = [single[c] if c in single else ~ord(c) for c in text]
+        if len(symbols) > MOST_LISTED or any(t in text for t in self.tied):
+            return self._by_heap(symbols)
+        get = self.pairs.get
+        agenda = [get(a << 32 | b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+        agenda.append(_NONE)
+        while (best := min(agenda)) != _NONE:
+            at = agenda.index(best)
+            symbols[at] = piece = best & _ID
+            del symbols[at + 1], agenda[at + 1]
+            agenda[at] = get(piece << 32 | symbols[at + 1], _NONE) if at + 1 < len(symbols) else _NONE
+            if at:
+                agenda[at - 1] = get(symbols[at - 1] << 32 | piece, _NONE)
+        return symbols
+
+    def _by_heap(self, symbols: list[int]) -> list[int]:
+        """Entries are place of the score << 32 | left symbol; one whose pair has changed since has another place and is skipped."""
+        get, last = self.pairs.get, len(symbols) - 1
+        after, before = list(range(1, len(symbols) + 1)), list(range(-1, last))
+        agenda = [(found >> 32) << 32 | i for i in range(last) if (found := get(symbols[i] << 32 | symbols[i + 1])) is not None]
         heapify(agenda)
+        gone = [False] * len(symbols)
         while agenda:
-            _, left, right, size = heappop(agenda)
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != size:
+            entry = heappop(agenda)
+            left = entry & _ID
+            right = after[left]
+            if gone[left] or right > last:
+                continue
+            found = get(symbols[left] << 32 | symbols[right])
+            if found is None or found >> 32 != entry >> 32:
                 continue
-            symbols[left] += symbols[right]
-            symbols[right] = ""
+            symbols[left], gone[right] = found & _ID, True
             far = after[left] = after[right]
             if far <= last:
                 before[far] = left
-                both = symbols[left] + symbols[far]
-                if found := pieces.get(both):
-                    heappush(agenda, (-found[1], left, far, len(both)))
-            if (near := before[left]) >= 0:
-                both = symbols[near] + symbols[left]
-                if found := pieces.get(both):
-                    heappush(agenda, (-found[1], near, left, len(both)))
-        return [s for s in symbols if s]
+                if (found := get(symbols[left] << 32 | symbols[far])) is not None:
+                    heappush(agenda, (found >> 32) << 32 | left)
+            if (near := before[left]) >= 0 and (found := get(symbols[near] << 32 | symbols[left])) is not None:
+                heappush(agenda, (found >> 32) << 32 | near)
+        return [s for s, dead in zip(symbols, gone, strict=True) if not dead]
+
+    def merge(self, text: str) -> list[str]:
+        return [chr(~s) if s < 0 else self.text_of[s] for s in self.symbols(text)]
 
     def ids(self, text: str) -> list[int]:
-        out = []
-        for piece in self.merge(text):
-            if found := self.pieces.get(piece):
-                out.append(found[0])
-            elif self.byte_id:
-                out += [self.byte_id[b] for b in piece.encode()]
-            else:
-                out.append(self.unknown)
-        return out
+        out = self.symbols(text)
+        if min(out, default=0) >= 0:
+            return out
+        return [i for s in out for i in ((s,) if s >= 0 else [self.byte_id[b] for b in chr(~s).encode()] if self.byte_id else (self.unknown,))]
 
     def decode(self, ids: list[int]) -> str:
         """The text: control ids say nothing and end a run, the first other piece loses one SPACE before it, runs of byte ids are read as
@@ -144,6 +175,7 @@ class PieceEncoder:
         self.words: dict[str, bytes] = {}  # units after one space
         self.units: dict[str, bytes] = {}  # any others, as they stand
         self.line_break = array("I", bpe.ids("\n")).tobytes()
+        self.fresh: list[tuple[str, bytes]] | None = None  # a text for the library and its ids here, for each unit learned since the last check
 
     def _learn(self, memory: dict[str, bytes], unit: str, lead: str) -> bytes:
         if self.bpe.lines_apart and "\n" in unit:
@@ -151,6 +183,11 @@ class PieceEncoder:
             head = memory.get(first) or self._learn(memory, first, lead)
             return self.line_break.join([head, *[self._run(r) for r in rest]])
         known = array("I", self.bpe.ids(lead + unit)).tobytes()
+        if self.fresh is not None and lead + unit != SPACE:
+            if lead or unit[0] == SPACE:  # the library puts the first space itself
+                self.fresh.append((unit if lead else unit[1:], known))
+            else:
+                self.fresh.append(("\n" + unit, array("I", self.bpe.ids(SPACE)).tobytes() + self.line_break + known))
         if len(unit) <= LONGEST_UNIT:
             if len(memory) >= MOST_UNITS:
                 memory.clear()
@@ -170,25 +207,38 @@ class PieceEncoder:
         return b"".join([get(w) or learn(words, w, SPACE) for w in text.split(" ")])
 
 
-_encoders: dict[str, tuple] = {}
+class Checked:
+    """An encoder beside the sentencepiece library. Texts are cut into units, so it is enough that the library gives the same ids for each
+    unit when it is learned; once one differed, whole texts are compared."""
 
+    def __init__(self, path: str):
+        import sentencepiece
 
-def piece_encoder(path: str) -> PieceEncoder:
-    return _both(path)[0]
+        self.coder, self.library = PieceEncoder(PieceBPE.load(path)), sentencepiece.SentencePieceProcessor(model_file=path)
+        self.coder.fresh, self.differs = [], False
 
+    def agree(self, texts: list[str], ids: list[list[int]], decoded: list[str]) -> list[bool]:
+        """For each text whether the library gives these ids, begin and end among them, and decodes them to the same."""
+        fresh, self.coder.fresh = self.coder.fresh or [], []
+        theirs = self.library.encode([t for t, _ in fresh], num_threads=1)
+        self.differs = self.differs or any(array("I", a).tobytes() != b for a, (_, b) in zip(theirs, fresh, strict=True))
+        whole = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1) if self.differs else ids
+        return [a == b and self.library.decode(a) == c for a, b, c in zip(ids, whole, decoded, strict=True)]
+
+
+_encoders: dict[tuple[str, bool], PieceEncoder | Checked] = {}
 
-def _both(path: str) -> tuple:
-    """The encoder and the library's, once for each Python worker."""
-    if path not in _encoders:
-        import sentencepiece
 
-        _encoders[path] = PieceEncoder(PieceBPE.load(path)), sentencepiece.SentencePieceProcessor(model_file=path)
-    return _encoders[path]
+def piece_encoder(path: str, checked: bool = False) -> PieceEncoder | Checked:
+    """One for each Python worker, which is used for many tasks."""
+    if (path, checked) not in _encoders:
+        _encoders[path, checked] = Checked(path) if checked else PieceEncoder(PieceBPE.load(path))
+    return _encoders[path, checked]
 
 
 def encode_pieces(docs: DataFrame, path: str | None = None, digests: bool = False, check: bool = True) -> DataFrame:
     """(doc_id, ids, decoded, agrees) for each row of docs: ids with begin and end id as little-endian unsigned 32-bit integers, the
-    text decoded from them, and whether the sentencepiece library gives the same ids and text (null without check).
+    text decoded from them, and whether the sentencepiece library, asked in the same batch, gives the same ids and text (null without check).
 
     Null and empty texts have the begin and end id alone and decode to the empty text. Bytes that are no UTF-8 count as U+FFFD.
     Repeated rows are encoded each, null doc_ids are kept, other columns of any name make no difference, an empty table gives none.
@@ -197,7 +247,8 @@ def encode_pieces(docs: DataFrame, path: str | None = None, digests: bool = Fals
     path = path or default_path(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, library = _both(path)
+        checker = piece_encoder(path, checked=True) if check else None
+        coder = checker.coder if checker else piece_encoder(path)
         begin, end = (array("I", [i]).tobytes() for i in (coder.bpe.begin, coder.bpe.end))
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
@@ -205,10 +256,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, digests: bool = Fals
                 ids = [begin + coder.encode(t) + end for t in texts]
                 lists = [np.frombuffer(x, "<u4").tolist() for x in ids]
                 decoded = [coder.bpe.decode(x) for x in lists]
-                agrees: list[bool | None] = [None] * len(ids)
-                if check:
-                    theirs = library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-                    agrees = [a == b and library.decode(a) == c for a, b, c in zip(lists, theirs, decoded, strict=True)]
+                agrees = checker.agree(texts, lists, decoded) if checker else [None] * len(ids)
                 if digests:
                     columns = [
                         pa.array(map(len, lists), pa.int64()),

@@ -50,6 +50,18 @@ def test_agenda_is_the_plain_definition():
     assert bpe.ids("cab") == [99, 2]
 
 
+def test_units_are_checked_by_the_library(monkeypatch):
+    pair = piece_bpe.Checked(P.path(piece_bpe.PIECES))
+    texts = ["plain words, plain", " two  spaces \n\nline\n  indent ▁ x", "", "\nfirst", "é\x00\t你🙂", "a" * 300 + "\n" + "b" * 99]
+    both = lambda: [[1, *np.frombuffer(pair.coder.encode(t), "<u4").tolist(), 2] for t in texts]
+    ids = both()
+    assert pair.agree(texts, ids, [LIBRARY.decode(i) for i in ids]) == [True] * 6 and not pair.differs
+    pair.coder.words.clear()
+    monkeypatch.setattr(pair.coder.bpe, "ids", lambda text: [28705, 13] if text == "▁plain" else LIBRARY.encode(text.removeprefix("▁")))
+    ids = both()
+    assert pair.agree(texts, ids, [LIBRARY.decode(i) for i in ids])[0] is False and pair.differs
+
+
 def test_piece_query(spark):
     out = piece_bpe.encode_pieces(cases.frame(spark), digests=True).collect()
     assert all(r["agrees"] for r in out)
