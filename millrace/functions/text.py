@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +24,48 @@ def bucket(term: Column) -> Column:
     return F.aggregate(codes, F.lit(FNV_START), lambda h, b: (h.bitwiseXOR(b) * FNV_PRIME) % BUCKETS)
 
 
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Terms whose bucket a worker remembers.
+MOST_TERMS = 500_000
+
+
+def _bucket_of(term: bytes) -> int:
+    h = FNV_START
+    for b in term:
+        h = (h ^ b) * FNV_PRIME % BUCKETS
+    return h
+
+
+def term_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, buckets, counts, weights) of each row: terms are ASCII alphanumeric runs of 3 or more, no stop words, lower-cased; the weight of a
+    bucket is ln(1 + its count). Terms are counted where the text is read: nothing is shuffled. A null text has no terms."""
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, buckets array<int>, counts array<long>, weights array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = {w.encode() for w in STOP_WORDS}
+        known: dict[bytes, int] = dict.fromkeys(stop, -1)
+        for batch in batches:
+            found = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                terms = [t for t in (text or b"").translate(_LOWER).split() if len(t) >= 3]
+                for t in set(terms).difference(known):
+                    if len(known) >= MOST_TERMS:
+                        break
+                    known[t] = _bucket_of(t)
+                numbers = np.fromiter((known[t] if t in known else _bucket_of(t) for t in terms), np.int32, len(terms))
+                found.append(np.unique(numbers[numbers >= 0], return_counts=True))
+            ends = np.concatenate(([0], np.cumsum([len(b) for b, _ in found]))).astype(np.int32)
+            buckets, counts = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in (0, 1))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((buckets, pa.int32()), (counts, pa.int64()), (np.log1p(counts), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[id_col, "buckets", "counts", "weights"])
+
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
 def term_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, bucket, tf, weight): terms are ASCII alphanumeric runs of 3 or more, no stop words; weight ln(1 + tf)."""
-    terms = F.filter(F.split(F.lower(F.regexp_replace(text_col, "[^A-Za-z0-9]+", " ")), " "), lambda t: F.length(t) >= 3)
-    # dealt by id once, before the terms are apart: neither count needs another shuffle
-    each = docs.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(terms).alias("term"))
-    counted = each.where(~F.col("term").isin(STOP_WORDS)).groupBy(id_col, "term").agg(F.count("*").alias("n"))
-    by_bucket = counted.select(id_col, bucket(F.col("term")).cast("int").alias("bucket"), "n").groupBy(id_col, "bucket").agg(F.sum("n").alias("tf"))
-    return by_bucket.withColumn("weight", F.log1p("tf"))
+    """(id, bucket, tf, weight): a row for each bucket of term_lists."""
+    each = term_lists(docs, id_col, text_col).select(id_col, F.explode(F.arrays_zip("buckets", "counts", "weights")).alias("e"))
+    return each.select(id_col, F.col("e.buckets").alias("bucket"), F.col("e.counts").alias("tf"), F.col("e.weights").alias("weight"))
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2000) -> DataFrame:
@@ -43,22 +81,6 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.where(F.trim("line") != "").select(id_col, (F.col("at") + 1).alias("line_no"), "line")
 
 
-def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, section, level, title, body): ATX headings outside fences start a section; section 0 stands before any."""
-    each = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
-    w = Window.partitionBy(id_col).orderBy("at")
-    fenced = each.withColumn("fences", F.sum(F.col("line").rlike(r"^\s{0,3}(```|~~~)").cast("int")).over(w))
-    marked = fenced.withColumn("heading", (F.col("fences") % 2 == 0) & F.col("line").rlike(r"^#{1,6}\s+\S"))
-    placed = marked.withColumn("section", F.sum(F.col("heading").cast("int")).over(w))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("at", "line")))), lambda x: x["line"]), "\n")
-    first = F.min(F.when(F.col("heading"), F.struct("at", "line")))
-    return (
-        placed.groupBy(id_col, "section")
-        .agg(first["line"].alias("head"), F.trim(body).alias("body"))
-        .select(id_col, "section", F.length(F.regexp_extract("head", "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("head", r"^#+\s+|\s+#+\s*$", "")).alias("title"), "body")
-    )
-
-
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits a character."""
     chars = F.split(text, "")
@@ -75,17 +97,6 @@ BARE_PREFIXES = ["sk-proj-", "github_pat_", "sk-", "sk_", "ghp_", "gho_", "ghu_"
 TOKEN_PREFIXES = ["sk-", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AKIA", "AIza", "hf_", "npm_"]
 
 
-def has_secret(text: Column) -> Column:
-    """A service's key of 20 characters after its prefix, a private key block, an address with a password, or an assignment as in a
-    dotenv file."""
-    return (
-        text.rlike(f"(?<![A-Za-z0-9_-])(?:{'|'.join(BARE_PREFIXES)})[A-Za-z0-9_-]{{20}}")
-        | text.contains("-----BEGIN") & text.contains("PRIVATE KEY-----")
-        | text.rlike(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@")
-        | text.rlike(r"(?m)^\s*[A-Z_][A-Z0-9_]*\s*=\s*\S")
-    )
-
-
 def cookie_string(text: Column) -> Column:
     """Two or more segments between semicolons, each key=value or a flag, with a value of 16 bytes or more."""
     parts = F.filter(F.transform(F.split(text, ";"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
@@ -94,9 +105,8 @@ def cookie_string(text: Column) -> Column:
     return text.contains(";") & text.contains("=") & (F.size(parts) >= 2) & shaped & F.exists(parts, lambda s: s.contains("=") & (size(s) >= 16))
 
 
-def contains_secret(text: Column) -> Column:
-    """Whether text has a secret by the reference's detectors: fragments, a dotenv line, a bare token of 20 characters
-    after its prefix, a private key block, an address with user and password, or a cookie string."""
+def marked_secret(text: Column) -> Column:
+    """Whether text has a fragment that marks a secret, a dotenv line, or a bare token of 20 characters after its prefix."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = F.lit(False)
     for fragment in SECRET_FRAGMENTS:
@@ -105,6 +115,14 @@ def contains_secret(text: Column) -> Column:
         found
         | text.rlike(r"(?Udm)^[^\S\n]*[A-Z_][A-Z0-9_]*[^\S\n]*=[^\S\n]*\S")
         | text.rlike(f"(?<![A-Za-z0-9_-])(?:{'|'.join(BARE_PREFIXES)})[A-Za-z0-9_-]{{20}}")
+    )
+
+
+def contains_secret(text: Column) -> Column:
+    """Whether text has a secret by the reference's detectors: what marks one, a private key block, an address with user and password,
+    or a cookie string."""
+    return (
+        marked_secret(text)
         | text.rlike("-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
         | text.rlike(r"(?U)[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@]+:[^\s/@]+@[^\s/]+")
         | cookie_string(text)
@@ -207,11 +225,6 @@ def env_keys(lines: Column) -> Column:
     return F.when(lines.rlike(pattern), F.struct(name.alias("key"), secret.alias("secret"), (F.trim(F.regexp_extract(lines, pattern, 2)) != "").alias("has_default")))
 
 
-def without_sources(answer: Column) -> Column:
-    """An answer without the list of sources at its end."""
-    return F.regexp_replace(answer, r"(?is)\n\s*#{0,3}\s*sources:?\s*\n.*$", "")
-
-
 def markdown_links(text: Column) -> Column:
     """http(s) targets of Markdown links in order, repeats kept, without fragments."""
     found = F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(\s*(https?://[^\s)#]*)"), 1)

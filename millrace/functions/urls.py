@@ -131,26 +131,7 @@ def endpoint_noise(value: Column) -> Column:
     return (F.octet_length(value) < 4) | bare | _any(low, NOISE_HOSTS) | F.split(low, r"\?")[0].rlike(f"(?:{'|'.join(map(escape, STATIC_SUFFIXES))})$")
 
 
-def endpoint_kind(value: Column) -> Column:
-    low = F.lower(value)
-    socket, graph = low.startswith("ws://") | low.startswith("wss://"), low.contains("graphql") | low.contains("/gql")
-    return F.when(socket, "websocket").when(graph, "graphql").when(low.startswith("http://") | low.startswith("https://"), "absolute_url").otherwise("relative_path")
-
-
 def valid_host(value: Column) -> Column:
     """Whether an absolute address has a host of two labels or more, none empty, the last of two letters or more; others pass."""
     home = F.regexp_extract(value, r"^(?:https?|wss?)://([^/:?#]*)", 1)
     return F.when(value.rlike(r"^(?:https?|wss?)://"), home.rlike(r"^(?:[^.]+\.)+[A-Za-z]{2,}$")).otherwise(True)
-
-
-#: Parameters that tell where a reader came from.
-TRACKING = ["gclid", "fbclid", "mc_cid", "mc_eid", "igshid", "ref"]
-
-
-def feed_identity(link: Column) -> Column:
-    """A feed's link without fragment and without parameters that only track the reader."""
-    cut = F.regexp_replace(link, "#.*$", "")
-    front, asked = F.regexp_extract(cut, r"^([^?]*)", 1), F.regexp_extract(cut, r"^[^?]*\?(.*)$", 1)
-    name = lambda p: F.split(p, "=")[0]
-    kept = F.array_join(F.filter(F.split(asked, "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(TRACKING)), "&")
-    return F.when(kept == "", front).otherwise(F.concat(front, F.lit("?"), kept))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import graph
 from millrace.sources.tables import written
 
 
@@ -31,20 +32,41 @@ def newest(df: DataFrame, key: str, order: str, keep: int) -> DataFrame:
     return df.withColumn("age_rank", F.row_number().over(w)).where(F.col("age_rank") <= keep)
 
 
-#: Days after which a memory of each kind counts half.
-HALF_LIVES = {"working": 1.0, "episodic": 7.0, "semantic": 180.0, "decision": 730.0, "fact": 180.0, "preference": 30.0}
+#: Days after which a memory of each decay profile counts half; `none` never decays.
+HALF_LIVES = {"very_fast": 1.0, "fast": 7.0, "normal": 30.0, "slow": 180.0, "very_slow": 730.0}
+#: What is taken off the score of a memory by its status; an archived one loses nothing where archived ones are asked for.
+PENALTIES = {"forgotten": 1.0, "superseded": 0.5, "archived": 0.25}
+CONTRADICTED = 0.25
 
 
-def decay(age_days: Column, half_life: Column) -> Column:
-    """0.5 ^ (age / half-life); no half-life, no decay; ages below 0 count as 0."""
-    return F.coalesce(F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0.0)) / half_life), F.lit(1.0))
+def half_life(profile: Column) -> Column:
+    """Days of a decay profile; null, which means no decay, for `none` and for others."""
+    out = F.lit(None).cast("double")
+    for name, days in HALF_LIVES.items():
+        out = F.when(profile == name, days).otherwise(out)
+    return out
 
 
-def memory_score(semantic: Column, confidence: Column, salience: Column, scope: Column, reinforcements: Column, decayed: Column, contradicted: Column) -> Column:
-    """Weighted sum times decay, less 0.25 for a contradiction, within 0 and 1; reinforcement counts ln(1 + n) / 5, at most 1."""
-    reinforced = F.least(F.log1p(reinforcements) / 5, F.lit(1.0))
-    score = (0.45 * semantic + 0.20 * confidence + 0.15 * salience + 0.10 * scope + 0.10 * reinforced) * decayed
-    return F.least(F.greatest(score - F.when(contradicted, 0.25).otherwise(0.0), F.lit(0.0)), F.lit(1.0))
+def decay(age_days: Column, half_life: Column, pinned: Column | None = None) -> Column:
+    """0.5 ^ (age / half-life); no decay without a half-life or while pinned; ages below 0 count as 0."""
+    factor = F.coalesce(F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0.0)) / half_life), F.lit(1.0))
+    return factor if pinned is None else F.when(pinned, 1.0).otherwise(factor)
+
+
+def status_penalty(status: Column, archived: bool = False) -> Column:
+    out = F.lit(0.0)
+    for name, lost in PENALTIES.items():
+        if not (archived and name == "archived"):
+            out = F.when(status == name, lost).otherwise(out)
+    return out
+
+
+def memory_score(semantic: Column, confidence: Column, salience: Column, scope: Column, reinforcements: Column, decayed: Column, status: Column, archived: bool = False) -> Column:
+    """Weighted sum times decay, less the penalties of the status, within 0 and 1; each part counts within 0 and 1, reinforcement as
+    ln(1 + n) / 5."""
+    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    base = 0.45 * unit(semantic) + 0.20 * unit(confidence) + 0.15 * unit(salience) + 0.10 * unit(scope) + 0.10 * unit(F.log1p(reinforcements) / 5)
+    return unit(base * decayed - F.when(status == "contradicted", CONTRADICTED).otherwise(0.0) - status_penalty(status, archived))
 
 
 def traverse(edges: DataFrame, start: DataFrame, depth: int, both: bool = False) -> DataFrame:
@@ -62,19 +84,12 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int, both: bool = False)
     return seen
 
 
-#: Authorities from the weakest to the strongest.
-AUTHORITIES = ["unknown", "inferred", "observed", "declared", "verified", "official", "user_pinned"]
-
-
-def rank_of(authority: Column) -> Column:
-    return F.coalesce(F.array_position(F.array(*map(F.lit, AUTHORITIES)), authority) - 1, F.lit(0))
-
-
-def merge_nodes(nodes: DataFrame) -> DataFrame:
-    """One row a node_id: highest authority, greatest confidence, all source ids, label of the latest row."""
+def merge_nodes(nodes: DataFrame, fallback: float = 0.0) -> DataFrame:
+    """One row a node_id: highest authority, greatest confidence (fallback without any, within 0 and 1), all source ids, label of the latest row."""
+    confidence = F.least(F.greatest(F.coalesce(F.max("confidence"), F.lit(fallback)), F.lit(0.0)), F.lit(1.0))
     return nodes.groupBy("node_id").agg(
-        F.max_by("authority", rank_of(F.col("authority"))).alias("authority"),
-        F.max("confidence").alias("confidence"),
+        F.coalesce(F.max_by("authority", F.struct(graph.rank(F.col("authority")), "authority")), F.lit("unknown")).alias("authority"),
+        confidence.alias("confidence"),
         F.array_sort(F.collect_set("source_id")).alias("source_ids"),
         F.max_by("label", "updated_at").alias("label"),
     )

@@ -49,8 +49,8 @@ def best(records: DataFrame, score: str, key: str, limit: int) -> DataFrame:
 
 
 def with_records(hits: DataFrame, records: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Hits with their record, in the order of rank, and the hits whose record is gone."""
-    return hits.join(records, key).orderBy("rank"), hits.join(records, key, "left_anti")
+    """Hits with their record, and the hits whose record is gone."""
+    return hits.join(records, key), hits.join(records, key, "left_anti")
 
 
 def review_queue(reviews: DataFrame, records: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from millrace.sources.tables import written
+
 #: Points and queries of one task of a search, on average; cells of a matrix that it holds at a time.
 POINT_SHARD, LEAST_SHARDS, QUERY_BLOCK, CELLS = 20_000, 12, 5_000, 4_000_000
 #: So many of the buckets that most pairs share are multiplied as a matrix, the others by their lists.
@@ -135,19 +137,21 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _topk(points.select("id", "v"), queries.select("query_id", "q"), k, best, (points.count(), queries.count()))
 
 
-def sparse_topk(weights: DataFrame, query: DataFrame, k: int, sizes: tuple[int, int] | None = None, digits: int = 6) -> DataFrame:
-    """(query_id, id, score, rank): sums of products of weights (id, bucket, weight) and query (query_id, bucket, weight).
+def listed(weights: DataFrame, key: str) -> DataFrame:
+    """(key, buckets, weights) of rows (key, bucket, weight)."""
+    return weights.groupBy(key).agg(F.collect_list(F.struct("bucket", "weight")).alias("e")).select(key, F.col("e.bucket").alias("buckets"), F.col("e.weight").alias("weights"))
+
+
+def sparse_topk(points: DataFrame, queries: DataFrame, k: int, sizes: tuple[int, int] | None = None, digits: int = 6) -> DataFrame:
+    """(query_id, id, score, rank): sums of products of the weights of points (id, buckets, weights) and queries (query_id, buckets, weights).
 
     Weights are above zero; each id has a bucket once. The sums are taken in any order, so they are rounded before they
     are ranked. sizes: how many ids and query_ids there are at most, counted where not given.
     """
 
-    def listed(df: DataFrame, key: str) -> DataFrame:
-        return df.groupBy(key).agg(F.collect_list(F.struct("bucket", "weight")).alias("e")).select(key, F.col("e.bucket").alias("b"), F.col("e.weight").alias("w"))
-
     def cells(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths, _, b = _flat(t["b"])
-        return np.repeat(np.arange(len(lengths)), lengths), b.to_numpy(), _flat(t["w"])[2].to_numpy()
+        lengths, _, b = _flat(t["buckets"])
+        return np.repeat(np.arange(len(lengths)), lengths), b.to_numpy(), _flat(t["weights"])[2].to_numpy()
 
     def best(p: pa.Table, q: pa.Table, place: np.ndarray) -> Iterator[tuple]:
         n, m, (row, b, w), (q_row, q_b, q_w) = p.num_rows, q.num_rows, cells(p), cells(q)
@@ -183,8 +187,7 @@ def sparse_topk(weights: DataFrame, query: DataFrame, k: int, sizes: tuple[int,
                 hits = hits[np.lexsort((place[hits], -s[hits]))][:k]
                 yield at + i, hits, s[hits].tolist()
 
-    sizes = sizes or (weights.select("id").distinct().count(), query.select("query_id").distinct().count())
-    return _topk(listed(weights, "id"), listed(query, "query_id"), k, best, sizes)
+    return _topk(points.select("id", "buckets", "weights"), queries.select("query_id", "buckets", "weights"), k, best, sizes or (points.count(), queries.count()))
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int, constant: int = 60) -> DataFrame:
@@ -196,17 +199,51 @@ def fuse(first: DataFrame, second: DataFrame, k: int, constant: int = 60) -> Dat
 
 
 def context(hits: DataFrame, most_bytes: int, most_tokens: int, gap: int = 2) -> DataFrame:
-    """The longest prefix of hits (query_id, rank, text), ranked from 1, that fits both budgets; a token is four bytes, rounded up.
+    """The longest prefix of hits (query_id, rank, bytes), ranked from 1, that fits both budgets; a token is four bytes, rounded up. Null counts as no bytes.
 
     Every hit after the first costs the gap at least, so hits of a rank that cannot fit go before the running sums."""
     if gap > 0:
         hits = hits.where(F.col("rank") <= most_bytes // gap + 1)
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.sum(F.octet_length("text")).over(w) + gap * (F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
-    tokens = F.sum(F.ceil(F.octet_length("text") / 4)).over(w)
+    bytes_ = F.coalesce("bytes", F.lit(0))
+    size, tokens = F.sum(bytes_).over(w) + gap * (F.col("rank") - 1), F.sum(F.ceil(bytes_ / 4)).over(w)
     return hits.withColumn("bytes_so_far", size).withColumn("tokens_so_far", tokens).where((F.col("bytes_so_far") <= most_bytes) & (F.col("tokens_so_far") <= most_tokens))
 
 
+#: Ids of one span, of which leading() takes the sums first.
+SPAN = 1000
+
+
+def leading(hits: DataFrame, order: str, most_bytes: int, most_tokens: int, gap: int = 2) -> DataFrame:
+    """context() of hits (query_id, order, bytes) that come in the order of a whole number, one row each, with rank.
+
+    Sums of spans of SPAN numbers, taken where the rows are, tell which spans can be reached within the budget; the rows of the others
+    never move. A query's reachable rows are at most one span more than the budget holds gaps."""
+    span = F.floor(F.col(order) / SPAN).alias("span")
+    cost = F.sum(F.coalesce("bytes", F.lit(0)) + gap)
+    sums = hits.groupBy("query_id", span).agg(cost.alias("cost"))
+    before = Window.partitionBy("query_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    reached = sums.withColumn("before", F.coalesce(F.sum("cost").over(before), F.lit(0))).where(F.col("before") <= most_bytes + gap).select("query_id", "span")
+    near = reached.select(F.col("query_id").alias("q"), F.col("span").alias("s"))
+    kept = hits.join(near, F.col("query_id").eqNullSafe(F.col("q")) & (F.floor(F.col(order) / SPAN) == F.col("s")), "left_semi")
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order)))
+    return context(ranked, most_bytes, most_tokens, gap)
+
+
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """df with the place of each row in the order of all, from 1. Rows are dealt by ranges and written; a task numbers its own, and the sizes of the
+    ranges before it, one number a range, are added."""
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
+    sizes, total = {}, 0
+    for r in sorted(dealt.groupBy("_range").count().collect()):
+        sizes[r["_range"]], total = total, total + r["count"]
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    if not sizes:
+        return dealt.withColumn(name, within).drop("_range")
+    known = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    return dealt.withColumn(name, (F.element_at(known, F.col("_range")) + within).cast("long")).drop("_range")
+
+
 def facet(df: DataFrame, key: Column, limit: int | None = None) -> DataFrame:
     """(value, n): null counts as `unknown`, empty values are left out; with a limit the most frequent, ties by value."""
     counted = df.select(F.coalesce(key.cast("string"), F.lit("unknown")).alias("value")).where("value <> ''").groupBy("value").agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from millrace.operators import jobs as J
 from millrace.operators import lifecycle as L
 from millrace.operators import reports as P
 from millrace.operators import retrieval as R
-from millrace.sources.tables import table
+from millrace.sources.tables import table, written
 from millrace.streaming import events as S
 
 _QUERIES: dict = {}
@@ -40,18 +40,16 @@ def _points(spark, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-def _asked(spark, d: str, which: str = "id < 5") -> DataFrame:
-    """The query set that the SQL states: the five vectors of the smallest ids."""
-    return _points(spark, d).where(which).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+#: The query set of a search: every row whose id is divisible by 20.
+_EVERY = "id % 20 = 0"
 
 
-#: The query set of a whole search: every row whose id is divisible by 20.
-_EVERY = "id % 20 = 0"
+def _asked(spark, d: str) -> DataFrame:
+    return _points(spark, d).where(_EVERY).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
 
 
 _DOT = "list_sum(list_transform(range(1, len(p.embedding) + 1), lambda i: p.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE))"
-_DENSE = f"SELECT q.vec_id AS query_id, p.vec_id AS id, {_DOT} AS score FROM embeddings p, embeddings q WHERE q.vec_id < 5"
-_DENSE_WHOLE = f"SELECT q.vec_id AS query_id, p.vec_id AS id, {_DOT} AS score FROM embeddings p, embeddings q WHERE q.vec_id % 20 = 0"
+_DENSE = f"SELECT q.vec_id AS query_id, p.vec_id AS id, {_DOT} AS score FROM embeddings p, embeddings q WHERE q.vec_id % 20 = 0"
 _URL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '')"
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
@@ -73,22 +71,6 @@ def retrieval_exclude_after_topk(spark, d):
     return hits.join(_points(spark, d).select("id", "label"), "id").where(~F.col("label").isin(2) | F.col("label").isNull()).select("query_id", "id", "rank")
 
 
-@query(f"SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DENSE_WHOLE})) WHERE rank <= 10")
-def retrieval_dense_topk_whole(spark, d):
-    return R.dense_topk(_points(spark, d), _asked(spark, d, _EVERY), 10).withColumn("score", F.round("score", 9))
-
-
-@query(f"SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DENSE_WHOLE} AND p.label IN (1, 3))) WHERE rank <= 10")
-def retrieval_filtered_topk_whole(spark, d):
-    return R.dense_topk(R.matching(_points(spark, d), {"label": [1, 3]}), _asked(spark, d, _EVERY), 10).withColumn("score", F.round("score", 9))
-
-
-@query(f"SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_DENSE_WHOLE.replace('AS id,', 'AS id, p.label,')})) WHERE rank <= 10 AND (label NOT IN (2) OR label IS NULL)")
-def retrieval_exclude_after_topk_whole(spark, d):
-    hits = R.dense_topk(_points(spark, d), _asked(spark, d, _EVERY), 10)
-    return hits.join(_points(spark, d).select("id", "label"), "id").where(~F.col("label").isin(2) | F.col("label").isNull()).select("query_id", "id", "rank")
-
-
 _TERMS = f"""
 t AS (SELECT doc_id, lower(term) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS term FROM documents) WHERE len(term) >= 3),
 u AS (SELECT doc_id, term, count(*) AS n FROM t WHERE term NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)}) GROUP BY ALL),
@@ -101,49 +83,36 @@ def sparse_term_vectors(spark, d):
     return T.term_weights(table(spark, d, "documents")).withColumn("weight", F.round("weight", 9))
 
 
-_SPARSE = """, q AS (SELECT doc_id AS query_id, bucket, weight FROM w WHERE doc_id < 3),
-s AS (SELECT query_id, w.doc_id AS id, sum(w.weight * q.weight) AS score FROM w JOIN q USING (bucket) GROUP BY ALL)"""
-
-
-def _sparse(spark, d, which="id < 3"):
-    w = T.term_weights(table(spark, d, "documents")).withColumnRenamed("doc_id", "id")
-    return w, w.where(which).select(F.col("id").alias("query_id"), "bucket", "weight")
+def _sparse(spark, d, k):
+    """Terms are made once and written: they are points and, for some ids, queries."""
+    terms = written(T.term_lists(table(spark, d, "documents")).withColumnRenamed("doc_id", "id"))
+    return R.sparse_topk(terms, terms.where(_EVERY).withColumnRenamed("id", "query_id"), k, (terms.count(), terms.where(_EVERY).count()))
 
 
-def _sparse_whole(spark, d, k):
-    ids = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    return R.sparse_topk(*_sparse(spark, d, _EVERY), k, (ids.count(), ids.where(_EVERY).count()))
+_SPARSE = """, q AS (SELECT doc_id AS query_id, bucket, weight FROM w WHERE doc_id % 20 = 0),
+s AS (SELECT query_id, w.doc_id AS id, sum(w.weight * q.weight) AS score FROM w JOIN q USING (bucket) GROUP BY ALL)"""
 
 
 @query(f"WITH {_TERMS}{_SPARSE} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s) WHERE rank <= 10")
 def retrieval_sparse_topk(spark, d):
-    w, q = _sparse(spark, d)
-    scored = w.join(q.withColumnRenamed("weight", "qw"), "bucket").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 10")
-
-
-_SPARSE_WHOLE = """, q AS (SELECT doc_id AS query_id, bucket, weight FROM w WHERE doc_id % 20 = 0),
-s AS (SELECT query_id, w.doc_id AS id, sum(w.weight * q.weight) AS score FROM w JOIN q USING (bucket) GROUP BY ALL)"""
-
+    return _sparse(spark, d, 10)
 
-@query(f"WITH {_TERMS}{_SPARSE_WHOLE} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s) WHERE rank <= 10")
-def retrieval_sparse_topk_whole(spark, d):
-    return _sparse_whole(spark, d, 10)
 
-
-@query()
+@query(f"""WITH {_TERMS}{_SPARSE}, a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM ({_DENSE}) QUALIFY r <= 100),
+b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS r FROM s QUALIFY r <= 100),
+f AS (SELECT query_id, id, sum(1::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
+SELECT query_id, id, round(score, 12) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 10""")
 def retrieval_hybrid_rrf(spark, d):
     """Dense and sparse rankings of a hundred each, fused by reciprocal ranks; ids of both tables are taken as the same."""
-    return R.fuse(R.dense_topk(_points(spark, d), _asked(spark, d, _EVERY), 100), _sparse_whole(spark, d, 100), 10)
+    return R.fuse(R.dense_topk(_points(spark, d), _asked(spark, d), 100), _sparse(spark, d, 100), 10).withColumn("score", F.round("score", 12))
 
 
 @query("""WITH h AS (SELECT lang AS query_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents),
 c AS (SELECT query_id, rank, sum(strlen(text)) OVER w + 2 * (rank - 1) AS bytes_so_far, sum(ceil(strlen(text) / 4.0)) OVER w AS tokens_so_far FROM h WINDOW w AS (PARTITION BY query_id ORDER BY rank))
-SELECT query_id, rank, bytes_so_far::BIGINT AS bytes_so_far, tokens_so_far::BIGINT AS tokens_so_far FROM c WHERE bytes_so_far <= 20000 AND tokens_so_far <= 4000""")
+SELECT query_id, rank, bytes_so_far::BIGINT AS bytes_so_far, tokens_so_far::BIGINT AS tokens_so_far FROM c WHERE coalesce(bytes_so_far, 0) <= 20000 AND coalesce(tokens_so_far, 0) <= 4000""")
 def context_budget(spark, d):
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    hits = table(spark, d, "documents").select(F.col("lang").alias("query_id"), "text", F.row_number().over(w).alias("rank"))
-    return R.context(hits, 20000, 4000).select("query_id", "rank", "bytes_so_far", "tokens_so_far")
+    hits = table(spark, d, "documents").select(F.col("lang").alias("query_id"), "doc_id", F.octet_length("text").alias("bytes"))
+    return R.leading(hits, "doc_id", 20000, 4000).select("query_id", "rank", "bytes_so_far", "tokens_so_far")
 
 
 @query("SELECT coalesce(source, 'unknown') AS value, count(*) AS n FROM documents WHERE coalesce(source, 'x') <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
@@ -179,15 +148,9 @@ def url_suggestion_scores(spark, d):
     return table(spark, d, "pages").select("page_id", U.suggestion_score(F.col("url")).alias("score"))
 
 
-@query("SELECT url FROM pages WHERE contains(url, '&amp;') OR length(url) > 2048 UNION SELECT min(url) FROM pages")
-def url_junk_and_first(spark, d):
-    p = table(spark, d, "pages")
-    return p.where(F.length("url").isNotNull() & (F.col("url").contains("&amp;") | (F.length("url") > 2048))).select("url").union(p.agg(F.min("url").alias("url"))).distinct()
-
-
 @query(f"""SELECT url FROM pages WHERE length(url) > 2048 OR contains(url, '&amp;') OR regexp_matches(lower({_PATH}), '%3c|%3e|%7b|%7d')
  OR length(url) - length(replace(url, '%20', '')) >= 9 OR contains(url, '''%20') OR contains(url, '%20''') UNION SELECT min(url) FROM pages""")
-def url_junk_and_first_whole(spark, d):
+def url_junk_and_first(spark, d):
     p = table(spark, d, "pages")
     return p.where(U.junk(F.col("url"))).select("url").union(p.agg(F.min("url").alias("url"))).distinct()
 
@@ -250,12 +213,6 @@ def turn_links(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.lag("turn").over(w), F.lit(-1)).alias("prev"), F.coalesce(F.lead("turn").over(w), F.lit(-1)).alias("next"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?:^|[^A-Za-z0-9_-])(?:sk-proj-|github_pat_|sk-|sk_|ghp_|gho_|ghu_|ghs_|ghr_|xoxb-|xoxp-|glpat-)[A-Za-z0-9_-]{20}') OR (contains(text, '-----BEGIN') AND contains(text, 'PRIVATE KEY-----'))
- OR regexp_matches(text, '[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@') OR regexp_matches(text, '(?m)^\s*[A-Z_][A-Z0-9_]*\s*=\s*\S') AS secret FROM documents""")
-def secret_detection(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.has_secret(F.col("text")).alias("secret"))
-
-
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PARTS = r"list_filter(list_transform(string_split(text, ';'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 
@@ -265,7 +222,7 @@ _PARTS = r"list_filter(list_transform(string_split(text, ';'), lambda s: regexp_
  OR regexp_matches(text, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----') OR regexp_matches(text, '[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@[^\s/]+')
  OR (len({_PARTS}) >= 2 AND len(list_filter({_PARTS}, lambda s: NOT regexp_matches(s, '^([A-Za-z0-9_-]+=\S+|[A-Za-z0-9]+)$'))) = 0
   AND len(list_filter({_PARTS}, lambda s: contains(s, '=') AND strlen(regexp_replace(s, '^[^=]*=', '')) >= 16)) > 0) AS secret FROM documents""")
-def secret_detection_whole(spark, d):
+def secret_detection(spark, d):
     return table(spark, d, "documents").select("doc_id", T.contains_secret(F.col("text")).alias("secret"))
 
 
@@ -323,12 +280,18 @@ def events_sequence(spark, d):
     return S.sequenced(table(spark, d, "events")).select("event_id", "user_id", "sequence")
 
 
-@query("""SELECT event_id, round(least(greatest((0.45 * (value - floor(value)) + 0.20 * 0.5 + 0.15 * 0.4 + 0.10 + 0.10 * least(ln(1 + user_id) / 5, 1)) * power(0.5, greatest(epoch(TIMESTAMP '2024-02-01' - ts) / 86400.0, 0) / 7.0)
- - CASE WHEN event_type = 'error' THEN 0.25 ELSE 0 END, 0), 1), 9) AS score FROM events""")
+@query("""SELECT event_id, round(least(greatest((0.45 * (value - floor(value)) + 0.20 * 0.5 + 0.15 * 0.4 + 0.10 + 0.10 * least(ln(1 + user_id) / 5, 1))
+ * CASE WHEN user_id % 7 = 0 OR event_id % 6 = 5 THEN 1 ELSE power(0.5, greatest(epoch(TIMESTAMP '2024-02-01' - ts) / 86400.0, 0) / [1, 7, 30, 180, 730, 1][(event_id % 6 + 1)::INT]) END
+ - CASE user_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 WHEN 3 THEN 0.25 ELSE 0 END, 0), 1), 9) AS score FROM events""")
 def memory_scores(spark, d):
+    """Profiles and states go round with the ids; every seventh user's memories are pinned."""
+    e = table(spark, d, "events")
+    pick = lambda key, *names: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
     age = (F.unix_timestamp(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6) / 86400
-    score = L.memory_score(F.col("value") - F.floor("value"), F.lit(0.5), F.lit(0.4), F.lit(1.0), F.col("user_id"), L.decay(age, F.lit(7.0)), F.col("event_type") == "error")
-    return table(spark, d, "events").select("event_id", F.round(score, 9).alias("score"))
+    decayed = L.decay(age, L.half_life(pick("event_id", "very_fast", "fast", "normal", "slow", "very_slow", "none")), F.col("user_id") % 7 == 0)
+    status = pick("user_id", "forgotten", "superseded", "archived", "contradicted", "active", "working")
+    score = L.memory_score(F.col("value") - F.floor("value"), F.lit(0.5), F.lit(0.4), F.lit(1.0), F.col("user_id"), decayed, status)
+    return e.select("event_id", F.round(score, 9).alias("score"))
 
 
 _EDGES = "e AS (SELECT DISTINCT o_custkey AS src, o_custkey % 97 AS dst FROM orders)"
@@ -341,12 +304,14 @@ def graph_traverse(spark, d):
     return L.traverse(edges, spark.range(1, 2).select(F.col("id").alias("node")), 3, both=True)
 
 
-@query("""SELECT user_id % 10 AS node_id, arg_max(a, (r, event_id)) AS authority, max(value) AS confidence, list_sort(list(DISTINCT event_type)) AS source_ids, arg_max(event_id, ts) AS label FROM
- (SELECT *, ['unknown', 'inferred', 'observed', 'declared', 'verified', 'official', 'user_pinned'][(event_id % 7 + 1)::INT] AS a, event_id % 7 AS r FROM events) GROUP BY 1""")
+@query("""SELECT user_id % 10 AS node_id, arg_max(a, r) AS authority, least(max(value), 1) AS confidence, list_sort(list(DISTINCT event_type)) AS source_ids, arg_max(event_id, ts) AS label FROM
+ (SELECT *, CASE event_id % 8 WHEN 0 THEN 'unknown' WHEN 1 THEN 'community' WHEN 2 THEN 'mirror' WHEN 3 THEN 'inferred' WHEN 4 THEN 'verified' WHEN 5 THEN 'official' WHEN 6 THEN 'user_pinned' END AS a,
+  CASE event_id % 8 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 5 WHEN 6 THEN 6 ELSE 0 END AS r FROM events WHERE event_id % 8 <= user_id % 8) GROUP BY 1""")
 def graph_merge_nodes(spark, d):
-    e = table(spark, d, "events")
-    names = F.array(*map(F.lit, L.AUTHORITIES))
-    return L.merge_nodes(e.select((F.col("user_id") % 10).alias("node_id"), F.element_at(names, (F.col("event_id") % 7 + 1).cast("int")).alias("authority"), F.col("value").alias("confidence"), F.col("event_type").alias("source_id"), F.col("event_id").alias("label"), F.col("ts").alias("updated_at")))
+    e = table(spark, d, "events").where("event_id % 8 <= user_id % 8")
+    names = ["unknown", "community", "mirror", "inferred", "verified", "official", "user_pinned"]
+    authority = F.try_element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 8 + 1).cast("int"))
+    return L.merge_nodes(e.select((F.col("user_id") % 10).alias("node_id"), authority.alias("authority"), F.col("value").alias("confidence"), F.col("event_type").alias("source_id"), F.col("event_id").alias("label"), F.col("ts").alias("updated_at")))
 
 
 @query("""SELECT event_id, greatest(0, user_id % 6 - least(4, floor(greatest(epoch(TIMESTAMP '2024-01-15') - floor(epoch(ts)), 0) / 3600)))::INT AS effective FROM events""")

@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import records as C
 from millrace.functions import text as T
 from millrace.functions import urls as U
 from millrace.operators import access as A
 from millrace.operators import graph as G
 from millrace.operators import ledger as L
 from millrace.operators import memory as M
+from millrace.operators import retrieval as R
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
@@ -133,7 +135,7 @@ def url_markdown(spark, d):
 
 @query(r"SELECT page_id, regexp_extract(regexp_replace(url, '#.*$', ''), '^([^?]*)', 1) || CASE WHEN k = '' THEN '' ELSE '?' || k END AS link FROM (SELECT *, array_to_string(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid|mc_cid|mc_eid|igshid|ref)(=|$)')), '&') AS k FROM pages)")
 def feed_links(spark, d):
-    return table(spark, d, "pages").select("page_id", U.feed_identity(F.col("url")).alias("link"))
+    return table(spark, d, "pages").select("page_id", C.link_identity(F.col("url")).alias("link"))
 
 
 _VENDORS = [(v, m, b) for v, m, b in T.CHALLENGES]
@@ -157,7 +159,7 @@ VALUES = Rows("orders", id="o_orderkey", v=_pick("o_orderkey", "concat('/api/v1/
  CASE WHEN regexp_matches(v, '^(https?|wss?)://') THEN regexp_matches(v, '^(https?|wss?)://([^./:?#]+\\.)+[A-Za-z]{{2,}}([/:?#]|$)') ELSE TRUE END AS host_ok FROM {VALUES.sql}""")
 def endpoint_values(spark, d):
     v = F.col("v")
-    return VALUES.frame(spark, d).select("id", U.is_endpoint(v).alias("endpoint"), U.endpoint_noise(v).alias("noise"), U.endpoint_kind(v).alias("kind"), U.valid_host(v).alias("host_ok"))
+    return VALUES.frame(spark, d).select("id", U.is_endpoint(v).alias("endpoint"), U.endpoint_noise(v).alias("noise"), C.endpoint_kind(v).alias("kind"), U.valid_host(v).alias("host_ok"))
 
 
 @query(f"SELECT regexp_extract(v, '^(?:https?|wss?)://([^/:?#]*)', 1) AS host, count(*) AS n FROM {VALUES.sql} WHERE regexp_matches(v, '^(https?|wss?)://') GROUP BY 1")
@@ -226,12 +228,12 @@ def memory_reviews(spark, d):
     return M.review_queue(REVIEWS.frame(spark, d), MEMORIES.frame(spark, d), "memory_id").select("memory_id", "status")
 
 
-@query(f"SELECT v.vec_id AS memory_id, c.c_name AS name, row_number() OVER (ORDER BY v.vec_id) AS rank FROM embeddings v JOIN customer c ON c.c_custkey = v.vec_id WHERE v.vec_id < 100")
+@query("SELECT v.vec_id AS memory_id, c.c_name AS name, row_number() OVER (ORDER BY v.vec_id) AS rank FROM embeddings v JOIN customer c ON c.c_custkey = v.vec_id")
 def memory_hits(spark, d):
     """Hits are vectors, records customers of the same id; hits without one are dropped."""
-    hits = table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("memory_id"), F.col("vec_id").alias("rank"))
+    hits = table(spark, d, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("vec_id").alias("rank"))
     found, _ = M.with_records(hits, table(spark, d, "customer").select(F.col("c_custkey").alias("memory_id"), F.col("c_name").alias("name")), "memory_id")
-    return found.select("memory_id", "name", F.row_number().over(Window.orderBy("rank")).alias("rank"))
+    return R.numbered(found.select("memory_id", "name", F.col("rank").alias("of")), ["of"], "rank").select("memory_id", "name", "rank")
 
 
 @query(f"""SELECT m.memory_id, round(least(1::DOUBLE, greatest(0::DOUBLE, salience + coalesce(a, 0))), 9) AS salience, coalesce(n, 0) AS reinforcement_count, CASE WHEN n IS NULL THEN 0 ELSE epoch(last_at) END::BIGINT AS last_at FROM {MEMORIES.sql} m
@@ -431,7 +433,7 @@ def domain_urls(spark, d):
 @query(f"SELECT {_HOST} AS host, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {_HOST}) AS place FROM pages WHERE {_HOST} <> '' GROUP BY 1")
 def domain_ranking(spark, d):
     n = table(spark, d, "pages").where(U.host(F.col("url")) != "").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "host")))
+    return R.numbered(n, [F.desc("n"), "host"], "place")
 
 
 @query("SELECT count(*) AS documents FROM conversations WHERE turn = (SELECT min(turn) FROM conversations)")

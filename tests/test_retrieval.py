@@ -9,7 +9,7 @@ from millrace.plans import registry
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, source, key", [("retrieval_dense_topk_whole", "embeddings", "vec_id"), ("retrieval_sparse_topk_whole", "documents", "doc_id"), ("retrieval_hybrid_rrf", "embeddings", "vec_id")])
+@pytest.mark.parametrize("name, source, key", [("retrieval_dense_topk", "embeddings", "vec_id"), ("retrieval_sparse_topk", "documents", "doc_id"), ("retrieval_hybrid_rrf", "embeddings", "vec_id")])
 def test_every_twentieth_row_asks(spark, name, source, key):
     ids = {r[0] for r in spark.read.parquet(f"{DATA}/{source}.parquet").where(f"{key} % 20 = 0").select(key).collect()}
     got = {r[0] for r in registry.queries()[name](spark, DATA).select("query_id").distinct().collect()}
@@ -42,4 +42,31 @@ def test_sparse_blocks(spark, monkeypatch):
     for common, cells in ((1024, 4_000_000), (5, 20), (0, 7)):
         for name, value in (("POINT_SHARD", 4), ("QUERY_BLOCK", 6), ("COMMON", common), ("CELLS", cells)):
             monkeypatch.setattr(R, name, value)
-        assert sorted(map(str, R.sparse_topk(weights, query, 7).select("query_id", "id", "score", "rank").collect())) == want
+        assert sorted(map(str, R.sparse_topk(R.listed(weights, "id"), R.listed(query, "query_id"), 7).select("query_id", "id", "score", "rank").collect())) == want
+
+
+def test_leading_equals_running_sums(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(R, "SPAN", 7)
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, 0, 1, 5, 30])) for i in rng.sample(range(300), 200)] + [("big", 5, 99), ("big", 6, 1)]
+    want = []
+    for group in {r[0] for r in rows}:
+        total = tokens = 0
+        for rank, (_, _, n) in enumerate(sorted((r for r in rows if r[0] == group), key=lambda r: r[1])):
+            total, tokens = total + (n or 0) + (2 if rank else 0), tokens + -(-(n or 0) // 4)
+            if total > 90 or tokens > 20:
+                break
+            want.append((group, rank + 1, total, tokens))
+    hits = spark.createDataFrame(rows, "query_id string, doc_id long, bytes int").repartition(3)
+    got = [tuple(r) for r in R.leading(hits, "doc_id", 90, 20).select("query_id", "rank", "bytes_so_far", "tokens_so_far").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_numbered(spark):
+    rows = spark.range(0, 200, 1, 5).select((F.col("id") * 37 % 50).alias("a"), "id")
+    got = {r["id"]: r["place"] for r in R.numbered(rows, ["a", F.desc("id")], "place").collect()}
+    order = sorted(got, key=lambda i: (i * 37 % 50, -i))
+    assert [got[i] for i in order] == list(range(1, 201))
+    assert R.numbered(rows.limit(0), ["a"], "place").count() == 0

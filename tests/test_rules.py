@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import records as C
 from millrace.functions import text as T
 from millrace.functions import urls as U
 from millrace.operators import access as A
 from millrace.operators import graph as G
 from millrace.operators import ledger as L
+from millrace.operators import lifecycle as Y
 from millrace.operators import memory as M
 from millrace.sources import tables as S
 
@@ -50,9 +52,9 @@ def test_exclusions_and_scope(spark):
 
 
 def test_secrets(spark):
-    assert one(spark, T.has_secret, "key sk_" + "a1" * 10) is True
-    assert one(spark, T.has_secret, "key sk_" + "a1" * 9) is False
-    assert one(spark, T.has_secret, "AKIA" + "A1" * 10) is False
+    assert one(spark, T.contains_secret, "key sk_" + "a1" * 10) is True
+    assert one(spark, T.contains_secret, "key sk_" + "a1" * 9) is False
+    assert one(spark, T.contains_secret, "AKIA" + "A1" * 10) is False
 
 
 def test_pages(spark):
@@ -62,7 +64,7 @@ def test_pages(spark):
     assert one(spark, T.meta_description, '<head><META name="Description" content="a b"></head>') == "a b"
     assert one(spark, T.meta_description, '<head></head><meta name="description" content="a">') is None
     assert one(spark, T.links, '<a href="https://a.io/x"><abbr href="https://b.io"><a class=y href=" http://c.io "><a href="/r"><a href="https://a.io/x">') == ["https://a.io/x", "http://c.io"]
-    assert one(spark, U.feed_identity, "https://a.io/x?utm_source=1&b=2&ref=3&fbclid=4#f") == "https://a.io/x?b=2"
+    assert one(spark, C.link_identity, "https://a.io/x?utm_source=1&b=2&ref=3&fbclid=4#f") == "https://a.io/x?b=2"
     assert tuple(one(spark, T.env_keys, "export DATABASE_URL=x")) == ("DATABASE_URL", True, True)
     assert one(spark, T.markdown_links, "[a](https://x.io/p#q) [b](#c) [d](mailto:e) [f]( http://y.io )") == ["https://x.io/p", "http://y.io"]
 
@@ -111,3 +113,28 @@ def test_upsert_is_idempotent(spark, tmp_path):
     S.upsert_points(new, paths[1], paths[2])
     for p in paths[1:]:
         assert sorted(tuple(r) for r in spark.read.parquet(p).collect()) == [(1, "a"), (2, "c"), (3, "e")]
+
+
+def test_memory_scores_lose_by_age_and_status(spark):
+    rows = spark.sql("""SELECT * FROM VALUES (1, 'fast', 7.0D, FALSE, 'active', 0.5D), (2, 'none', 900.0D, FALSE, 'active', 1.0D), (3, 'very_slow', 730.0D, FALSE, 'superseded', 0.0D),
+      (4, 'normal', 30.0D, TRUE, 'archived', 0.75D), (5, 'slow', -5.0D, FALSE, 'contradicted', 0.75D), (6, 'very_fast', 2.0D, FALSE, 'forgotten', 0.0D), (7, 'odd', 5.0D, FALSE, 'working', 1.0D) AS t(id, profile, age, pinned, status, want)""")
+    full = F.lit(1.0)
+    score = Y.memory_score(full, full, full, full, F.lit(10**6), Y.decay(F.col("age"), Y.half_life(F.col("profile")), F.col("pinned")), F.col("status"))
+    for r in rows.withColumn("got", score).collect():
+        assert r["got"] == pytest.approx(r["want"]), r
+    kept = rows.where("id = 4").select(Y.status_penalty(F.col("status"), archived=True).alias("p")).first()["p"]
+    assert kept == 0.0
+
+
+def test_merged_nodes_take_the_highest_authority(spark):
+    rows = spark.createDataFrame([(1, "mirror", 0.5, "a", 1, 1), (1, "inferred", None, "b", 2, 2), (1, "community", 3.0, "a", 3, 3), (2, None, None, "c", 4, 4), (3, "observed", -1.0, "d", 5, 5)], "node_id long, authority string, confidence double, source_id string, label long, updated_at long")
+    got = {r["node_id"]: (r["authority"], r["confidence"], r["source_ids"], r["label"]) for r in Y.merge_nodes(rows, 0.25).collect()}
+    assert got[1] == ("inferred", 1.0, ["a", "b"], 3) and got[2] == ("unknown", 0.25, ["c"], 4) and got[3][1] == 0.0
+
+
+def test_term_lists(spark):
+    docs = spark.createDataFrame([(1, "The Spark spark, ab c1d2 é-über"), (2, None), (None, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in T.term_lists(docs).collect()}
+    assert sorted(got[1]["counts"]) == [1, 1, 2] and got[2]["buckets"] == [] and got[None]["weights"] == []
+    word = docs.select(T.bucket(F.lit("spark")).alias("b")).first()["b"]
+    assert dict(zip(got[1]["buckets"], got[1]["counts"], strict=True))[word] == 2
