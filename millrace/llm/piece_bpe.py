@@ -7,7 +7,10 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +20,11 @@ from millrace.llm.shared import raw, slices, text_rows
 from millrace.llm.tokens import default_path
 
 PIECES = "piece_bpe_32k.model"
-#: Units that a worker keeps in memory, and the longest of them.
-MOST_UNITS, LONGEST_UNIT = 400_000, 64
+#: Units that a worker keeps in memory, how many are learned at once, and how many the library sees side by side.
+MOST_UNITS, TOGETHER, SIDE = 400_000, 20_000, 100
 SPACE = "▁"
 #: Symbols of a text whose agenda is a list; a place after all others; the half of a number that holds an id.
-MOST_LISTED, _NONE, _ID = 40, 1 << 62, (1 << 32) - 1
+MOST_LISTED, _NONE, _ID, _LATE = 40, 1 << 62, (1 << 32) - 1, (1 << 31) - 1
 SCHEMA = "doc_id long, ids binary, decoded string, agrees boolean"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
 
@@ -47,6 +50,15 @@ class PieceBPE:
         self.pairs = {
             pieces[p[:k]][0] << 32 | pieces[p[k:]][0]: place[pieces[p][1]] << 32 | pieces[p][0] for p in joined for k in range(1, len(p)) if p[:k] in pieces and p[k:] in pieces
         }
+        # the same as arrays, for many texts at once: sorted pairs, the place of the score, the piece of a place
+        order = np.array(sorted(self.pairs), np.int64)
+        found = np.array([self.pairs[k] for k in order.tolist()], np.int64)
+        self.sorted_pairs, self.places, self.piece_at = order, (found >> 32).astype(np.int32), np.zeros(len(place) + 1, np.int32)
+        self.piece_at[self.places] = found & _ID
+        self.single_at = np.full(0x110000, -1, np.int32)
+        for c, i in self.single.items():
+            self.single_at[ord(c)] = i
+        self.opening = {p: place[pieces[p][1]] << 32 | pieces[p][0] for p in joined if len(p) == 2 and p[0] in pieces and p[1] in pieces}
         times = Counter(pieces[p][1] for p in joined)
         self.tied = {p[:2] for p in joined if times[pieces[p][1]] > 1}
 
@@ -67,22 +79,70 @@ class PieceBPE:
         a piece the one of the highest score is joined, the leftmost of equal ones, until none is left.
 
         The agenda of a short text is a list with a pair for each symbol, of which the best is taken; that of a longer one is a heap."""
-        single = self.single
-        symbols = [single[c] if c in single else ~ord(c) for c in text]
-        if len(symbols) > MOST_LISTED or any(t in text for t in self.tied):
-            return self._by_heap(symbols)
+        symbols = list(map(self.single.get, text))
+        if len(symbols) > MOST_LISTED or None in symbols or (self.tied and any(map(text.__contains__, self.tied))):
+            return self._by_heap([~ord(c) if s is None else s for s, c in zip(symbols, text, strict=True)])
         get = self.pairs.get
-        agenda = [get(a << 32 | b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+        agenda = list(map(self.opening.get, map(add, text, text[1:]), repeat(_NONE)))
         agenda.append(_NONE)
         while (best := min(agenda)) != _NONE:
             at = agenda.index(best)
             symbols[at] = piece = best & _ID
-            del symbols[at + 1], agenda[at + 1]
-            agenda[at] = get(piece << 32 | symbols[at + 1], _NONE) if at + 1 < len(symbols) else _NONE
+            del symbols[at + 1], agenda[at]
             if at:
                 agenda[at - 1] = get(symbols[at - 1] << 32 | piece, _NONE)
+            if at + 1 < len(symbols):
+                agenda[at] = get(piece << 32 | symbols[at + 1], _NONE)
         return symbols
 
+    def _place(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of the score of each pair, one after all others where it makes no piece."""
+        if not len(self.sorted_pairs):
+            return np.full(left.shape, _LATE, np.int32)
+        keys = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.sorted_pairs, keys), len(self.sorted_pairs) - 1)
+        return np.where(self.sorted_pairs[at] == keys, self.places[at], _LATE).astype(np.int32)
+
+    def many(self, texts: list[str]) -> list[bytes | None]:
+        """ids() of short texts that are not empty, as bytes, all at once; null for one with characters that are no piece or with tied pieces.
+
+        Each text has a row of symbols and a row of the places of its pairs, its agenda; in each round every row with a pair left
+        joins its best one, the leftmost of equal ones, and looks up the two pairs beside it."""
+        if not texts:
+            return []
+        sizes = np.array([len(t) for t in texts], np.int64)
+        wide, every = int(sizes.max()), np.arange(len(texts))
+        symbols = np.full((len(texts), wide + 1), -1, np.int32)  # the last column stands for what is beyond either end
+        symbols[:, :wide][np.arange(wide) < sizes[:, None]] = self.single_at[np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")]
+        plain = (symbols >= 0).sum(1) == sizes
+        if self.tied and any(map("".join(texts).__contains__, self.tied)):
+            plain &= ~np.array([any(map(t.__contains__, self.tied)) for t in texts])
+        after = np.broadcast_to(np.minimum(np.arange(wide + 1) + 1, wide), symbols.shape).copy()
+        after[every, sizes - 1] = wide
+        before = np.broadcast_to(np.concatenate(([wide], np.arange(wide))), symbols.shape).copy()
+        agenda = np.full(symbols.shape, _LATE, np.int32)
+        agenda[:, :wide] = self._place(symbols[:, :-1], symbols[:, 1:])
+        rows = every[plain]
+        while len(rows):
+            at = agenda[rows].argmin(1)
+            best = agenda[rows, at]
+            open_ = best < _LATE
+            rows, at, best = rows[open_], at[open_], best[open_]
+            gone = after[rows, at]
+            far, near = after[rows, gone], before[rows, at]
+            symbols[rows, at] = piece = self.piece_at[best]
+            symbols[rows, gone] = -1
+            agenda[rows, gone] = _LATE
+            after[rows, at] = far
+            before[rows, far] = at
+            agenda[rows, at] = self._place(piece, symbols[rows, far])
+            agenda[rows, near] = self._place(symbols[rows, near], piece)
+            agenda[rows, wide] = _LATE
+        kept = symbols >= 0
+        ends = (np.cumsum(kept.sum(1)) * 4).tolist()
+        data = symbols[kept].astype("<u4").tobytes()
+        return [data[x:y] if ok else None for x, y, ok in zip([0, *ends[:-1]], ends, plain.tolist(), strict=True)]
+
     def _by_heap(self, symbols: list[int]) -> list[int]:
         """Entries are place of the score << 32 | left symbol; one whose pair has changed since has another place and is skipped."""
         get, last = self.pairs.get, len(symbols) - 1
@@ -172,58 +232,93 @@ class PieceEncoder:
 
     def __init__(self, bpe: PieceBPE):
         self.bpe = bpe
-        self.words: dict[str, bytes] = {}  # units after one space
-        self.units: dict[str, bytes] = {}  # any others, as they stand
-        self.line_break = array("I", bpe.ids("\n")).tobytes()
-        self.fresh: list[tuple[str, bytes]] | None = None  # a text for the library and its ids here, for each unit learned since the last check
-
-    def _learn(self, memory: dict[str, bytes], unit: str, lead: str) -> bytes:
-        if self.bpe.lines_apart and "\n" in unit:
-            first, *rest = unit.split("\n")
-            head = memory.get(first) or self._learn(memory, first, lead)
-            return self.line_break.join([head, *[self._run(r) for r in rest]])
-        known = array("I", self.bpe.ids(lead + unit)).tobytes()
-        if self.fresh is not None and lead + unit != SPACE:
-            if lead or unit[0] == SPACE:  # the library puts the first space itself
-                self.fresh.append((unit if lead else unit[1:], known))
-            else:
-                self.fresh.append(("\n" + unit, array("I", self.bpe.ids(SPACE)).tobytes() + self.line_break + known))
-        if len(unit) <= LONGEST_UNIT:
-            if len(memory) >= MOST_UNITS:
-                memory.clear()
-            memory[unit] = known
-        return known
-
-    def _run(self, unit: str) -> bytes:
-        return (self.units.get(unit) or self._learn(self.units, unit, "")) if unit else b""
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids, without begin and end."""
-        if not text:
-            return b""
-        if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
-            return b"".join([self._run(u) for u in self._CUT.findall(SPACE + text.replace(" ", SPACE))])
-        get, learn, words = self.words.get, self._learn, self.words
-        return b"".join([get(w) or learn(words, w, SPACE) for w in text.split(" ")])
+        #: What a unit stands for: a word after one space, or what follows a line break with the break before it.
+        self.units: dict[str, bytes] = {}
+        #: Units learned since they were last looked at.
+        self.fresh: dict[str, bytes] = {}
+
+    def _spelled(self, unit: str) -> str:
+        return unit if unit[:1] == "\n" and self.bpe.lines_apart else SPACE + unit
+
+    def _learn(self, short: list[str]) -> None:
+        """Short units all at once, those of about one length together; those with characters of their own one by one."""
+        short.sort(key=len)
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            # a line break is a symbol of bytes: it is put before afterwards
+            breaks = [u[:1] == "\n" and self.bpe.lines_apart for u in part]
+            known = iter(self.bpe.many([u[1:] if b else SPACE + u for u, b in zip(part, breaks, strict=True) if u != "\n" or not b]))
+            for unit, b in zip(part, breaks, strict=True):
+                if (ids := b"" if b and unit == "\n" else next(known)) is None:
+                    ids = self._ids(unit)
+                elif b:
+                    ids = self._break + ids
+                self.units[unit] = self.fresh[unit] = ids
+
+    @cached_property
+    def _break(self) -> bytes:
+        return array("I", self.bpe.ids("\n")).tobytes()
+
+    def _ids(self, unit: str) -> bytes:
+        return array("I", self.bpe.ids(self._spelled(unit))).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, without begin and end."""
+        if len(self.units) >= MOST_UNITS:
+            self.units.clear()
+        words: list[str] = []
+        ends, odd = [0], {}
+        for k, text in enumerate(texts):
+            if SPACE in text or "  " in text or text[:1] == " " or text[-1:] == " ":
+                odd[k] = self._odd(text)
+            elif text:
+                words += (text.replace("\n", " \n") if self.bpe.lines_apart else text).split(" ")
+            ends.append(len(words))
+        found = list(map(self.units.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = {words[i] for i in missing}
+        self._learn([u for u in new if len(u) < MOST_LISTED])
+        for i in missing:
+            unit = words[i]
+            if (ids := self.units.get(unit)) is None:
+                ids = self.fresh[unit] = self._ids(unit)  # a long one
+            found[i] = ids
+        return [odd[k] if k in odd else b"".join(found[ends[k] : ends[k + 1]]) for k in range(len(texts))]
+
+    def _odd(self, text: str) -> bytes:
+        """A text with runs of spaces: each run with what follows it up to the next, line by line."""
+        out = []
+        for unit in self._CUT.findall(SPACE + text.replace(" ", SPACE)):
+            lines = unit.split("\n") if self.bpe.lines_apart else [unit]
+            out.append(self._break.join([array("I", self.bpe.ids(line)).tobytes() if line else b"" for line in lines]))
+        return b"".join(out)
 
 
 class Checked:
     """An encoder beside the sentencepiece library. Texts are cut into units, so it is enough that the library gives the same ids for each
-    unit when it is learned; once one differed, whole texts are compared."""
+    unit when it is learned: those of a batch are one text for it. Once one differed, whole texts are compared; so are texts with runs of spaces."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.coder, self.library = PieceEncoder(PieceBPE.load(path)), sentencepiece.SentencePieceProcessor(model_file=path)
-        self.coder.fresh, self.differs = [], False
+        self.differs = False
+
+    def _same(self, fresh: dict[str, bytes]) -> bool:
+        """Words side by side as lines of text, which the library begins with a space, and the units that begin with a line break."""
+        words, breaks = ([u for u in fresh if u and (u[0] == "\n") == of] for of in (False, True))
+        lines = [(words[at : at + SIDE], " ", b"") for at in range(0, len(words), SIDE)]
+        lines += [(breaks[at : at + SIDE], "", array("I", self.coder.bpe.ids(SPACE)).tobytes()) for at in range(0, len(breaks), SIDE)]
+        theirs = self.library.encode([by.join(units) for units, by, _ in lines], num_threads=1)
+        return all(array("I", x).tobytes() == first + b"".join(map(fresh.__getitem__, units)) for x, (units, _, first) in zip(theirs, lines, strict=True))
 
     def agree(self, texts: list[str], ids: list[list[int]], decoded: list[str]) -> list[bool]:
         """For each text whether the library gives these ids, begin and end among them, and decodes them to the same."""
-        fresh, self.coder.fresh = self.coder.fresh or [], []
-        theirs = self.library.encode([t for t, _ in fresh], num_threads=1)
-        self.differs = self.differs or any(array("I", a).tobytes() != b for a, (_, b) in zip(theirs, fresh, strict=True))
-        whole = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1) if self.differs else ids
-        return [a == b and self.library.decode(a) == c for a, b, c in zip(ids, whole, decoded, strict=True)]
+        fresh, self.coder.fresh = self.coder.fresh, {}
+        self.differs = self.differs or not self._same(fresh)
+        whole = [k for k, t in enumerate(texts) if self.differs or "  " in t or SPACE in t or t[:1] == " " or t[-1:] == " "]
+        theirs = dict(zip(whole, self.library.encode([texts[k] for k in whole], add_bos=True, add_eos=True, num_threads=1), strict=True))
+        return [a == theirs.get(k, a) and self.library.decode(a) == c for k, (a, c) in enumerate(zip(ids, decoded, strict=True))]
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder | Checked] = {}
@@ -253,7 +348,9 @@ def encode_pieces(docs: DataFrame, path: str | None = None, digests: bool = Fals
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 texts = [t.decode("utf-8", "replace") for t in raw(part.column("text"))]
-                ids = [begin + coder.encode(t) + end for t in texts]
+                ids = [begin + x + end for x in coder.encode(texts)]
+                if not checker:
+                    coder.fresh.clear()
                 lists = [np.frombuffer(x, "<u4").tolist() for x in ids]
                 decoded = [coder.bpe.decode(x) for x in lists]
                 agrees = checker.agree(texts, lists, decoded) if checker else [None] * len(ids)

@@ -25,7 +25,7 @@ odd = st.text(st.sampled_from("ab é\n\t ▁'\x1c\x00.1st你🙂�"), max_size=
 @settings(max_examples=400, deadline=None)
 @given(odd)
 def test_pieces_are_the_librarys(text):
-    ids = np.frombuffer(CODER.encode(text), "<u4").tolist()
+    ids = np.frombuffer(CODER.encode([text])[0], "<u4").tolist()
     assert ids == LIBRARY.encode(text)
     assert CODER.bpe.decode([1, *ids, 2]) == LIBRARY.decode([1, *ids, 2])
 
@@ -47,17 +47,28 @@ def test_agenda_is_the_plain_definition():
             i = min(joined)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         assert bpe.merge(text) == parts
+        many = bpe.many([text, "abab"]) if text else [b""]
+        assert many[0] is None if "c" in text else np.frombuffer(many[0], "<u4").tolist() == bpe.symbols(text)
+        assert bpe._by_heap([~ord(c) if c == "c" else pieces[c][0] for c in text]) == bpe.symbols(text)
     assert bpe.ids("cab") == [99, 2]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(odd, max_size=5))
+def test_units_learned_at_once_are_the_librarys(texts):
+    coder = piece_bpe.PieceEncoder(CODER.bpe)
+    for _ in range(2):  # unknown at first, then from memory
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == LIBRARY.encode(texts)
+
+
 def test_units_are_checked_by_the_library(monkeypatch):
     pair = piece_bpe.Checked(P.path(piece_bpe.PIECES))
     texts = ["plain words, plain", " two  spaces \n\nline\n  indent ▁ x", "", "\nfirst", "é\x00\t你🙂", "a" * 300 + "\n" + "b" * 99]
-    both = lambda: [[1, *np.frombuffer(pair.coder.encode(t), "<u4").tolist(), 2] for t in texts]
+    both = lambda: [[1, *np.frombuffer(x, "<u4").tolist(), 2] for x in pair.coder.encode(texts)]
     ids = both()
     assert pair.agree(texts, ids, [LIBRARY.decode(i) for i in ids]) == [True] * 6 and not pair.differs
-    pair.coder.words.clear()
-    monkeypatch.setattr(pair.coder.bpe, "ids", lambda text: [28705, 13] if text == "▁plain" else LIBRARY.encode(text.removeprefix("▁")))
+    pair.coder.units.clear()
+    monkeypatch.setattr(pair.coder.bpe, "many", lambda texts: [b"\x0d\0\0\0"] * len(texts))
     ids = both()
     assert pair.agree(texts, ids, [LIBRARY.decode(i) for i in ids])[0] is False and pair.differs
 
