@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,25 @@ def upsert_points(points: DataFrame, path: str, to: str, key: str = "point_id")
     old.unionByName(new, allowMissingColumns=True).write.parquet(to)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read back; a local folder in local mode where spark.checkpoint.dir is unset."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder; a local one in local mode where spark.checkpoint.dir is unset."""
+    context = spark.sparkContext
+    kept = context._jsc.sc().getCheckpointDir()
+    if not kept.isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context._jsc.sc().isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="millrace-"))
+        kept = context._jsc.sc().getCheckpointDir()
+    return kept.get()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read back."""
+    _shared(df.sparkSession)
     return df.checkpoint()
