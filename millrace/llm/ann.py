@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -364,12 +365,16 @@ def search(index: PostingIndex, queries: DataFrame, k: int, ratio: float | None
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    """search() of the rows whose vec_id is divisible by `every` against all others.
+    """search() of the rows whose vec_id is divisible by `every` against all others of the same length.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows of null vec_id or of
-    another length than most; rows that repeat both id and vector count once. No usable rows, no result.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows of null vec_id; rows that repeat both
+    id and vector count once. There is no inner product of vectors of different lengths, so each length has an index and a search of
+    its own. No usable rows, no result.
     """
     rows = usable(vectors).distinct()
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.where(F.size("v") == (common["d"] if common else 0))
-    return search(build(rows, k), rows.where(F.col("vec_id") % every == 0), k)
+    lengths = [r["d"] for r in rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()] or [0]
+    found = []
+    for d in lengths:
+        own = rows.where(F.size("v") == d)
+        found.append(search(build(own, k), own.where(F.col("vec_id") % every == 0), k))
+    return reduce(DataFrame.unionByName, found)

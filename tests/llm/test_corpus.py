@@ -137,6 +137,21 @@ def test_nearest(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_nearest_of_mixed_lengths(spark):
+    rng = np.random.default_rng(4)
+    long, short = rng.normal(size=(60, 5)), rng.normal(size=(40, 3))
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(long)] + [(100 + i, [float(v) for v in e]) for i, e in enumerate(short)] + [(200, [1.0])]
+    by = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 20).collect():
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert set(by) == {0, 20, 40, 100, 120}
+    for q, found in by.items():
+        x, first = (long, 0) if q < 100 else (short, 100)
+        s = x @ x[q - first]
+        want = [first + int(i) for i in np.argsort(-s) if first + i != q][:5]
+        assert len(set(want) & {v for _, v in found}) >= 4 and sorted(r for r, _ in found) == [1, 2, 3, 4, 5]
+
+
 def _recall(spark, x, k=20, every=20):
     out = ann.nearest(spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>"), k, every).collect()
     asked = list(range(0, len(x), every))
