@@ -143,13 +143,15 @@ STRUCTURED = r"""(?xU)
 RUN, LEAST_ENTROPY = "[A-Za-z0-9_-]", 3.0
 
 
-def redact(text: Column) -> Column:
-    """Secrets replaced by [REDACTED]: structured shapes, then runs of 32 or more characters with 3 bits of entropy each,
-    then keys of further services, passwords in addresses and bearer tokens."""
+def redact(text: Column, services: bool = False) -> Column:
+    """Secrets replaced by [REDACTED]: structured shapes, then runs of 32 or more characters with 3 bits of entropy each; with services also
+    keys of further services, passwords in addresses and bearer tokens, which the reference leaves."""
     out = F.regexp_replace(text, STRUCTURED, "[REDACTED]")
     pieces = F.split(out, f"(?<!{RUN})(?={RUN}{{32}})|(?<={RUN}{{32}})(?!{RUN})")
     hide = lambda p: F.when(p.rlike(rf"^{RUN}{{32,}}\z") & (entropy(p) >= LEAST_ENTROPY), F.lit("[REDACTED]")).otherwise(p)
     out = F.when(out.rlike(f"{RUN}{{32}}"), F.array_join(F.transform(pieces, hide), "")).otherwise(out)
+    if not services:
+        return out
     prefix = "|".join(sorted(TOKEN_PREFIXES, key=len, reverse=True))
     out = F.regexp_replace(out, f"(?<![A-Za-z0-9_-])(?:{prefix})[A-Za-z0-9_-]{{16,}}", "[REDACTED]")
     out = F.regexp_replace(out, r"([A-Za-z][A-Za-z0-9+.-]*://)[^\s/:@]+:[^\s/@]+@", "$1[REDACTED]@")
