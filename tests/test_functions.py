@@ -63,11 +63,11 @@ def test_redact(spark):
         ("a MY_TOKEN=x1 b?api_key:2 ghp_ab.SECRET=q", "a [REDACTED] [REDACTED] [REDACTED][REDACTED]"),
         ("no-gap sk-ab.TOKEN=1", "no-gap [REDACTED][REDACTED]"),
         ("(ya29.x)TOKEN=1 AIza" + "b" * 35 + "c", "[REDACTED] [REDACTED]c"),
-        ("http://u:p@h/ hf_abcdefghijklmnop", "http://[REDACTED]@h/ [REDACTED]"),
         ("", ""),
         (None, None),
     ):
         assert one(spark, T.redact(F.col("v")), text) == want, text
+    assert one(spark, T.redact(F.col("v"), services=True), "http://u:p@h/ hf_abcdefghijklmnop") == "http://[REDACTED]@h/ [REDACTED]"
 
 
 def test_contains_secret(spark):
