@@ -163,9 +163,15 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
 
 
+#: Headings that structure a context; a chunk must not forge them.
+CONTEXT_HEADINGS = ["Sources", "Source Document", "Top Chunk", "Supplemental Chunk"]
+
+
 def defang(text: Column) -> Column:
-    """Source marks in quoted text lose their meaning by a zero-width space."""
-    return F.regexp_replace(text, r"\[S(\d+)\]", "[​S$1]")
+    """Source marks and headings of a context lose their meaning in quoted text by a zero-width space."""
+    for name in CONTEXT_HEADINGS:
+        text = F.replace(text, F.lit(f"## {name}"), F.lit(f"## \u200b{name}"))
+    return F.regexp_replace(text, r"\[S([0-9]+)\]", "[\u200bS$1]")
 
 
 def cited(answer: Column) -> Column:

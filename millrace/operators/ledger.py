@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.payloads import forbidden_name
+
 #: The states that may follow each state of a job.
 TRANSITIONS = {
     "queued": ["blocked", "running", "failed", "canceling", "expired"],
@@ -109,6 +111,40 @@ def document_faults(chunks: DataFrame, document: str = "document_id") -> DataFra
     return found.where(F.size("faults") > 0)
 
 
+def prepared_faults(documents: DataFrame, chunks: DataFrame, document: str = "document_id") -> DataFrame:
+    """(document, faults) of documents (document, source_id, source_item_key, fields, lines) that must not be stored: blank ids, names of fields that are
+    forbidden, no chunks, chunk ids or keys that repeat, blank contents, and ranges that end before they start or beyond the document.
+
+    chunks: (document, chunk_id, chunk_key, content, fields, line_start, line_end). A chunk of no known document is none of theirs."""
+    bad_field = lambda fields: F.exists(F.coalesce(fields, F.array().cast("array<string>")), forbidden_name)
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    repeats = [chunks.groupBy(document, c).agg(F.count("*").alias("n")).groupBy(document).agg((F.max("n") > 1).alias(f"repeated_{c}")) for c in ("chunk_id", "chunk_key")]
+    own = chunks.groupBy(document).agg(
+        F.count("*").alias("n"),
+        F.bool_or(bad_field(F.col("fields"))).alias("chunk_field"),
+        F.bool_or(blank("content")).alias("blank"),
+        F.bool_or(F.col("line_end") < F.col("line_start")).alias("turned"),
+        F.max(F.greatest("line_start", "line_end")).alias("last"),
+        F.min(F.least("line_start", "line_end")).alias("first"),
+    )
+    each = documents.join(own, document, "left").join(repeats[0], document, "left").join(repeats[1], document, "left")
+    tests = [
+        (blank(document), "document_id is empty"),
+        (blank("source_id"), "source_id is empty"),
+        (blank("source_item_key"), "source_item_key is empty"),
+        (bad_field(F.col("fields")), "sensitive document metadata field"),
+        (F.col("n").isNull(), "no chunks"),
+        (F.col("chunk_field"), "sensitive chunk metadata field"),
+        (F.col("repeated_chunk_id"), "duplicate chunk id"),
+        (F.col("repeated_chunk_key"), "duplicate chunk key"),
+        (F.col("blank"), "empty content"),
+        (F.col("turned"), "range ends before it starts"),
+        ((F.col("last") > F.greatest("lines", F.lit(1))) | (F.col("first") < 1), "range outside the document"),
+    ]
+    faults = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(name)) for t, name in tests]))
+    return each.select(document, faults.alias("faults")).where(F.size("faults") > 0)
+
+
 def job_statistics(jobs: DataFrame, now: Column) -> DataFrame:
     """Per kind of completed jobs (kind, started_at, finished_at, docs, chunks): number, mean seconds, mean documents a second, sums
     of documents and chunks, seconds since the last one, those of the last day, estimated tokens a document."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
+
 
 def duplicate_breakdown(points: DataFrame, group: Column, key: Column) -> DataFrame:
     """Per group: points, distinct keys, keys of several points, points beyond the first of a key, their share in per cent.
@@ -55,3 +57,18 @@ def page_before(df: DataFrame, at: str, key: str, cursor: tuple[Column, Column],
     last_at, last_key = cursor
     older = (F.col(at) < last_at) | ((F.col(at) == last_at) & (F.col(key) < last_key))
     return df.where(older).orderBy(F.desc(at), F.desc(key)).limit(limit)
+
+
+def page_verdicts(pages: DataFrame, previous: DataFrame, key: str, body: Column, content: Column, least_bytes: int) -> DataFrame:
+    """pages with verdict, vendor and content_hash: challenged if the body is a bot wall's, else empty without content, thin below least_bytes, reused
+    if the last run (key, content_hash) has the same content, else write."""
+    found = pages.withColumns({"vendor": T.challenge(body), "content_hash": F.sha2(content, 256), "_bytes": F.octet_length(F.coalesce(content, F.lit("")))})
+    last = previous.groupBy(key).agg(F.first("content_hash").alias("_last"))
+    verdict = (
+        F.when(F.col("vendor").isNotNull(), "challenged")
+        .when(F.col("_bytes") == 0, "empty")
+        .when(F.col("_bytes") < least_bytes, "thin")
+        .when(F.col("_last") == F.col("content_hash"), "reused")
+        .otherwise("write")
+    )
+    return found.join(last, key, "left").withColumn("verdict", verdict).drop("_last", "_bytes")

@@ -199,15 +199,15 @@ def fuse(first: DataFrame, second: DataFrame, k: int, constant: int = 60) -> Dat
 
 
 def context(hits: DataFrame, most_bytes: int, most_tokens: int, gap: int = 2) -> DataFrame:
-    """The longest prefix of hits (query_id, rank, bytes), ranked from 1, that fits both budgets; a token is four bytes, rounded up. Null counts as no bytes.
+    """The longest prefix of hits (query_id, rank, bytes), ranked from 1, that fits both budgets; a token is four bytes of the whole, rounded up.
+    Null counts as no bytes.
 
     Every hit after the first costs the gap at least, so hits of a rank that cannot fit go before the running sums."""
     if gap > 0:
         hits = hits.where(F.col("rank") <= most_bytes // gap + 1)
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    bytes_ = F.coalesce("bytes", F.lit(0))
-    size, tokens = F.sum(bytes_).over(w) + gap * (F.col("rank") - 1), F.sum(F.ceil(bytes_ / 4)).over(w)
-    return hits.withColumn("bytes_so_far", size).withColumn("tokens_so_far", tokens).where((F.col("bytes_so_far") <= most_bytes) & (F.col("tokens_so_far") <= most_tokens))
+    size = F.sum(F.coalesce("bytes", F.lit(0))).over(w) + gap * (F.col("rank") - 1)
+    return hits.withColumn("bytes_so_far", size).withColumn("tokens_so_far", F.ceil(F.col("bytes_so_far") / 4)).where((F.col("bytes_so_far") <= most_bytes) & (F.col("tokens_so_far") <= most_tokens))
 
 
 #: Ids of one span, of which leading() takes the sums first.

@@ -107,11 +107,14 @@ def retrieval_hybrid_rrf(spark, d):
     return R.fuse(R.dense_topk(_points(spark, d), _asked(spark, d), 100), _sparse(spark, d, 100), 10).withColumn("score", F.round("score", 12))
 
 
-@query("""WITH h AS (SELECT lang AS query_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents),
-c AS (SELECT query_id, rank, sum(strlen(text)) OVER w + 2 * (rank - 1) AS bytes_so_far, sum(ceil(strlen(text) / 4.0)) OVER w AS tokens_so_far FROM h WINDOW w AS (PARTITION BY query_id ORDER BY rank))
-SELECT query_id, rank, bytes_so_far::BIGINT AS bytes_so_far, tokens_so_far::BIGINT AS tokens_so_far FROM c WHERE coalesce(bytes_so_far, 0) <= 20000 AND coalesce(tokens_so_far, 0) <= 4000""")
+_DEFANGED = "strlen(regexp_replace(replace(replace(replace(replace(text, '## Sources', '## \u200bSources'), '## Source Document', '## \u200bSource Document'), '## Top Chunk', '## \u200bTop Chunk'), '## Supplemental Chunk', '## \u200bSupplemental Chunk'), '\\[S([0-9]+)\\]', '[\u200bS\\1]', 'g'))"
+
+
+@query(f"""WITH h AS (SELECT lang AS query_id, coalesce({_DEFANGED}, 0) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents),
+c AS (SELECT query_id, rank, (sum(n) OVER w + 2 * (rank - 1))::BIGINT AS bytes_so_far FROM h WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+SELECT query_id, rank, bytes_so_far, ceil(bytes_so_far / 4.0)::BIGINT AS tokens_so_far FROM c WHERE bytes_so_far <= 20000 AND ceil(bytes_so_far / 4.0) <= 4000""")
 def context_budget(spark, d):
-    hits = table(spark, d, "documents").select(F.col("lang").alias("query_id"), "doc_id", F.octet_length("text").alias("bytes"))
+    hits = table(spark, d, "documents").select(F.col("lang").alias("query_id"), "doc_id", F.octet_length(T.defang(F.col("text"))).alias("bytes"))
     return R.leading(hits, "doc_id", 20000, 4000).select("query_id", "rank", "bytes_so_far", "tokens_so_far")
 
 
@@ -336,10 +339,17 @@ def thin_documents(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), thin.alias("thin"), F.round(100.0 * thin / F.count("*"), 2).alias("thin_rate"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 
 
-@query("SELECT CASE WHEN html IS NULL OR trim(html) = '' THEN 'empty' WHEN strlen(html) < 1500 THEN 'thin' ELSE 'write' END AS verdict, count(*) AS n FROM pages GROUP BY 1")
+_LATER_HTML = "CASE page_id % 6 WHEN 0 THEN html || '<div class=\"cf-turnstile\">' WHEN 1 THEN '' WHEN 2 THEN 'thin' WHEN 3 THEN html || '!' ELSE html END"
+
+
+@query(f"""WITH p AS (SELECT page_id, html, {_LATER_HTML} AS h FROM pages)
+SELECT page_id, CASE WHEN page_id % 6 = 0 AND strlen(h) < 100000 THEN 'challenged' WHEN coalesce(h, '') = '' THEN 'empty' WHEN strlen(h) < 1500 THEN 'thin' WHEN page_id % 6 <> 3 AND page_id % 7 <> 0 AND page_id % 6 <> 0 THEN 'reused' ELSE 'write' END AS verdict FROM p""")
 def page_verdicts(spark, d):
-    verdict = F.when(F.coalesce(F.trim("html"), F.lit("")) == "", "empty").when(F.octet_length("html") < 1500, "thin").otherwise("write")
-    return table(spark, d, "pages").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    """The last run knows six of seven pages; some have changed since, some are challenges, empty or thin."""
+    pages = table(spark, d, "pages")
+    last = pages.where("page_id % 7 <> 0").select("page_id", F.sha2("html", 256).alias("content_hash"))
+    now = pages.selectExpr("page_id", f"{_LATER_HTML} AS html")
+    return P.page_verdicts(now, last, "page_id", F.col("html"), F.col("html"), 1500).select("page_id", "verdict")
 
 
 @query("""SELECT vec_id, len(embedding) = 64 AS dims_ok, len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS finite, count(*) OVER (PARTITION BY vec_id) = 1 AS alone FROM embeddings""")
