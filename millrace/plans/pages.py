@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators import markdown as K
 from millrace.operators import pages as G
 from millrace.plans.registry import query
 from millrace.sources.tables import table
@@ -101,3 +102,23 @@ def feed_entry_rows(spark, d):
     feeds = table(spark, d, "customer").selectExpr("c_custkey", f"{_FEED} AS text")
     found = G.feed_entries(feeds, "c_custkey")
     return found.select("c_custkey", "format", "link", "title", "body_html", (F.col("published").eqNullSafe(F.lit("2024-01-02 03:04:05").cast("timestamp"))).alias("dated"), "fault")
+
+
+@query()
+def page_markdown(spark, d):
+    """Tests hold the Markdown against values written by hand."""
+    return K.extracted(table(spark, d, "pages"), "page_id").select("page_id", F.md5("markdown").alias("markdown_md5"), "tier", "words")
+
+
+#: Candidates of a ladder: parts of a document, of different lengths.
+_SCORED, _BODY_TEXT = "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN substr(text, 1, 100) ELSE substr(text, 1, 900) END", "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END"
+_N = rf"len(regexp_extract_all(coalesce({{0}}, ''), '[^\s\x0b\x{{{{85}}}}\x{{{{A0}}}}\x{{{{1680}}}}\x{{{{2000}}}}-\x{{{{200A}}}}\x{{{{2028}}}}\x{{{{2029}}}}\x{{{{202F}}}}\x{{{{205F}}}}\x{{{{3000}}}}]+'))"
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_SCORED} AS s, {_BODY_TEXT} AS t, doc_id % 2 = 0 AS rooted, strlen(text) * 4 AS size FROM documents WHERE text IS NOT NULL), n AS (SELECT *, {_N.format('s')} AS a, {_N.format('t')} AS b FROM c)
+SELECT doc_id, CASE WHEN size >= 5120 AND rooted AND a < 30 AND b > a THEN 'relaxed' WHEN size >= 5120 AND NOT rooted AND a < 200 AND b > 2.0 * a AND b > 50 THEN 'body' ELSE 'scored' END AS tier,
+ CASE WHEN size >= 5120 AND ((rooted AND a < 30 AND b > a) OR (NOT rooted AND a < 200 AND b > 2.0 * a AND b > 50)) THEN b ELSE a END AS words FROM n""")
+def extraction_ladder(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL").selectExpr("doc_id", f"{_SCORED} AS s", f"{_BODY_TEXT} AS t", "doc_id % 2 = 0 AS rooted", "octet_length(text) * 4 AS size")
+    found = K.ladder(F.col("s"), F.col("t"), F.col("t"), F.col("size"), F.col("rooted"))
+    return docs.select("doc_id", found["tier"].alias("tier"), found["words"].alias("words"))
