@@ -68,11 +68,35 @@ def term_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return each.select(id_col, F.col("e.buckets").alias("bucket"), F.col("e.counts").alias("tf"), F.col("e.weights").alias("weight"))
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2000) -> DataFrame:
-    """(id, chunk_index, chunk_text): trimmed paragraphs between blank lines, cut at `most` characters, in order."""
+def windows(text: Column, most: int = 2000, most_bytes: int = 4096) -> Column:
+    """A text cut at `most` characters or before the one that would make more than most_bytes, whichever comes first."""
+    short = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / most).cast("int")), lambda i: F.substring(text, i * most + 1, F.lit(most)))
+    begin = F.struct(F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("bytes"), F.array().cast("array<struct<start:int,n:int>>").alias("done"))
+
+    def cut(s: Column) -> Column:
+        return F.concat(s["done"], F.array(F.struct(s["start"].alias("start"), s["n"].alias("n"))))
+
+    def step(s: Column, size: Column) -> Column:
+        full = (s["n"] > 0) & ((s["bytes"] + size > most_bytes) | (s["n"] + 1 > most))
+        return F.struct(
+            F.when(full, s["start"] + s["n"]).otherwise(s["start"]).alias("start"),
+            F.when(full, 1).otherwise(s["n"] + 1).alias("n"),
+            F.when(full, size).otherwise(s["bytes"] + size).alias("bytes"),
+            F.when(full, cut(s)).otherwise(s["done"]).alias("done"),
+        )
+
+    sizes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), F.octet_length)
+    spans = F.aggregate(sizes, begin, step, lambda s: F.filter(cut(s), lambda x: x["n"] > 0))
+    by_bytes = F.transform(spans, lambda x: F.substring(text, x["start"] + 1, x["n"]))
+    # characters of two bytes at most cannot reach the limit of bytes first
+    narrow = (F.octet_length(text) <= most_bytes) | (F.lit(2 * most <= most_bytes) & ~text.rlike("[^\\x{0}-\\x{7FF}]"))
+    return F.when(narrow, short).otherwise(by_bytes)
+
+
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2000, most_bytes: int = 4096) -> DataFrame:
+    """(id, chunk_index, chunk_text): trimmed paragraphs between blank lines, cut at `most` characters or most_bytes, in order."""
     parts = F.filter(F.transform(F.split(text_col, r"\n[ \t\r]*\n"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
-    cut = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.substring(p, i * most + 1, F.lit(most)))))
-    return docs.select(id_col, F.posexplode(cut).alias("chunk_index", "chunk_text"))
+    return docs.select(id_col, F.posexplode(F.flatten(F.transform(parts, lambda p: windows(p, most, most_bytes)))).alias("chunk_index", "chunk_text"))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -72,3 +72,23 @@ def page_verdicts(pages: DataFrame, previous: DataFrame, key: str, body: Column,
         .otherwise("write")
     )
     return found.join(last, key, "left").withColumn("verdict", verdict).drop("_last", "_bytes")
+
+
+#: The fields of a point that are looked at, the type each should have, and other names of one.
+AUDITED = {"url": "STRING", "chunk_text": "STRING", "chunk_index": "BIGINT", "title": "STRING", "scraped_at": "STRING"}
+ALIASES = {"scraped_at": ["scrapedAt", "file_modified_at", "fileModifiedAt"]}
+
+
+def payload_schema(points: DataFrame, payload: str) -> DataFrame:
+    """(field, present, missing, type_mismatch, total): over all points, whether their VARIANT payload has each field, or one of its other names, and of
+    the right type. Null is missing; truth values pass for whole numbers."""
+
+    def kind(field: str) -> Column:
+        held = [F.try_variant_get(payload, f"$.{name}", "variant") for name in [field, *ALIASES.get(field, [])]]
+        return F.coalesce(*[F.when(F.schema_of_variant(v) != "VOID", F.schema_of_variant(v)) for v in held])
+
+    each = points.select(*[kind(f).alias(f) for f in AUDITED])
+    right = lambda f: F.col(f).isin(AUDITED[f], *(["BOOLEAN"] if AUDITED[f] == "BIGINT" else []))
+    sums = [x for f in AUDITED for x in (F.count_if(right(f)).alias(f"{f}_right"), F.count(f).alias(f"{f}_held"))]
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_right").alias("present"), (F.col("total") - F.col(f"{f}_held")).alias("missing"), (F.col(f"{f}_held") - F.col(f"{f}_right")).alias("type_mismatch"), "total") for f in AUDITED])
+    return each.agg(F.count("*").alias("total"), *sums).select(F.inline(rows))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import diffs as D
 from millrace.operators import payloads as P
+from millrace.operators import reports as R
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
@@ -115,3 +116,21 @@ def payload_redacted(spark, d):
     rows = table(spark, d, "customer").selectExpr("c_custkey", f"parse_json({_PAYLOAD}) AS payload")
     out = P.redacted(rows, "c_custkey", "payload")
     return out.select("c_custkey", F.to_json(F.variant_get("payload", "$.meta", "variant")).alias("meta"), "status")
+
+
+_POINT = (
+    "'{\"url\":' || CASE c_custkey % 4 WHEN 0 THEN 'null' WHEN 1 THEN '7' ELSE '\"https://h\"' END || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ',\"chunk_text\":\"t\"' END || ',\"chunk_index\":' || CASE c_custkey % 5 WHEN 0 THEN '1.5' WHEN 1 THEN 'true' WHEN 2 THEN '\"1\"' ELSE '3' END"
+    " || ',\"title\":{\"a\":1}' || CASE c_custkey % 3 WHEN 0 THEN ',\"scraped_at\":null,\"fileModifiedAt\":\"x\"' WHEN 1 THEN ',\"scrapedAt\":5,\"file_modified_at\":\"y\"' ELSE '' END || '}'"
+)
+_FOUND = {f: "coalesce(" + ", ".join(f"nullif(json_type(p, '$.{n}'), 'NULL')" for n in [f, *R.ALIASES.get(f, [])]) + ")" for f in R.AUDITED}
+
+
+@query(
+    f"WITH t AS (SELECT ({_POINT})::JSON AS p FROM customer), k AS (SELECT {', '.join(f'{x} AS {f}' for f, x in _FOUND.items())} FROM t) "
+    + " UNION ALL ".join(
+        f"SELECT '{f}' AS field, count(*) FILTER (WHERE {f} IN ({chr(39) + 'VARCHAR' + chr(39) if kind == 'STRING' else repr('UBIGINT') + ', ' + repr('BIGINT') + ', ' + repr('BOOLEAN')})) AS present, count(*) - count({f}) AS missing, count({f}) - count(*) FILTER (WHERE {f} IN ({chr(39) + 'VARCHAR' + chr(39) if kind == 'STRING' else repr('UBIGINT') + ', ' + repr('BIGINT') + ', ' + repr('BOOLEAN')})) AS type_mismatch, count(*) AS total FROM k"
+        for f, kind in R.AUDITED.items()
+    )
+)
+def payload_schema_types(spark, d):
+    return R.payload_schema(table(spark, d, "customer").selectExpr(f"parse_json({_POINT}) AS payload"), "payload")

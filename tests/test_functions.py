@@ -82,3 +82,23 @@ def test_contains_secret(spark):
         ("", False), (None, None),
     ):
         assert one(spark, T.contains_secret(F.col("v")), text) is want, text
+
+
+def test_windows_keep_both_limits(spark):
+    import random
+
+    rng = random.Random(9)
+    texts = ["", "a", "a" * 2000, "a" * 2001, "é" * 2100, "你" * 1400, "🙂" * 1100, "a" * 8500]
+    texts += ["".join(rng.choices("aé你🙂", weights=[rng.random() + 0.01 for _ in range(4)], k=rng.randint(1500, 5000))) for _ in range(12)]
+    want = []
+    for t in texts:
+        out, start, size = [], 0, 0
+        for i, c in enumerate(t):
+            n = len(c.encode())
+            if i > start and (size + n > 4096 or i + 1 - start > 2000):
+                out.append(t[start:i])
+                start, size = i, 0
+            size += n
+        want.append(out + ([t[start:]] if t else []))
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, v string").where("v <> ''").select("i", T.windows(F.col("v")).alias("w")).collect()
+    assert {r["i"]: r["w"] for r in got} == {i: w for i, w in enumerate(want) if texts[i]}
