@@ -107,6 +107,14 @@ def index_shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     return pdf[["value", "h1", "h2"]].assign(held=[[{"s": s, "e": e} for s, e in own] for own in held])
 
 
+def index_shards(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """index_shard() of each shard of a partition, which holds one."""
+    held = [f for f in frames if len(f)]
+    if held:
+        for _, shard in pd.concat(held, ignore_index=True).groupby("shard"):
+            yield index_shard(shard.drop_duplicates(["value", "h1", "h2"]), window)
+
+
 HELD = "value long, h1 long, h2 long, held array<struct<s: int, e: int>>"
 
 
@@ -133,10 +141,9 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dense: int
     )
     held = (
         segments.where("not dense")
-        .withColumn("shard", F.pmod("value", F.lit(n_shards)))
-        .repartition(int(n_shards), "shard")
-        .groupBy("shard")
-        .applyInPandas(lambda pdf: index_shard(pdf.drop_duplicates(key), window), HELD)
+        .withColumn("shard", F.pmod("value", F.lit(n_shards)).cast("int"))
+        .repartitionById(int(n_shards), "shard")  # a task for each shard: a hash of the number would put several into one
+        .mapInPandas(lambda frames: index_shards(frames, window), HELD)
     )
     if asked.where("dense").limit(1).count():
         held = held.unionByName(_dense(segments.where("dense").dropDuplicates(key), window))
