@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import records as C
+from millrace.functions import urls as U
 
 _SCRIPT = r"(?is)<script\b([^>]*)>(.*?)</script>"
 #: Double-quoted strings with their escapes, and the stretches between them.
@@ -251,3 +252,53 @@ def feed_entries(feeds: DataFrame, id_col: str, text_col: str = "text") -> DataF
     broken = F.col("format").isNull()
     out = kept.select(id_col, "format", F.posexplode_outer(F.when(broken, F.array(F.lit(None).cast(kept.schema["entries"].dataType.elementType))).otherwise(F.col("entries"))).alias("at", "e"))
     return out.where("e IS NOT NULL OR format IS NULL").select(id_col, "at", "format", "e.*", F.when(F.col("format").isNull(), "no feed").alias("fault"))
+
+
+#: How addresses of endpoints look within scripts: paths and words in quotes, sockets and whole addresses; attributes that link.
+_PATHS = r"[A-Za-z0-9_./~:%+\-?=&]"
+_WHOLE = rf"://[A-Za-z0-9.\-]{{1,253}}(?::[0-9]{{1,5}})?(?:/{_PATHS}{{0,500}})?"
+ENDPOINT_SHAPES = [
+    ("relative", rf"""["'`](/{_PATHS}{{0,240}}(?:api|graphql|gql|rest|gateway|internal|rpc|json|/v[0-9](?:/|\z)|v[0-9](?:/|\z)){_PATHS}{{0,240}})["'`]"""),
+    ("word", r"""(?i)["'`]([^"'`]{0,160}(?:graphql|/gql)(?:/[^"'`]*)?)["'`]"""),
+    ("socket", f"(wss?{_WHOLE})"),
+    ("absolute", f"(https?{_WHOLE})"),
+    ("attribute", r"""(?is)\b(?:href|src|action)\s*=\s*["']([^"']+)["']"""),
+]
+
+
+#: Endings of hosts below which a domain is registered.
+MULTI_ENDINGS = ["co.uk", "co.jp", "co.nz", "co.za", "co.in", "co.kr", "com.au", "com.br", "com.mx", "com.ar", "com.sg", "com.hk", "net.au", "net.br", "org.uk", "org.au", "me.uk", "ac.uk", "gov.uk", "edu.au", "gov.au"]
+
+
+def registrable(host: Column) -> Column:
+    """The last two labels of a host, the last three below the endings above; a shorter host as it is."""
+    n = F.when(host.rlike(rf"\.(?:{'|'.join(e.replace('.', chr(92) + '.') for e in MULTI_ENDINGS)})\z"), 3).otherwise(2)
+    labels = F.split(host, r"\.")
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+
+
+def endpoints(pages: DataFrame, id_col: str, url_col: str = "url", html_col: str = "html", limit: int | None = None) -> DataFrame:
+    """(id, at, value, normalized_url, kind, source, first_party) of the endpoints that a page names, in its scripts or attributes.
+
+    Shapes are looked for one after the other; what looks like an endpoint and is none, and addresses without a real host, are left out. Of those with
+    the same absolute address the first stays; at most limit, where one is given. first_party: registered under the same domain as the page."""
+    html, base, found = F.col(html_col), F.col(url_col), []
+    for shape, pattern in ENDPOINT_SHAPES:
+        values = F.transform(F.regexp_extract_all(html, F.lit(pattern), 1), lambda v: F.regexp_replace(C.trimmed(v), r"""^["'`)(,;]+|["'`)(,;]+\z|\\+\z""", ""))
+        if shape == "word":
+            values = F.filter(values, lambda v: v.startswith("/") | F.lower(v).rlike("^(?:https?|wss?)://"))
+        elif shape == "attribute":
+            values = F.filter(values, U.is_endpoint)
+        found.append(_named(values, "html_attribute" if shape == "attribute" else "inline_script"))
+    good = F.filter(F.flatten(F.array(*found)), lambda e: (e["value"] != "") & ~U.endpoint_noise(e["value"]) & ((e["kind"] == "relative_path") | U.valid_host(e["value"])))
+    placed = pages.select(id_col, base.alias("_base"), F.transform(good, lambda e: e.withField("normalized_url", F.when(e["kind"] == "websocket", e["value"]).otherwise(resolved(base, e["value"])))).alias("_e"))
+    placed = placed.withColumn("_names", F.transform("_e", lambda e: F.coalesce(e["normalized_url"], e["value"])))
+    once = F.filter("_e", lambda e, i: F.array_position("_names", F.element_at("_names", i + 1)) == i + 1)
+    each = placed.select(id_col, "_base", F.posexplode(once if limit is None else F.slice(once, 1, limit)).alias("at", "e"))
+    host, home = U.host(F.coalesce(F.col("e.normalized_url"), F.col("e.value"))), U.host(F.col("_base"))
+    own = (host == "") | (host == home) | (registrable(host) == registrable(home))
+    return each.select(id_col, "at", "e.value", "e.normalized_url", "e.kind", "e.source", F.coalesce(own, F.lit(True)).alias("first_party"))
+
+
+def _named(values: Column, source: str) -> Column:
+    return F.transform(values, lambda v: F.struct(v.alias("value"), C.endpoint_kind(v).alias("kind"), F.lit(source).alias("source")))

@@ -122,3 +122,31 @@ def extraction_ladder(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL").selectExpr("doc_id", f"{_SCORED} AS s", f"{_BODY_TEXT} AS t", "doc_id % 2 = 0 AS rooted", "octet_length(text) * 4 AS size")
     found = K.ladder(F.col("s"), F.col("t"), F.col("t"), F.col("size"), F.col("rooted"))
     return docs.select("doc_id", found["tier"].alias("tier"), found["words"].alias("words"))
+
+
+_SCRIPTED = (
+    "html || '<script>fetch(\"/api/v1/items?x=' || page_id % 9 || '\");fetch(`/graphql`);fetch(\"/graphql\");new WebSocket(\"wss://ws.h.io/x\");var a=\"https://API.other.co.uk/v2/y\",b=\"https://nohost/api\",c=\"/static/app.js?api\",d=\"https://schema.org/api\";</script>"
+    "<form action=\"rest/x/rest' || page_id % 4 || '\"></form><a href=\"/gateway/' || page_id % 3 || '\">g</a>'"
+)
+
+
+def _sql_text(x: str) -> str:
+    return x.replace("'", "''")
+
+
+_SHAPED = " UNION ALL ".join(
+    f"SELECT page_id, url, {k} AS shape, unnest(regexp_extract_all(h, '{_sql_text(pattern)}', 1)) AS v, unnest(range(len(regexp_extract_all(h, '{_sql_text(pattern)}', 1)))) AS i FROM p" for k, (_, pattern) in enumerate(G.ENDPOINT_SHAPES)
+)
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, {_SCRIPTED} AS h FROM pages), r AS ({_SHAPED}),
+c AS (SELECT page_id, url, shape, i, regexp_replace(trim(v), '^["''`)(,;]+|["''`)(,;]+\z|\+\z', '', 'g') AS v FROM r),
+k AS (SELECT *, lower(v) AS low FROM c WHERE CASE shape WHEN 1 THEN starts_with(v, '/') OR regexp_matches(lower(v), '^(https?|wss?)://') WHEN 4 THEN regexp_matches(lower(v), '^wss?://|graphql|/gql|/api|/v1/|/v2/|/rest|/gateway') ELSE TRUE END),
+e AS (SELECT *, CASE WHEN regexp_matches(low, '^wss?://') THEN 'websocket' WHEN contains(low, 'graphql') OR contains(low, '/gql') THEN 'graphql' WHEN regexp_matches(low, '^https?://') THEN 'absolute_url' ELSE 'relative_path' END AS kind FROM k
+ WHERE strlen(v) >= 4 AND low NOT IN ('/api', '/api/', '/rest', '/rest/') AND NOT regexp_matches(low, 'schema\.org|w3\.org|example\.(com|org|net)') AND NOT regexp_matches(low, '^[^?]*\.(js|css|png|jpe?g|gif|svg|ico|woff2?|ttf|eot|otf|webp|avif|mp4|webm|mp3|pdf|map)(\?|\z)')),
+n AS (SELECT *, CASE WHEN kind = 'websocket' OR regexp_matches(v, '^https?://[^/?#]*/') THEN v WHEN regexp_matches(v, '^https?://') THEN regexp_replace(v, '^(https?://[^/?#]*)', '/') WHEN starts_with(v, '/') THEN {_ORIGIN} || v ELSE {_DIR} || v END AS normalized_url FROM e
+ WHERE kind = 'relative_path' OR NOT regexp_matches(v, '^(https?|wss?)://') OR regexp_matches(v, '^(https?|wss?)://([^./:?#]+\.)+[A-Za-z]{{2,}}([/:?#]|\z)'))
+SELECT page_id, v AS value, normalized_url, kind, CASE shape WHEN 4 THEN 'html_attribute' ELSE 'inline_script' END AS source, regexp_extract(lower(normalized_url), '^[a-z]+://([^/:?#]*)', 1) NOT IN ('ws.h.io', 'api.other.co.uk') AS first_party FROM n QUALIFY row_number() OVER (PARTITION BY page_id, normalized_url ORDER BY shape, i) = 1""")
+def page_endpoints(spark, d):
+    pages = table(spark, d, "pages").selectExpr("page_id", "url", f"{_SCRIPTED} AS html")
+    return G.endpoints(pages, "page_id").drop("at")

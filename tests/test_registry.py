@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from millrace.plans import answers, documents, manifests, pages, payloads, registry, rules, structured, texts, upkeep  # noqa: F401  the modules register their queries
+from millrace.plans import answers, documents, dumps, manifests, pages, payloads, registry, rules, structured, texts, upkeep  # noqa: F401  the modules register their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
