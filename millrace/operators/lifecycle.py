@@ -84,6 +84,26 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int, both: bool = False)
     return seen
 
 
+def reached_edges(edges: DataFrame, start: DataFrame, depth: int, direction: str = "both", kinds: Sequence[str] = ()) -> DataFrame:
+    """(edge_id, kind, src, dst, depth) of the edges (edge_id, kind, src, dst) that a traversal from start (node) meets: those of the kinds, all if
+    none is named, at a node less than `depth` steps away, walked out, in or both; depth is that of the nearer end."""
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"unknown direction: {direction}")
+    own = edges.where(F.col("kind").isin(list(kinds))) if kinds else edges
+    walked = own if direction != "in" else own.select("edge_id", "kind", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    near = written(traverse(walked, start, max(depth - 1, 0), both=direction == "both")) if depth > 0 else start.select("node", F.lit(0).alias("depth")).limit(0)
+    ends = {"out": ["src"], "in": ["dst"], "both": ["src", "dst"]}[direction]
+    met = [own.join(near, own[e] == near["node"]).select("edge_id", "kind", "src", "dst", "depth") for e in ends]
+    every = met[0] if len(met) == 1 else met[0].unionByName(met[1])
+    return every.groupBy("edge_id", "kind", "src", "dst").agg(F.min("depth").alias("depth"))
+
+
+def edge_page(reached: DataFrame, limit: int, after: tuple[int, object] | None = None) -> DataFrame:
+    """The next edges in order of (depth, edge_id), strictly after that pair."""
+    rest = reached if after is None else reached.where((F.col("depth") > after[0]) | ((F.col("depth") == after[0]) & (F.col("edge_id") > F.lit(after[1]))))
+    return rest.orderBy("depth", "edge_id").limit(limit)
+
+
 def merge_nodes(nodes: DataFrame, fallback: float = 0.0) -> DataFrame:
     """One row a node_id: highest authority, greatest confidence (fallback without any, within 0 and 1), all source ids, label of the latest row."""
     confidence = F.least(F.greatest(F.coalesce(F.max("confidence"), F.lit(fallback)), F.lit(0.0)), F.lit(1.0))

@@ -101,3 +101,24 @@ def superseded(records: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     good = pairs.where(F.col(key) != F.col("by")).join(records.select(F.col(key).alias("by")).distinct(), "by", "left_semi").groupBy(key).agg(F.max("by").alias("superseded_by"))
     out = records.join(good, key, "left")
     return out.withColumn("status", F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise(F.col("status")))
+
+
+def contradicted(records: DataFrame, pairs: DataFrame, key: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Records after contradictions (key, other), and the reviews (key, reason, at) that they call for.
+
+    Both of a pair become contradicted and point at each other, at the greatest where there are several; a pair of itself or of a record that does
+    not exist is refused. Forgotten records stay as they are, and so do those they would contradict."""
+    open_ = records.where("status <> 'forgotten'").select(F.col(key).alias("k"))
+    good = pairs.where(F.col(key) != F.col("other")).join(open_.withColumnRenamed("k", key), key, "left_semi").join(open_.withColumnRenamed("k", "other"), "other", "left_semi")
+    both = good.select(key, "other").union(good.select(F.col("other"), F.col(key)))
+    met = both.groupBy(key).agg(F.max("other").alias("contradicts"))
+    out = records.drop("contradicts").join(met, key, "left").withColumn("status", F.when(F.col("contradicts").isNotNull(), "contradicted").otherwise(F.col("status")))
+    return out, met.select(key, F.concat(F.lit("contradicts "), F.col("contradicts").cast("string")).alias("reason"), at.alias("at"))
+
+
+def with_status(records: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Records after changes of status (key, status, at), the last one counting, with the number of events that their history gained; and the keys that
+    are to be reviewed, once each."""
+    last = changes.groupBy(key).agg(F.max(F.struct("at", F.col("status").alias("s"))).alias("_l"), F.count("*").alias("_n"))
+    out = records.join(last, key, "left").withColumns({"status": F.coalesce("_l.s", "status"), "events": F.coalesce("_n", F.lit(0))}).drop("_l", "_n")
+    return out, changes.where("status = 'review'").select(key).distinct().join(records.select(key), key, "left_semi")

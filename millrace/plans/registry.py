@@ -307,6 +307,19 @@ def graph_traverse(spark, d):
     return L.traverse(edges, spark.range(1, 2).select(F.col("id").alias("node")), 3, both=True)
 
 
+_KINDED = "e AS (SELECT o_orderkey AS edge_id, o_orderpriority AS kind, o_custkey AS src, o_orderkey % 89 AS dst FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW'))"
+
+
+@query(f"""WITH RECURSIVE {_KINDED}, r AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT CASE WHEN e.src = r.node THEN e.dst ELSE e.src END, r.depth + 1 FROM r JOIN e ON e.src = r.node OR e.dst = r.node WHERE r.depth < 1),
+n AS (SELECT node, min(depth) AS depth FROM r GROUP BY node), m AS (SELECT e.*, min(n.depth) AS depth FROM e JOIN n ON n.node = e.src OR n.node = e.dst GROUP BY ALL)
+SELECT * FROM m WHERE (depth, edge_id) > (0, 40) ORDER BY depth, edge_id LIMIT 500""")
+def graph_edge_page(spark, d):
+    """Orders pass for edges of their priority's kind; a page of those within two steps of a node."""
+    edges = table(spark, d, "orders").select(F.col("o_orderkey").alias("edge_id"), F.col("o_orderpriority").alias("kind"), F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 89).alias("dst"))
+    met = L.reached_edges(edges, spark.range(7, 8).select(F.col("id").alias("node")), 2, "both", ["1-URGENT", "2-HIGH", "5-LOW"])
+    return L.edge_page(met, 500, (0, 40))
+
+
 @query("""SELECT user_id % 10 AS node_id, arg_max(a, r) AS authority, least(max(value), 1) AS confidence, list_sort(list(DISTINCT event_type)) AS source_ids, arg_max(event_id, ts) AS label FROM
  (SELECT *, CASE event_id % 8 WHEN 0 THEN 'unknown' WHEN 1 THEN 'community' WHEN 2 THEN 'mirror' WHEN 3 THEN 'inferred' WHEN 4 THEN 'verified' WHEN 5 THEN 'official' WHEN 6 THEN 'user_pinned' END AS a,
   CASE event_id % 8 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 5 WHEN 6 THEN 6 ELSE 0 END AS r FROM events WHERE event_id % 8 <= user_id % 8) GROUP BY 1""")

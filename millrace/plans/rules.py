@@ -252,6 +252,26 @@ def memory_superseded(spark, d):
     return M.superseded(MEMORIES.frame(spark, d), pairs, "memory_id").select("memory_id", "status", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"))
 
 
+@query(f"""WITH m AS (SELECT * FROM {MEMORIES.sql}), p AS (SELECT o_custkey AS a, o_orderkey % 200 AS b FROM orders), ok AS (SELECT memory_id FROM m WHERE status <> 'forgotten'),
+g AS (SELECT a, b FROM p WHERE a <> b AND a IN (SELECT * FROM ok) AND b IN (SELECT * FROM ok)), u AS (SELECT a AS memory_id, max(b) AS c FROM (SELECT a, b FROM g UNION ALL SELECT b, a FROM g) GROUP BY 1)
+SELECT m.memory_id, CASE WHEN c IS NOT NULL THEN 'contradicted' ELSE status END AS status, c AS contradicts, CASE WHEN c IS NOT NULL THEN 'contradicts ' || c END AS reason FROM m LEFT JOIN u ON u.memory_id = m.memory_id""")
+def memory_contradicted(spark, d):
+    pairs = table(spark, d, "orders").select(F.col("o_custkey").alias("memory_id"), (F.col("o_orderkey") % 200).alias("other"))
+    out, reviews = M.contradicted(MEMORIES.frame(spark, d), pairs, "memory_id", F.current_timestamp())
+    return out.join(reviews.drop("at"), "memory_id", "left").select("memory_id", "status", "contradicts", "reason")
+
+
+_NEXT = "CASE o_orderkey % 4 WHEN 0 THEN 'review' WHEN 1 THEN 'active' WHEN 2 THEN 'archived' ELSE 'working' END"
+
+
+@query(f"""WITH c AS (SELECT o_custkey AS memory_id, {_NEXT} AS s, o_orderkey AS w FROM orders) SELECT m.memory_id, coalesce(l.s, m.status) AS status, coalesce(l.n, 0) AS events, coalesce(l.r, FALSE) AS review
+FROM {MEMORIES.sql} m LEFT JOIN (SELECT memory_id, arg_max(s, w) AS s, count(*) AS n, bool_or(s = 'review') AS r FROM c GROUP BY 1) l ON l.memory_id = m.memory_id""")
+def memory_statuses(spark, d):
+    changes = table(spark, d, "orders").selectExpr("o_custkey AS memory_id", f"{_NEXT} AS status", "o_orderkey AS at")
+    out, reviews = M.with_status(MEMORIES.frame(spark, d), changes, "memory_id")
+    return out.join(reviews.withColumn("review", F.lit(True)), "memory_id", "left").select("memory_id", "status", "events", F.coalesce("review", F.lit(False)).alias("review"))
+
+
 _AUTHORITY = "CASE {} % 7 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(G.AUTHORITIES)) + " END"
 EDGES = Rows("customer", edge_id="c_custkey", authority=_AUTHORITY.format("c_custkey"), confidence="CAST(c_custkey % 10 AS DOUBLE) / 10")
 CLAIMS = Rows("part", edge_id="p_partkey", authority=_AUTHORITY.format("(p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 2 END)"), confidence="CAST(p_size AS DOUBLE) / 50")
