@@ -116,42 +116,68 @@ class FMIndex:
         owner_at = np.repeat(np.append(self.rank_of, np.iinfo(np.int32).max), np.append(sizes + 1, 1))
         self.least = RangeMin(np.append(np.iinfo(np.int32).max, owner_at[:-1])[sa])
 
+    def _one(self, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matches of the last symbol before each end alone, which need no search."""
+        symbol = self.text[end - 1]
+        return end - 1, self.before[symbol], self.before[symbol + 1]
+
+    def _extended(self, left: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One step of backward search: whether the match goes on to the left in a segment of a smaller owner, and its new range."""
+        symbol = self.text[np.maximum(left - 1, 0)]
+        a, b = self.bwt.rank(symbol, lo, hi)
+        a, b = a + self.before[symbol], b + self.before[symbol]
+        fits = (left > first) & (b > a)
+        at = np.flatnonzero(fits)
+        fits[at] = self.least.least(a[at], b[at]) < own[at]
+        return fits, a, b
+
+    def _regions(self, least_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, start, end) of the parts of segments that a match of least_length can lie in.
+
+        Such a match holds a whole block of half its length, counted from the segment's start, and all blocks that it holds occur in a segment of
+        a smaller owner. Most other blocks fail after a few steps. A region is a run of blocks that occur, with what may stand beside it."""
+        size = max((least_length + 1) // 2, 1)
+        n = self.sizes // size
+        segment = np.repeat(np.flatnonzero(n), n[n > 0])
+        number = np.arange(len(segment)) - np.repeat(np.cumsum(n[n > 0]) - n[n > 0], n[n > 0])
+        start = self.starts[segment] + number * size
+        block, left_of, own = np.arange(len(segment)), start, self.rank_of[segment]
+        left, lo, hi = self._one(start + size)
+        while len(block) and (left > left_of).any():
+            fits, a, b = self._extended(left, lo, hi, left_of, own)
+            block, left_of, own, left, lo, hi = block[fits], left_of[fits], own[fits], left[fits] - 1, a[fits], b[fits]
+        if not len(block):
+            return block, block, block
+        new = np.append(True, (block[1:] != block[:-1] + 1) | (segment[block[1:]] != segment[block[:-1]]))
+        head, tail = block[new], block[np.append(np.flatnonzero(new)[1:] - 1, len(block) - 1)]
+        of, first = segment[head], self.starts[segment[head]]
+        return of, np.maximum(first, start[head] - size + 1), np.minimum(first + self.sizes[of], start[tail] + 2 * size - 1)
+
     def held_by_smaller(self, least_length: int) -> list[list[tuple[int, int]]]:
         """For each segment its maximal stretches of least_length or more that occur in a segment of a smaller owner.
 
-        Each segment is streamed against the index from its right end: backward search extends the match to the left
+        Each region is streamed against the index from its right end: backward search extends the match to the left
         while a smaller owner holds it (its matching statistic), then goes on from the next end that can give more.
         """
-        n = len(self.sizes)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        lane = np.flatnonzero(self.sizes >= least_length)
-        first, own = self.starts[lane], self.rank_of[lane]
-        end = first + self.sizes[lane]
-
-        def one(end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Matches of the last symbol alone, which need no search."""
-            symbol = self.text[end - 1]
-            return end - 1, self.before[symbol], self.before[symbol + 1]
-
-        left, lo, hi = one(end)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(len(self.sizes))]
+        lane, first, end = self._regions(least_length)
+        wide = end - first >= least_length
+        lane, first, end = lane[wide], first[wide], end[wide]
+        own, base = self.rank_of[lane], self.starts[lane]
+        left, lo, hi = self._one(end)
         while len(lane):
-            symbol = self.text[np.maximum(left - 1, 0)]
-            a, b = self.bwt.rank(symbol, lo, hi)
-            a, b = a + self.before[symbol], b + self.before[symbol]
-            fits = (left > first) & (b > a)
-            at = np.flatnonzero(fits)
-            fits[at] = self.least.least(a[at], b[at]) < own[at]
+            fits, a, b = self._extended(left, lo, hi, first, own)
             lo[fits], hi[fits] = a[fits], b[fits]
             left[fits] -= 1
             stop = ~fits
             report = np.flatnonzero(stop & (end - left >= least_length))
             for i in report.tolist():
-                found[lane[i]].append((int(left[i] - first[i]), int(end[i] - first[i])))
+                found[lane[i]].append((int(left[i] - base[i]), int(end[i] - base[i])))
             # what could be new starts further left and so ends before
             end = np.where(stop, np.where(end - left >= least_length, left - 1 + least_length, end - 1), end)
             go = ~(stop & (end - first < least_length))
             at = np.flatnonzero(stop & go)
-            left[at], lo[at], hi[at] = one(end[at])
+            left[at], lo[at], hi[at] = self._one(end[at])
             if not go.all():
-                lane, first, own, end, left, lo, hi = (x[go] for x in (lane, first, own, end, left, lo, hi))
+                lane, first, own, base, end, left, lo, hi = (x[go] for x in (lane, first, own, base, end, left, lo, hi))
         return found
