@@ -114,14 +114,16 @@ def not_indexed(candidates: DataFrame, indexed: DataFrame, url: str = "url") ->
     return candidates.join(known, F.col(url) == F.col("_url"), "left_anti")
 
 
-def read_by_url(points: DataFrame, asked: DataFrame, url: str = "url", most: int = 500) -> DataFrame:
-    """(asked, url, chunk_index, chunk_text, truncated): for each address asked for the chunks of the first of its forms that has
-    any, in order of index, `most` of them; truncated tells that the bound was reached."""
-    forms = asked.select(F.col(url).alias("asked"), F.posexplode(lookups(F.col(url), True)).alias("rank", "form")).distinct()
-    hits = forms.join(points.where(readable()).select(F.col(url).alias("form"), "chunk_index", "chunk_text"), "form")
-    best = hits.groupBy("asked").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
-    own = hits.join(best.select("asked", "rank"), ["asked", "rank"])
-    place = Window.partitionBy("asked").orderBy(F.col("chunk_index").asc_nulls_last(), "chunk_text")
+def read_by_url(points: DataFrame, asked: DataFrame, url: str = "url", most: int = 500, within: Sequence[str] = ()) -> DataFrame:
+    """(asked, within, url, chunk_index, chunk_text, truncated): for each address asked for the chunks of the first of its forms that has
+    any, in order of index, `most` of them; truncated tells that the bound was reached. within: columns of both tables; an address
+    finds only points of its own values there, so several who store under one address are told apart."""
+    key = ["asked", *within]
+    forms = asked.select(F.col(url).alias("asked"), *within, F.posexplode(lookups(F.col(url), True)).alias("rank", "form")).distinct()
+    hits = forms.join(points.where(readable()).select(F.col(url).alias("form"), *within, "chunk_index", "chunk_text"), ["form", *within])
+    best = hits.groupBy(*key).agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
+    own = hits.join(best.select(*key, "rank"), [*key, "rank"])
+    place = Window.partitionBy(*key).orderBy(F.col("chunk_index").asc_nulls_last(), "chunk_text")
     numbered = own.withColumn("_at", F.row_number().over(place)).where(F.col("_at") <= most)
-    sizes = own.groupBy("asked").agg((F.count("*") >= most).alias("truncated"))
-    return numbered.join(sizes, "asked").select("asked", F.col("form").alias("url"), "chunk_index", "chunk_text", "truncated")
+    sizes = own.groupBy(*key).agg((F.count("*") >= most).alias("truncated"))
+    return numbered.join(sizes, key).select(*key, F.col("form").alias("url"), "chunk_index", "chunk_text", "truncated")
