@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import stored
+from millrace.llm.shared import shards, stored
 
 #: Centroids, and the ratio by which lists are pruned, are fitted on a sample of at most so many distinct vectors; every
 #: vector is indexed. There are LISTS * sqrt(n) lists, and at least MEMBERS sampled vectors for each.
@@ -24,6 +24,8 @@ CLOSURE, REPLICAS, ASSIGN_WIDTH = 1.05, 4, 16
 TARGET, TRIALS = 0.93, 256
 #: Lists that lie together make a shard of about so many vectors, longer lists several; queries come in blocks.
 SHARD_VECTORS, QUERY_BLOCK = 20_000, 5_000
+#: So many queries meet the vectors of a shard that they read as one matrix: a task holds its scores, never those of a whole block.
+SCAN_BLOCK = 128
 
 
 def balanced_centroids(x: np.ndarray, n_lists: int, seed: int = 1) -> np.ndarray:
@@ -154,18 +156,24 @@ def _lists(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _near_lists(graph: CentroidGraph, q: np.ndarray, sizes: np.ndarray, keep: int, ratio: float) -> list[np.ndarray]:
     """The lists that each query reads: those within the ratio, and more until they hold `keep` items. A search that ends
-    within the ratio is done again with twice the width, so no number of lists is the most."""
+    within the ratio is done again with four times the width, so no number of lists is the most; one of a quarter of the lists and more
+    takes the distances to all."""
     out: list[np.ndarray] = [np.empty(0, int)] * len(q)
     rows, width, n_lists = np.arange(len(q)), 64, len(sizes)
     while len(rows):
-        found, d = graph.search(q[rows], width)
+        if 4 * width < n_lists:
+            found, d = graph.search(q[rows], width)
+        else:
+            d = _squared(q[rows], graph.centroids)
+            found = np.argsort(d, axis=1, kind="stable")
+            d = np.take_along_axis(d, found, 1)
         near = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-12
         held = np.cumsum(sizes[found], axis=1)
         near |= held - sizes[found] < keep
         done = ~near[:, -1] | (found.shape[1] == n_lists)
         for i in np.flatnonzero(done):
             out[rows[i]] = found[i][near[i]]
-        rows, width = rows[~done], width * 2
+        rows, width = rows[~done], width * 4
     return out
 
 
@@ -178,9 +186,11 @@ def fitted_ratio(graph: CentroidGraph, x: np.ndarray, reach: float, k: int) -> f
     q = _level(x[trials], reach)
     d = np.sqrt(_squared(q, graph.centroids))
     k = min(k, len(x) - 1)
-    scores = x[trials] @ x.T
-    scores[np.arange(len(trials)), trials] = -np.inf
-    top = np.argpartition(-scores, k - 1, axis=1)[:, :k] if k else np.empty((len(trials), 0), int)
+    top = np.empty((len(trials), k), int)
+    for at in range(0, len(trials) if k else 0, 32):
+        scores = -x[trials[at : at + 32]] @ x.T
+        scores[np.arange(len(scores)), trials[at : at + 32]] = np.inf
+        top[at : at + 32] = np.argpartition(scores, k - 1, axis=1)[:, :k]
     near, top = np.unique(top, return_inverse=True)
     top = top.reshape(len(trials), k)
     parts = [_lists(graph, _lifted(x[near[i : i + 256]], reach)) for i in range(0, len(near), 256)]
@@ -223,6 +233,38 @@ def _members(lists: pd.Series) -> dict[int, np.ndarray]:
     return dict(zip(names.tolist(), np.split(rows[order], starts[1:]), strict=True))
 
 
+def scan(posted: pd.DataFrame, ask: pd.DataFrame, keep: int) -> pd.DataFrame:
+    """(q, rep, score) of the `keep` best vectors of a shard (rep, v, lists) for each of the queries (rep, v, lists), of those in lists that the query reads.
+    It holds the scores of SCAN_BLOCK queries at a time."""
+    q_, r_, s_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    if len(posted) and len(ask):
+        x, reps, of = np.stack(posted["v"].to_numpy()).astype(float), posted["rep"].to_numpy(), ask["rep"].to_numpy()
+        held, first = _members(posted["lists"]), np.array([own[0] for own in ask["lists"]])
+        order = np.argsort(first, kind="stable")  # queries of one neighbourhood read much the same
+        for at in range(0, len(order), SCAN_BLOCK):
+            asks = order[at : at + SCAN_BLOCK]
+            wanted = _members(ask["lists"].iloc[asks])
+            both = [part for part in wanted if part in held]
+            if not both:
+                continue
+            met = np.unique(np.concatenate([held[part] for part in both]))
+            unread = np.ones((len(asks), len(met)), bool)
+            for part in both:
+                unread[wanted[part][:, None], np.searchsorted(met, held[part])] = False
+            scores = np.stack(ask["v"].iloc[asks].to_numpy()).astype(float) @ (x if len(met) == len(x) else x[met]).T
+            scores[unread] = -np.inf
+            m = min(keep, len(met))
+            i, j = np.nonzero((scores >= np.partition(scores, len(met) - m, axis=1)[:, len(met) - m, None]) & ~unread)
+            near, rep = scores[i, j], reps[met[j]]
+            order_ = np.lexsort((rep, -near, i))
+            i, rep, near = i[order_], rep[order_], near[order_]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < keep
+            q_.append(of[asks[i[top]]])
+            r_.append(rep[top])
+            s_.append(near[top])
+    return pd.DataFrame({"q": np.concatenate(q_), "rep": np.concatenate(r_), "score": np.concatenate(s_)})
+
+
 def build(vectors: DataFrame, k: int, sample: int = SAMPLE) -> PostingIndex:
     """An index for searches of up to k neighbours among vectors, a result of usable().
 
@@ -236,7 +278,8 @@ def build(vectors: DataFrame, k: int, sample: int = SAMPLE) -> PostingIndex:
     n, reach2 = items.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))).first()
     reach = float(np.sqrt(reach2 or 0.0))
     drawn = items.select("rep", "v").where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.0 * sample / max(n, 1)))).orderBy("rep").limit(sample)
-    x = np.array([r["v"] for r in drawn.collect()], float)
+    held = drawn.select("v").toArrow()["v"].combine_chunks()
+    x = held.flatten().to_numpy().reshape(len(held), -1) if len(held) else np.zeros((0, 1))
     if not len(x):
         return PostingIndex(items, CentroidGraph.of(np.zeros((0, 1))), reach, n, k + 1, 1.0)
     graph = CentroidGraph.of(balanced_centroids(_lifted(x, reach), int(max(1, min(LISTS * n**0.5, len(x) / MEMBERS)))))
@@ -285,7 +328,7 @@ def search(index: PostingIndex, queries: DataFrame, k: int, ratio: float | None
     nearest_sizes = count(posted, F.col("lists")[0])  # an item counts in its nearest list alone, so lists together hold no fewer
     by_vector = queries.select(F.col("vec_id").alias("query_id"), "v")
     asked = stored(by_vector.groupBy("v").agg(F.min("query_id").alias("rep")), "ann-queries")
-    sent = stored(asked.select("rep", "v").mapInArrow(placed(lambda q: _near_lists(graph, _level(q, reach), nearest_sizes, keep, ratio)), shape), "ann-probes")
+    sent = stored(asked.select("rep", "v").repartition(shards(spark), "rep").mapInArrow(placed(lambda q: _near_lists(graph, _level(q, reach), nearest_sizes, keep, ratio)), shape), "ann-probes")
     asks = count(sent, F.col("lists")[0])
     if read is not None:
         read.append(sent.select(F.explode("lists").alias("l")).groupBy("l").count().toPandas().pipe(lambda t: int((sizes[t["l"]] * t["count"]).sum())))
@@ -325,31 +368,7 @@ def search(index: PostingIndex, queries: DataFrame, k: int, ratio: float | None
     right = stored(sent.mapInArrow(to_blocks, "shard long, block long, " + shape), "ann-asks")
     left = posted.mapInArrow(to_shards, "shard long, " + shape).join(right.select("shard", F.col("block").alias("to")).distinct(), "shard")
 
-    def scan(posted: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        q_, r_, s_ = (np.empty(0, t) for t in (int, int, float))
-        if len(posted) and len(ask):
-            x, q = np.stack(posted["v"].to_numpy()).astype(float), np.stack(ask["v"].to_numpy()).astype(float)
-            held, wanted = _members(posted["lists"]), _members(ask["lists"])
-            out = []
-            for part in held.keys() & wanted.keys():
-                mine, m = held[part], min(keep, len(held[part]))
-                for at in range(0, len(wanted[part]), 256):
-                    asks = wanted[part][at : at + 256]
-                    scores = q[asks] @ x[mine].T
-                    i, j = np.nonzero(scores >= np.partition(scores, len(mine) - m, axis=1)[:, len(mine) - m, None])
-                    out.append((asks[i], mine[j], scores[i, j]))
-            if out:
-                q_, r_, s_ = (np.concatenate(c) for c in zip(*out, strict=True))
-                reps = posted["rep"].to_numpy()[r_]
-                once = np.unique(np.stack((q_, r_)), axis=1, return_index=True)[1]  # a vector of several lists counts once
-                q_, r_, s_ = q_[once], reps[once], s_[once]
-                order = np.lexsort((r_, -s_, q_))
-                q_, r_, s_ = q_[order], r_[order], s_[order]
-                top = np.arange(len(q_)) - np.searchsorted(q_, q_) < keep
-                q_, r_, s_ = ask["rep"].to_numpy()[q_[top]], r_[top], s_[top]
-        return pd.DataFrame({"q": pd.Series(q_, dtype="int64"), "rep": pd.Series(r_, dtype="int64"), "score": pd.Series(s_, dtype="float64")})
-
-    found = left.groupBy("shard", "to").cogroup(right.groupBy("shard", "block")).applyInPandas(scan, "q long, rep long, score double")
+    found = left.groupBy("shard", "to").cogroup(right.groupBy("shard", "block")).applyInPandas(lambda posted, ask: scan(posted, ask, keep), "q long, rep long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     once = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
     top = once.withColumn("at", F.row_number().over(best)).where(F.col("at") <= keep).join(index.items.select("rep", "ids"), "rep")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -15,3 +21,22 @@ def test_pages_of_one_address_are_read_apart(spark, tmp_path):
     pages = spark.createDataFrame([(20, "http://h/a"), (21, "http://h/a/"), (40, "http://h/a"), (41, "http://h/b")], "page_id long, url string")
     found = entry.queries()["read_by_url"](spark, folder_of(spark, tmp_path, pages=pages))
     assert sorted(map(tuple, found.collect())) == [(p, "http://h/a", "http://h/a/", i) for p in (20, 40) for i in range(4) if (p + i) % 7]
+
+
+def test_a_shard_of_many_lists_is_searched_in_bounded_memory():
+    ann = pytest.importorskip("millrace.llm.ann")
+    rng = np.random.default_rng(1)
+    x, q = rng.standard_normal((4000, 8)), rng.standard_normal((1500, 8))
+    lists = rng.integers(0, 160, (4000, 2))
+    posted = pd.DataFrame({"rep": np.arange(4000) * 3, "v": list(x), "lists": list(lists)})
+    wanted = [rng.permutation(160)[:120] for _ in q]
+    ask = pd.DataFrame({"rep": np.arange(1500) * 7, "v": list(q), "lists": wanted})
+    tracemalloc.start()
+    found = ann.scan(posted, ask, 21)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1500 * 21 and peak < 60e6  # each list's best of each query, as before, take more than 200 MB
+    for i in (0, 700, 1499):
+        read = np.flatnonzero(np.isin(lists, wanted[i]).any(1))
+        best = read[np.argsort(-(x[read] @ q[i]), kind="stable")][:21]
+        assert found[found.q == i * 7].rep.tolist() == (best * 3).tolist()
