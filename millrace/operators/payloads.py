@@ -58,35 +58,43 @@ def response_blob(value: Column) -> Column:
     return has("status", "status_code") & has("headers") & has("body", "raw_body", "response_body")
 
 
-_NODE = ["path", "parent", "name", "pos", "field", "kind", "v"]
+_NODE = ["path", "parent", "name", "pos", "field", "kind", "text", "v"]
 
 
-def walk(rows: DataFrame, id_col: str, payload: str, stop: Column | None = None) -> list[DataFrame]:
-    """The nodes of each row's VARIANT payload by depth: (id, path, parent, name, pos, field, kind, v), kind of object, array or leaf. Items of arrays have the
-    name of their field and a place in the path (`a.b[0]`). What lies below a node for which stop holds is not visited.
+def walk(rows: DataFrame, id_col: str, payload: str, stop: Column | None = None, **judge: Column) -> list[DataFrame]:
+    """The nodes of each row's VARIANT payload by depth: (id, path, parent, name, pos, field, kind, text, v), kind of object, array or leaf, text of a string. Items of arrays have
+    the name of their field and a place in the path (`a.b[0]`). What lies below a node for which stop holds is not visited.
+    judge: further columns of a node, of which stop may be made.
 
-    Each level is written before the next is read from it; there are as many as the deepest payload has."""
-    shape = F.schema_of_variant("v")
-    kind = F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").otherwise("leaf")
+    Rows are dealt to all tasks first, as few bytes of a table may hold much work. Each level is written, with what is asked of a node
+    more than once, before the next is read from it; there are as many as the deepest payload has."""
+    spark = rows.sparkSession
+
+    def judged(nodes: DataFrame) -> DataFrame:
+        kind = F.when(F.col("shape").startswith("OBJECT"), "object").when(F.col("shape").startswith("ARRAY"), "array").otherwise("leaf")
+        text = F.when(F.col("shape") == "STRING", F.try_variant_get("v", "$", "string"))
+        out = nodes.withColumn("shape", F.schema_of_variant("v")).withColumn("kind", kind).withColumn("text", text)
+        return written(out.select(id_col, *_NODE, *[c.alias(n) for n, c in judge.items()]))
+
+    rows = rows.select(id_col, payload).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), id_col)
     top = rows.select(id_col, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("name"), F.lit(0).alias("pos"), F.lit(False).alias("field"), F.col(payload).alias("v")).where("v IS NOT NULL")
-    levels = [written(top.withColumn("kind", kind).select(id_col, *_NODE))]
+    levels = [judged(top)]
     while True:
         inner = levels[-1].where("kind <> 'leaf'")
         if stop is not None:
             inner = inner.where(~F.coalesce(stop, F.lit(False)))
         if not inner.limit(1).count():
             return levels
-        spark = rows.sparkSession
         held = inner.select(id_col, F.col("path").alias("parent"), F.col("name").alias("above"), F.col("v").alias("held"))
         found = held.lateralJoin(spark.tvf.variant_explode(F.col("held").outer())).withColumnRenamed("value", "v")
         item = F.concat("parent", F.lit("["), "pos", F.lit("]"))
         field = F.when(F.col("parent") == "", F.col("key")).otherwise(F.concat("parent", F.lit("."), "key"))
         name = F.coalesce("key", F.concat("above", F.lit("["), "pos", F.lit("]")))
-        levels.append(written(found.select(id_col, F.when(F.col("key").isNull(), item).otherwise(field).alias("path"), "parent", name.alias("name"), "pos", F.col("key").isNotNull().alias("field"), "v").withColumn("kind", kind).select(id_col, *_NODE)))
+        levels.append(judged(found.select(id_col, F.when(F.col("key").isNull(), item).otherwise(field).alias("path"), "parent", name.alias("name"), "pos", F.col("key").isNotNull().alias("field"), "v")))
 
 
 def _text() -> Column:
-    return F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
+    return F.col("text")
 
 
 def _dropped() -> Column:
@@ -100,9 +108,14 @@ def _detector(allow_paths: bool) -> Column:
     return F.when(_dropped(), "secret_field_name").when(_text().isNotNull() & ~F.col("path").isin(STRUCTURAL), found)
 
 
+#: A node that is dropped, by its detector.
+_GONE = F.coalesce(F.col("detector") == "secret_field_name", F.lit(False))
+
+
 def redaction_report(rows: DataFrame, id_col: str, payload: str, allow_paths: bool = False) -> DataFrame:
     """(id, path, action, detector) of each field of the payloads that redaction drops or hides."""
-    found = [level.where("path <> ''").select(id_col, "path", F.when(_dropped(), "dropped").otherwise("redacted").alias("action"), _detector(allow_paths).alias("detector")) for level in walk(rows, id_col, payload, _dropped())]
+    action = F.when(_GONE, "dropped").otherwise("redacted").alias("action")
+    found = [level.where("path <> ''").select(id_col, "path", action, "detector") for level in walk(rows, id_col, payload, _GONE, detector=_detector(allow_paths))]
     return reduce(DataFrame.unionByName, found).where("detector IS NOT NULL")
 
 
@@ -110,13 +123,13 @@ def redacted(rows: DataFrame, id_col: str, payload: str, allow_paths: bool = Fal
     """(id, payload, status) with the payload as VARIANT without its dropped fields and with HIDDEN for its secrets; status clean or redacted.
 
     Values are put together from the deepest level up: each is summed up with its siblings under their parent."""
-    levels, below = walk(rows, id_col, payload, _dropped()), None
+    levels, below = walk(rows, id_col, payload, _GONE, detector=_detector(allow_paths)), None
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]\z", "")
     for level in reversed(levels):
-        seen = level.select("*", _detector(allow_paths).alias("detector")).where(F.coalesce(F.col("detector") != "secret_field_name", F.lit(True)) | (F.col("path") == ""))
+        seen = level.where(~_GONE | (F.col("path") == ""))
         hid = F.col("detector").isNotNull()
         leaf = F.when(hid, quoted(F.lit(HIDDEN))).otherwise(F.to_json("v"))
-        gone = level.where(_dropped()).groupBy(id_col, "parent").agg(F.count("*").alias("dropped"))
+        gone = level.where(_GONE).groupBy(id_col, "parent").agg(F.count("*").alias("dropped"))
         if below is not None:
             seen = seen.join(below, [id_col, "path"], "left")
             body = F.coalesce("body", F.lit(""))
@@ -141,5 +154,5 @@ def payload_faults(rows: DataFrame, id_col: str, payload: str) -> DataFrame:
     marked = T.marked_secret(_text())
     value = F.when(F.col("path") == "chunk_text", marked).otherwise(marked | local_path(_text()) | html_blob(_text()))
     fault = F.when(named, "field").when(blob, "response").when(_text().isNotNull() & value, "value")
-    found = [level.select(id_col, "path", fault.alias("fault")) for level in walk(rows, id_col, payload, named | F.coalesce(blob, F.lit(False)))]
+    found = [level.select(id_col, "path", "fault") for level in walk(rows, id_col, payload, F.col("fault").isin("field", "response"), fault=fault)]
     return reduce(DataFrame.unionByName, found).where("fault IS NOT NULL")

@@ -8,7 +8,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from millrace.operators import payloads
 
 
 def folder_of(spark, tmp_path, **tables) -> str:
@@ -40,3 +43,11 @@ def test_a_shard_of_many_lists_is_searched_in_bounded_memory():
         read = np.flatnonzero(np.isin(lists, wanted[i]).any(1))
         best = read[np.argsort(-(x[read] @ q[i]), kind="stable")][:21]
         assert found[found.q == i * 7].rep.tolist() == (best * 3).tolist()
+
+
+def test_payloads_of_one_file_are_walked_by_all_tasks(spark):
+    rows = spark.range(200, numPartitions=1).selectExpr("id", """parse_json('{"a":"Bearer x","b":[{"c":1}]}') AS payload""")
+    levels = payloads.walk(rows, "id", "payload", found=F.col("text").contains("Bearer"))
+    assert [level.count() for level in levels] == [200, 400, 200, 200]
+    assert levels[0].select(F.spark_partition_id()).distinct().count() > 1
+    assert levels[1].where("found").count() == 200  # judged once, when its level is written
