@@ -108,14 +108,15 @@ def _detector(allow_paths: bool) -> Column:
     return F.when(_dropped(), "secret_field_name").when(_text().isNotNull() & ~F.col("path").isin(STRUCTURAL), found)
 
 
-#: A node that is dropped, by its detector.
-_GONE = F.coalesce(F.col("detector") == "secret_field_name", F.lit(False))
+def _gone() -> Column:
+    """Whether a node is dropped, by its detector."""
+    return F.coalesce(F.col("detector") == "secret_field_name", F.lit(False))
 
 
 def redaction_report(rows: DataFrame, id_col: str, payload: str, allow_paths: bool = False) -> DataFrame:
     """(id, path, action, detector) of each field of the payloads that redaction drops or hides."""
-    action = F.when(_GONE, "dropped").otherwise("redacted").alias("action")
-    found = [level.where("path <> ''").select(id_col, "path", action, "detector") for level in walk(rows, id_col, payload, _GONE, detector=_detector(allow_paths))]
+    action = F.when(_gone(), "dropped").otherwise("redacted").alias("action")
+    found = [level.where("path <> ''").select(id_col, "path", action, "detector") for level in walk(rows, id_col, payload, _gone(), detector=_detector(allow_paths))]
     return reduce(DataFrame.unionByName, found).where("detector IS NOT NULL")
 
 
@@ -123,13 +124,13 @@ def redacted(rows: DataFrame, id_col: str, payload: str, allow_paths: bool = Fal
     """(id, payload, status) with the payload as VARIANT without its dropped fields and with HIDDEN for its secrets; status clean or redacted.
 
     Values are put together from the deepest level up: each is summed up with its siblings under their parent."""
-    levels, below = walk(rows, id_col, payload, _GONE, detector=_detector(allow_paths)), None
+    levels, below = walk(rows, id_col, payload, _gone(), detector=_detector(allow_paths)), None
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]\z", "")
     for level in reversed(levels):
-        seen = level.where(~_GONE | (F.col("path") == ""))
+        seen = level.where(~_gone() | (F.col("path") == ""))
         hid = F.col("detector").isNotNull()
         leaf = F.when(hid, quoted(F.lit(HIDDEN))).otherwise(F.to_json("v"))
-        gone = level.where(_GONE).groupBy(id_col, "parent").agg(F.count("*").alias("dropped"))
+        gone = level.where(_gone()).groupBy(id_col, "parent").agg(F.count("*").alias("dropped"))
         if below is not None:
             seen = seen.join(below, [id_col, "path"], "left")
             body = F.coalesce("body", F.lit(""))

@@ -6,11 +6,12 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
-
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from millrace.functions.text import pieces
 from millrace.operators import payloads
 
 
@@ -51,3 +52,11 @@ def test_payloads_of_one_file_are_walked_by_all_tasks(spark):
     assert [level.count() for level in levels] == [200, 400, 200, 200]
     assert levels[0].select(F.spark_partition_id()).distinct().count() > 1
     assert levels[1].where("found").count() == 200  # judged once, when its level is written
+
+
+def test_batches_are_worked_on_in_parts_of_bounded_bytes():
+    batch = pa.RecordBatch.from_pydict({"id": list(range(7)), "a": ["x" * 40, None, "y" * 300, "", "é" * 20, "z" * 40, "w"], "b": [None, "x" * 50, "y", "", None, "z", ""]})
+    parts = list(pieces(batch, ["a", "b"], 100))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and len(parts) > 2
+    assert all(p.num_rows == 1 or sum(len((x or "").encode()) for c in "ab" for x in p.column(c).to_pylist()) < 200 for p in parts)
+    assert list(pieces(batch.slice(0, 0), ["a"])) == []
