@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,19 @@ def bucket(term: Column) -> Column:
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Terms whose bucket a worker remembers.
-MOST_TERMS = 500_000
+MOST_TERMS = 200_000
+#: Bytes of text that a worker takes from a batch at a time, but for a longer single row.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, columns: Sequence[str], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes of text in all of the columns; a row is never cut."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    at = 0
+    for cut in [*(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), batch.num_rows]:
+        if cut > at:
+            yield batch.slice(at, cut - at)
+        at = cut
 
 
 def _bucket_of(term: bytes) -> int:
@@ -44,7 +57,7 @@ def term_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = {w.encode() for w in STOP_WORDS}
         known: dict[bytes, int] = dict.fromkeys(stop, -1)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, ["text"])):
             found = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 terms = [t for t in (text or b"").translate(_LOWER).split() if len(t) >= 3]
