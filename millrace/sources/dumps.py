@@ -50,13 +50,17 @@ POST = {"title": "text", "selftext": "text", "permalink": "text", "author": "tex
 def reddit_posts(dumps: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, at, url, title, author, subreddit, score, num_comments, created_utc, content, fault) of the posts of each dump, a JSON array.
 
-    content is the title, the text and each comment with what it replies to. One malformed post or comment makes the dump one row with a fault."""
+    content is the title, the text and each comment with what it replies to. One malformed post or comment makes the dump one row with a fault.
+
+    Dumps are dealt to all tasks, as few bytes of a table may hold much work, and judged once."""
     root = F.try_parse_json(F.col(text_col))
-    posts = dumps.select(id_col, _list(root).alias("posts"))
+    dealt = dumps.select(id_col, text_col).repartition(int(dumps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    posts = dealt.select(id_col, _list(root).alias("posts"))
     right_comment = lambda c: _fits(c, {"parent_text": "text"}) & _text(c, "body").isNotNull()
     right = lambda p: _fits(p, POST) & F.forall(F.coalesce(_list(p, "comments"), F.array().cast("array<variant>")), right_comment)
     judged = posts.withColumn("fault", F.when(F.col("posts").isNull() | ~F.forall("posts", right), "adapter.reddit.dump_invalid"))
-    good = judged.where("fault IS NULL").select(id_col, F.posexplode("posts").alias("at", "p"))
+    right_posts = F.when(F.col("fault").isNull(), F.col("posts"))
+    each = judged.select(id_col, "fault", F.posexplode_outer(right_posts).alias("at", "p")).where("fault IS NOT NULL OR at IS NOT NULL")
     p = F.col("p")
     title = F.coalesce(_text(p, "title"), F.lit("Untitled"))
     said = F.when(F.coalesce(_text(p, "selftext"), F.lit("")) != "", F.concat(F.lit("\n\n"), _text(p, "selftext"))).otherwise("")
@@ -69,9 +73,7 @@ def reddit_posts(dumps: DataFrame, id_col: str, text_col: str = "text") -> DataF
     author = F.coalesce(F.when(_text(p, "author") != "", _text(p, "author")), F.lit("[deleted]"))
     columns = ["url", "title", "author", "subreddit", "score", "num_comments", "created_utc", "content"]
     values = [F.concat(F.lit("https://www.reddit.com"), F.coalesce(_text(p, "permalink"), F.lit(""))), title, author, _text(p, "subreddit"), _whole(p, "score"), _whole(p, "num_comments"), _whole(p, "created_utc"), F.concat(F.lit("# "), title, said, comments)]
-    found = good.select(id_col, F.col("at").cast("long").alias("at"), *[v.alias(c) for v, c in zip(values, columns, strict=True)], F.lit(None).cast("string").alias("fault"))
-    broken = judged.where("fault IS NOT NULL").select(id_col, *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ["at", *columns]], "fault")
-    return found.unionByName(broken)
+    return each.select(id_col, F.col("at").cast("long").alias("at"), *[F.when(F.col("fault").isNull(), v).alias(c) for v, c in zip(values, columns, strict=True)], "fault")
 
 
 def youtube_videos(dumps: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from millrace.functions.text import pieces
 from millrace.operators import payloads
+from millrace.sources import dumps
 
 
 def folder_of(spark, tmp_path, **tables) -> str:
@@ -61,3 +62,13 @@ def test_batches_are_worked_on_in_parts_of_bounded_bytes():
     for sizes in ([sum(len((r[c] or "").encode()) for c in "ab") for r in p.to_pylist()] for p in parts):
         assert sum(sizes) < 100 + max(sizes)  # the limit, but for the row that crosses it
     assert list(pieces(batch.slice(0, 0), ["a"])) == []
+
+
+def test_dumps_of_one_file_are_read_by_all_tasks(spark):
+    said = '[{"title":"t","comments":[{"body":"c"}]},{}]'
+    rows = spark.createDataFrame([(i, (said, "[]", "{", '[{"comments":[{}]}]')[i % 4]) for i in range(80)], "id long, text string").coalesce(1)
+    found = dumps.reddit_posts(rows, "id").withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in found}) > 1
+    want = [(i, at, None) for i in range(0, 80, 4) for at in (0, 1)] + [(i, None, "adapter.reddit.dump_invalid") for i in range(80) if i % 4 > 1]
+    assert sorted(((r.id, r.at, r.fault) for r in found), key=str) == sorted(want, key=str)
+    assert all((r.url is None) == (r.fault is not None) == (r.content is None) for r in found)
