@@ -72,3 +72,24 @@ def test_dumps_of_one_file_are_read_by_all_tasks(spark):
     want = [(i, at, None) for i in range(0, 80, 4) for at in (0, 1)] + [(i, None, "adapter.reddit.dump_invalid") for i in range(80) if i % 4 > 1]
     assert sorted(((r.id, r.at, r.fault) for r in found), key=str) == sorted(want, key=str)
     assert all((r.url is None) == (r.fault is not None) == (r.content is None) for r in found)
+
+
+def test_what_all_sets_unlike_a_pivot_lack_is_not_compared(spark, monkeypatch):
+    join = pytest.importorskip("millrace.llm.jaccard_join")
+    shared = lambda i: list(range(1000 * (i // 2), 1000 * (i // 2) + 95))
+    rows = [(0, i, False, 100, list(range(-100, 0)), [*shared(i), *range(100_000 * i, 100_000 * i + 5)]) for i in range(2, 12)]
+    deltas = spark.createDataFrame(rows, "p long, doc long, linked boolean, n long, lacks array<long>, extras array<long>")
+    compared, real = [], join.stored
+
+    def stored(df, name):
+        out = real(df, name)
+        lists = [c for c, kind in out.dtypes if kind == "array<bigint>"]
+        if name == "far-sets":
+            compared.append(out.select(sum((F.size(c) for c in lists), F.lit(0)).alias("n")).agg(F.sum("n")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(join, "stored", stored)
+    found = spark.createDataFrame([], "node long, component long")
+    pairs = {(r.a, r.b) for r in join._far_pairs(deltas, found, join.Measure(5, 80, 100)).collect()}
+    assert pairs == {(i, i + 1) for i in range(2, 12, 2)}
+    assert max(compared) <= 10 * 100  # extras; with what the sets lack, as before, 10 * 200
