@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from millrace.functions import records as C
 
@@ -267,66 +273,88 @@ def _assigned(line: Column, script: Column) -> Column:
     return F.when(line.rlike(pattern), F.struct(script.alias("language"), F.when(made, "function").otherwise("constant").alias("kind"), F.regexp_extract(line, pattern, 1).alias("name"), F.when(line.rlike(_EXPORTED), "public").otherwise("private").alias("visibility")))
 
 
+#: How a line without its indent must begin to declare anything.
+_MAY_DECLARE = rf"^(?:pub )?{_MODIFIERS}(?:{'|'.join(sorted({*RUST_KINDS, *PYTHON_KINDS, *SCRIPT_KINDS}, key=len, reverse=True))}|const|let|var) "
+
+
+def _extents(*arrays: pa.Array) -> tuple[list[int], list[int], list[str | None]]:
+    """Of one file: the last line of each declaration (-1 if its braces stay open), the number of lines, and the names of parents.
+
+    The line where the indent goes back is found for all lines in one pass; braces are added up once, and a search stops where they close."""
+    indent, blank, opens, closes, at, closed, language, name = (x.to_pylist() for x in arrays)
+    n, ends, parents, stack = len(indent), [], [], []
+    back, last, waiting = [n] * n, [], []
+    if "python" in language:
+        for i in range(n):
+            if not blank[i]:
+                while waiting and indent[i] <= indent[waiting[-1]]:
+                    back[waiting.pop()] = i
+                waiting.append(i)
+            last.append(i if not blank[i] else last[-1] if last else -1)
+    seen, depth = ([0, *accumulate(x)] for x in (opens, (o - c for o, c in zip(opens, closes, strict=True))))
+    falls = [i for i, (o, c) in enumerate(zip(opens, closes, strict=True)) if c > o]
+    for i, done, spoken, own in zip(at, closed, language, name, strict=True):
+        limit = min(n, i + SCAN_LINES)
+        if spoken == "python":
+            ends.append(last[min(back[i], limit) - 1])
+        elif done:
+            ends.append(i)
+        else:
+            first = bisect_right(seen, seen[i]) - 1
+            later = (falls[k] for k in range(bisect_right(falls, first), len(falls)))
+            end = next((y for y in chain([first], later) if y >= limit or depth[y + 1] <= depth[i]), n)
+            ends.append(end if end < limit else -1)
+        while stack and stack[-1][0] >= indent[i]:
+            stack.pop()
+        parents.append(stack[-1][1] if stack else None)
+        stack.append((indent[i], own))
+    return ends, [n] * len(at), parents
+
+
 def code_symbols(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
     """(id, line_start, line_end, name, language, kind, visibility, parent, truncated) of each declaration.
 
     Bodies end where their braces close (Rust, JavaScript, TypeScript; braces in strings and line comments do not count) or where the indent goes
     back (Python), within SCAN_LINES lines; truncated says that the file goes on where the search ended. parent is the last declaration
-    before it with a smaller indent. All of it happens in the row of the file: nothing is shuffled."""
+    before it with a smaller indent. All of it happens in the row of the file: nothing is shuffled, and time grows with its lines."""
     low = F.lower(path_col)
     script = F.when(low.rlike(r"\.(?:ts|tsx|mts|cts)\z"), "typescript").when(low.rlike(r"\.(?:js|jsx|mjs|cjs)\z"), "javascript")
     lines = F.split(F.regexp_replace(F.regexp_replace(text_col, r"\r\n", "\n"), r"\n\z", ""), "\n", -1)
 
-    def facts(line: Column, i: Column) -> Column:
+    def read_once(line: Column) -> Column:
         code = F.regexp_replace(line, r""""(?:[^"\\]|\\.)*"|'[{}]'|//.*""", "")
-        count = lambda c: F.length(code) - F.length(F.replace(code, F.lit(c), F.lit("")))
+        return F.struct(line.alias("line"), F.regexp_replace(line, r"^\s+", "").alias("bare"), F.when(line.contains("{") | line.contains("}"), code).otherwise("").alias("code"))
+
+    def facts(x: Column, i: Column) -> Column:
+        line = x["line"]
+        count = lambda c: F.length(x["code"]) - F.length(F.replace(x["code"], F.lit(c), F.lit("")))
         return F.struct(
             i.alias("i"),
             F.length(F.regexp_extract(line, r"^[ \t]*", 0)).alias("indent"),
             (C.trimmed(line) == "").alias("blank"),
             count("{").alias("opens"),
             count("}").alias("closes"),
-            (~line.contains("{") & line.rlike(r";\s*\z")).alias("closed"),
-            declaration(F.regexp_replace(line, r"^\s+", ""), F.col("script")).alias("d"),
+            (~line.contains("{") & line.contains(";") & line.rlike(r";\s*\z")).alias("closed"),
+            F.when(x["bare"].rlike(_MAY_DECLARE), declaration(x["bare"], F.col("script"))).alias("d"),
         )
 
-    read = files.select(id_col, script.alias("script"), lines.alias("lines")).withColumn("rows", F.transform("lines", facts)).select(id_col, "rows", F.size("rows").alias("n"))
-    rows, n = F.col("rows"), F.col("n")
-
-    def brace_end(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("seen"), F.lit(-1).alias("end"))
-
-        def step(s: Column, y: Column) -> Column:
-            depth, seen = s["depth"] + y["opens"] - y["closes"], s["seen"] | (y["opens"] > 0)
-            return F.when(s["end"] >= 0, s).otherwise(F.struct(depth.alias("depth"), seen.alias("seen"), F.when(seen & (depth <= 0), y["i"]).otherwise(-1).alias("end")))
-
-        return F.when(x["closed"], x["i"]).otherwise(F.aggregate(F.slice(rows, x["i"] + 1, F.lit(SCAN_LINES)), start, step, lambda s: s["end"]))
-
-    def indent_end(x: Column) -> Column:
-        start = F.struct(x["i"].alias("end"), F.lit(False).alias("over"))
-
-        def step(s: Column, y: Column) -> Column:
-            over = s["over"] | (~y["blank"] & (y["indent"] <= x["indent"]))
-            return F.struct(F.when(over | y["blank"], s["end"]).otherwise(y["i"]).alias("end"), over.alias("over"))
-
-        return F.aggregate(F.slice(rows, x["i"] + 2, F.lit(SCAN_LINES - 1)), start, step, lambda s: s["end"])
-
-    def ended(x: Column) -> Column:
-        limit, braces = F.least(n, x["i"] + SCAN_LINES), x["d"]["language"] != "python"
-        end = F.when(braces, brace_end(x)).otherwise(indent_end(x))
-        open_ = braces & (end < 0)
-        return F.struct(x.alias("x"), F.when(open_, limit).otherwise(end + 1).alias("line_end"), (limit < n).alias("more"), limit.alias("limit"), open_.alias("open"))
-
-    declared = F.filter(rows, lambda x: x["d"].isNotNull())
-    # the stack of indents grows from bottom to top, so leaving those of a greater or equal indent is a filter
-    empty = F.struct(F.array().cast("array<struct<indent:int,name:string>>").alias("stack"), F.array().cast("array<string>").alias("parents"))
-
-    def push(s: Column, x: Column) -> Column:
-        left = F.filter(s["stack"], lambda y: y["indent"] < x["indent"])
-        return F.struct(F.concat(left, F.array(F.struct(x["indent"].alias("indent"), x["d"]["name"].alias("name")))).alias("stack"), F.concat(s["parents"], F.array(F.try_element_at(left, F.lit(-1))["name"])).alias("parents"))
-
-    parents = F.aggregate(declared, empty, push, lambda s: s["parents"])
-    found = read.select(id_col, F.explode(F.arrays_zip(F.transform(declared, ended).alias("e"), parents.alias("parent"))).alias("f"))
+    read = files.select(id_col, script.alias("script"), lines.alias("lines")).withColumn("rows", F.transform(F.transform("lines", read_once), facts))
+    read = read.select(id_col, "rows", F.filter("rows", lambda x: x["d"].isNotNull()).alias("declared"))
+    arrays = {"indent": "rows.indent", "blank": "rows.blank", "opens": "rows.opens", "closes": "rows.closes", "at": "declared.i", "closed": "declared.closed", "language": "declared.d.language", "name": "declared.d.name"}
+    asked = read.select(id_col, "declared", *[F.col(v).alias(k) for k, v in arrays.items()])
+    shape = S.StructType([asked.schema[id_col], asked.schema["declared"], *[S.StructField(k, S.ArrayType(t)) for k, t in (("end", S.IntegerType()), ("n", S.IntegerType()), ("parent", S.StringType()))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_extents(*[batch.column(k)[r].values for k in arrays]) if batch.column("indent")[r].is_valid else (None, None, None) for r in range(batch.num_rows)]
+            columns = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("declared"), *columns], schema=pa.schema([batch.schema.field(id_col), batch.schema.field("declared"), *[pa.field(k, c.type) for k, c in zip(("end", "n", "parent"), columns, strict=True)]]))
+
+    each = asked.mapInArrow(run, shape).select(id_col, F.explode(F.arrays_zip("declared", "end", "n", "parent")).alias("f"))
+    x, limit = F.col("f.declared"), F.least(F.col("f.n"), F.col("f.declared.i") + SCAN_LINES)
+    open_ = F.col("f.end") < 0
+    e = F.struct(x.alias("x"), F.when(open_, limit).otherwise(F.col("f.end") + 1).alias("line_end"), (limit < F.col("f.n")).alias("more"), limit.alias("limit"), open_.alias("open"))
+    found = each.select(id_col, F.struct(e.alias("e"), "f.parent").alias("f"))
     e = F.col("f.e")
     at_limit = F.when(e["x"]["d"]["language"] == "python", e["line_end"] == e["limit"]).otherwise(e["open"])
     return found.select(
