@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 ENDED = ["completed", "completed_degraded", "failed", "canceled", "expired", "skipped"]
 VISIBILITIES = ["public", "derived", "internal", "redacted", "sensitive"]
 LEAST_PERIOD_S = 30
+#: Links of one task on average; rows of a repeated link that are made at a time.
+LINKS_A_TASK, COPIES = 1_000_000, 10_000
 
 
 def due_watches(watches: DataFrame, runs: DataFrame, jobs: DataFrame, now: Column, limit: int) -> DataFrame:
@@ -35,10 +37,15 @@ def events_kept(events: DataFrame, jobs: DataFrame, cutoff: Column, failed_cutof
 
 
 def link_changes(before: DataFrame, after: DataFrame, page: str = "page_id", href: str = "href") -> DataFrame:
-    """Links of each page that came or went between two versions; a link listed twice is reported twice."""
-    came = after.join(before.select(page, href).distinct(), [page, href], "left_anti").withColumn("change", F.lit("added"))
-    gone = before.join(after.select(page, href).distinct(), [page, href], "left_anti").withColumn("change", F.lit("removed"))
-    return came.unionByName(gone)
+    """(page, href, change): links of each page that came or went between two versions; a link listed twice is reported twice. Nulls are equal.
+
+    Both versions are dealt together, LINKS_A_TASK of their links to a task on average, and counted once: no task grows with the tables."""
+    both = before.select(page, href, F.lit(1).alias("old")).union(after.select(page, href, F.lit(0)))
+    tasks = max(-(-both.count() // LINKS_A_TASK), int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = both.repartition(tasks, page, href).groupBy(page, href).agg(F.count("*").alias("n"), F.sum("old").alias("old")).where("old = 0 or old = n")
+    part = n.select(page, href, F.when(F.col("old") == 0, "added").otherwise("removed").alias("change"), "n", F.explode(F.expr(f"sequence(0, (n - 1) div {COPIES})")).alias("part"))
+    copies = F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES))
+    return part.select(page, href, "change", F.explode(copies).alias("copy")).drop("copy")
 
 
 def carried(points: DataFrame, unchanged: DataFrame, key: str, generation: int) -> DataFrame:

@@ -15,3 +15,15 @@ def test_link_changes_report_repeated_links_each(spark):
     after = spark.createDataFrame([(1, "b"), (1, "c"), (1, "c")], "page_id long, href string")
     got = sorted((r["href"], r["change"]) for r in J.link_changes(before, after).collect())
     assert got == [("a", "removed"), ("c", "added"), ("c", "added")]
+
+
+def test_link_changes_deal_links_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(J, "LINKS_A_TASK", 100, raising=False)
+    monkeypatch.setattr(J, "COPIES", 3, raising=False)
+    after = spark.range(5000).selectExpr("id % 1000 as page_id", "if(id % 1000 = 7, null, string(id)) as href")
+    before = after.where("page_id < 500")
+    more = after.unionByName(spark.sql("select 1L as page_id, 'again' as href from range(10)"))
+    found = J.link_changes(before, more)
+    assert found.rdd.getNumPartitions() >= 70  # 7,510 links
+    got = sorted((r["page_id"], r["href"], r["change"]) for r in found.collect())
+    assert got == sorted([(i % 1000, str(i), "added") for i in range(5000) if i % 1000 >= 500] + [(1, "again", "added")] * 10)
