@@ -96,6 +96,26 @@ def test_what_all_sets_unlike_a_pivot_lack_is_not_compared(spark, monkeypatch):
     assert max(compared) <= 10 * 100  # extras; with what the sets lack, as before, 10 * 200
 
 
+def test_tokens_of_one_component_alone_are_not_compared(spark, monkeypatch):
+    join = pytest.importorskip("millrace.llm.jaccard_join")
+    shared = lambda i: list(range(1000 * (i // 2), 1000 * (i // 2) + 95))
+    rows = [(0, i, False, 100, list(range(-100, 0)), [*shared(i), *range(100_000 * i, 100_000 * i + 5)]) for i in range(2, 12)]
+    rows += [(0, 12, False, 100, list(range(-100, 0)), rows[-1][5])]  # links with 10 and 11, which are of one component
+    deltas = spark.createDataFrame(rows, "p long, doc long, linked boolean, n long, lacks array<long>, extras array<long>")
+    compared, real = [], join.stored
+
+    def stored(df, name):
+        out = real(df, name)
+        if name == "far-sets":
+            compared.extend(r.doc for r in out.select("doc").collect())
+        return out
+
+    monkeypatch.setattr(join, "stored", stored)
+    found = spark.createDataFrame([(i, i - i % 2) for i in range(2, 12)], "node long, component long")
+    assert {(r.a, r.b) for r in join._far_pairs(deltas, found, join.Measure(5, 80, 100)).collect()} == {(10, 12), (11, 12)}
+    assert set(compared) == {10, 11, 12}  # before, every set, as the two of a component share their tokens
+
+
 def test_ends_of_declarations_are_found_in_one_pass():
     from millrace.operators import documents
 
