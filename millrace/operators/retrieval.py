@@ -15,8 +15,14 @@ from millrace.sources.tables import written
 
 #: Points and queries of one task of a search, on average; cells of a matrix that it holds at a time.
 POINT_SHARD, LEAST_SHARDS, QUERY_BLOCK, CELLS = 20_000, 12, 5_000, 4_000_000
-#: So many of the buckets that most pairs share are multiplied as a matrix, the others by their lists.
-COMMON = 1024
+#: So many of a shard's most frequent buckets are multiplied as a matrix, the others by their lists; an entry of a list costs so many products of a matrix.
+COMMON, LIST_COST = 256, 160
+#: What one shard of a sparse search holds at most: a bucket of a point is one unit, a point as many more. Queries of one task; tasks at least.
+SHARD_UNITS, POINT_UNITS, SPARSE_BLOCK, TASKS = 8_000_000, 100, 40_000, 24
+#: The other buckets are in so many groups, whose norms bound what the lists can add; an entry summed again costs so many entries of a list.
+GROUPS, EXACT_COST = 32, 8
+#: More than sums in single precision can err by, as a share of them.
+SLACK = 1e-4
 
 
 def matches(column: Column, value: object) -> Column:
@@ -142,52 +148,164 @@ def listed(weights: DataFrame, key: str) -> DataFrame:
     return weights.groupBy(key).agg(F.collect_list(F.struct("bucket", "weight")).alias("e")).select(key, F.col("e.bucket").alias("buckets"), F.col("e.weight").alias("weights"))
 
 
-def sparse_topk(points: DataFrame, queries: DataFrame, k: int, sizes: tuple[int, int] | None = None, digits: int = 6) -> DataFrame:
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The positions of ranges, one range after the other."""
+    return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+
+def _normed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, buckets, weights, norm) of rows that have buckets."""
+    rows = rows.where(F.size("buckets") > 0).select(key, "buckets", "weights")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lengths, starts, w = _flat(pa.chunked_array([batch.column("weights")]))
+                norm = np.sqrt(np.add.reduceat(w.to_numpy() ** 2, starts))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norm)], names=[*batch.schema.names, "norm"])
+
+    return rows.mapInArrow(run, S.StructType([*rows.schema.fields, S.StructField("norm", S.DoubleType())]))
+
+
+def _shards(points: DataFrame, k: int) -> tuple[list[tuple[int, int, int]], list[float], int]:
+    """How points (id, buckets, weights, norm) are dealt, the greatest norms first: (band, first shard, shards) of every band of norms, the greatest
+    norm of every shard, and how many shards hold the head, whose hits tell each query what may still count."""
+    per_band = points.groupBy(_band("norm").alias("band")).agg(F.count("*"), F.sum(F.size("buckets") + POINT_UNITS), F.max("norm")).collect()
+    per_band.sort(key=lambda r: -r[0])
+    count, total = sum(r[1] for r in per_band), sum(r[2] for r in per_band)
+    each, least_head = max(1, min(SHARD_UNITS, total // LEAST_SHARDS)), max(20 * k, count // 256)
+    dealt, tops, room, before, head = [], [], 0, 0, None
+    for band, n, units, top in per_band:
+        if head is None and before >= least_head:
+            head, room = len(tops), 0
+        if units > room:
+            parts = -(-units // each)
+            dealt.append((band, len(tops), parts))
+            tops += [top] * parts
+            room = each - units if parts == 1 else 0
+        else:
+            dealt.append((band, len(tops) - 1, 1))
+            room -= units
+        before += n
+    return dealt, tops, len(tops) if head is None else head
+
+
+def _band(norm: str) -> Column:
+    return F.floor(F.log2(norm) * 16).cast("int")
+
+
+def _best_sparse(p: pa.Table, q: pa.Table, k: int, digits: int, common: int, lists: int, cells: int, groups: int, exact_cost: int) -> Iterator[tuple]:
+    """(row of q, rows of p, scores) of the k best points (id, buckets, weights) of each query (buckets, weights, least) that reach its least score.
+
+    Sums are taken in single precision first: the `common` most frequent buckets as a matrix, the others by their lists. What can be among the best by
+    these is summed again in double precision and rounded. Where there is a least score, the sums of the matrix and the products of the norms of `groups`
+    groups of the other buckets tell whether the lists are needed at all."""
+    half = 10.0**-digits
+    n, (lengths, ends, b), w = p.num_rows, _flat(p["buckets"]), _flat(p["weights"])[2].to_numpy()
+    place = np.empty(n, np.int64)
+    place[pc.array_sort_indices(p["id"].combine_chunks(), null_placement="at_start").to_numpy()] = np.arange(n)
+    known, code, count = np.unique(b.to_numpy(), return_inverse=True, return_counts=True)
+    by_count = np.empty(len(known), np.int32)
+    by_count[np.argsort(-count, kind="stable")] = np.arange(len(known))
+    code, count, width = by_count[code], np.sort(count)[::-1], min(common, len(known))
+    row, frequent = np.repeat(np.arange(n, dtype=np.int32), lengths), code < width
+    matrix = np.zeros((n, width), np.float32)
+    matrix[row[frequent], code[frequent]] = w[frequent]
+    bounds = np.sqrt(np.bincount((row * groups + code % groups)[~frequent], w[~frequent] ** 2, n * groups)).astype(np.float32).reshape(n, groups)
+    order = np.argsort(code.astype(np.uint16) if len(known) <= 1 << 16 else code, kind="stable")
+    entries = np.stack((row[order], w[order].astype(np.float32).view(np.int32)), axis=1).view(np.int64).ravel()
+    starts = np.concatenate(([0], np.cumsum(count)))
+    del row, frequent, order
+    step, dense = max(1, cells // n), np.zeros(len(known))
+    for at in range(0, q.num_rows, step):
+        part = q.slice(at, step)
+        size, least = part.num_rows, part["least"].to_numpy()
+        q_lengths, _, q_b = _flat(part["buckets"])
+        r, x, c = np.repeat(np.arange(size), q_lengths), _flat(part["weights"])[2].to_numpy(), np.searchsorted(known, q_b.to_numpy())
+        met = known[np.minimum(c, len(known) - 1)] == q_b.to_numpy()
+        r, x, c = r[met], x[met], by_count[c[met]]
+        wanted = np.zeros((size, width), np.float32)
+        wanted[r[c < width], c[c < width]] = x[c < width]
+        by_matrix = (wanted > 0) @ count[:width] * lists > n * width
+        others = c >= width
+        most = np.sqrt(np.bincount((r * groups + c % groups)[others], x[others] ** 2, size * groups)).astype(np.float32).reshape(size, groups)
+        products, above = iter(wanted[by_matrix] @ matrix.T), iter(most[by_matrix] @ bounds.T)
+        cut = np.searchsorted(r, np.arange(size + 1))
+        for i in range(size):
+            own, factors = c[cut[i] : cut[i + 1]], x[cut[i] : cut[i + 1]]
+            rest = own >= width if by_matrix[i] else slice(None)
+            from_, to = starts[own[rest]], starts[own[rest] + 1]
+            floor, scores, hits = (least[i] - half) * (1 - SLACK) if least[i] > half else 0.0, np.zeros(n), None
+            if by_matrix[i]:
+                scores, bound = next(products), next(above)
+                if floor:
+                    hits = np.flatnonzero(scores + bound >= floor)
+            if hits is None or lengths[hits].sum() > max((to - from_).sum(), n) // exact_cost:
+                if len(from_):
+                    of = np.concatenate([entries[s:e] for s, e in zip(from_.tolist(), to.tolist(), strict=True)])
+                    scores = scores + np.bincount(of.view(np.int32)[::2], of.view(np.float32)[1::2] * np.repeat(factors[rest], to - from_), n)
+                hits = np.flatnonzero(scores >= floor if floor else scores > 0)
+                if len(hits) > k:
+                    near = scores[hits]
+                    hits = hits[near >= np.partition(near, len(near) - k)[len(near) - k] * (1 - SLACK) - half]
+            if len(hits):
+                dense[own] = factors
+                sums = np.concatenate(([0], np.cumsum(lengths[hits])[:-1]))
+                of = _ranges(ends[hits], lengths[hits])
+                exact = np.round(np.add.reduceat(dense[code[of]] * w[of], sums), digits)
+                dense[own] = 0
+                kept = np.flatnonzero(~(exact < least[i]))
+                hits, exact = hits[kept], exact[kept]
+                ranked = np.lexsort((place[hits], -exact))[:k]
+                if len(ranked):
+                    yield at + i, hits[ranked], exact[ranked]
+
+
+def sparse_topk(points: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank): sums of products of the weights of points (id, buckets, weights) and queries (query_id, buckets, weights).
 
-    Weights are above zero; each id has a bucket once. The sums are taken in any order, so they are rounded before they
-    are ranked. sizes: how many ids and query_ids there are at most, counted where not given.
+    Weights are from 1e-15 to 1e15; each id has a bucket once. The sums are taken in any order, so they are rounded before they
+    are ranked.
+
+    Points are dealt by norm. The head, the few of the greatest norms, meets all queries first; a query's k-th best there is its least score, and
+    it goes on only to shards that can reach it, as a score is at most the product of the norms.
     """
+    points, queries = written(_normed(points, "id")), written(_normed(queries, "query_id"))
+    (dealt, tops, head), asked, half = _shards(points, k), queries.count(), 10.0**-digits
+    spark, costs = points.sparkSession, (COMMON, LIST_COST, CELLS, GROUPS, EXACT_COST)
+    shape = S.StructType([S.StructField("query_id", queries.schema["query_id"].dataType), S.StructField("id", points.schema["id"].dataType), S.StructField("score", S.DoubleType())])
 
-    def cells(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths, _, b = _flat(t["buckets"])
-        return np.repeat(np.arange(len(lengths)), lengths), b.to_numpy(), _flat(t["weights"])[2].to_numpy()
+    def scan(p: pa.Table, q: pa.Table) -> pa.Table:
+        found = list(_best_sparse(p, q, k, digits, *costs)) if p.num_rows and q.num_rows else []
+        rows_of = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+        rows = np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+        scores = np.concatenate([f[2] for f in found] or [np.zeros(0)])
+        return pa.table([q["query_id"].take(pa.array(rows_of)), p["id"].take(pa.array(rows)), pa.array(scores)], names=["query_id", "id", "score"])
+
+    def meet(first: int, end: int, queries: DataFrame) -> DataFrame:
+        """What the shards from first to end hold of queries (query_id, buckets, weights, norm, least)."""
+        blocks = max(-(-asked // SPARSE_BLOCK), -(-TASKS // (end - first)))
+        held = [F.struct(*[F.lit(x).cast("int").alias(name) for x, name in zip(d, ("band", "first", "parts"), strict=True)]) for d in dealt if first <= d[1] < end]
+        bands = spark.range(1).select(F.inline(F.array(*held)))
+        left = points.withColumn("band", _band("norm")).join(F.broadcast(bands), "band").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "buckets", "weights", "shard", "block")
+        reached = F.size(F.filter(F.array(*[F.lit(t) for t in tops[first:end]]), lambda t: F.col("least").isNull() | (t * F.col("norm") * (1 + SLACK) >= F.col("least") - half)))
+        right = queries.withColumn("reached", reached).where("reached > 0").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        right = right.withColumn("shard", F.explode(F.sequence(F.lit(first), F.col("reached") + (first - 1)))).select("query_id", "buckets", "weights", "least", "shard", "block")
+        parts = min(2000, 3 * blocks * (end - first))
+        pair = [df.repartition(parts, "shard", "block").groupBy("shard", "block") for df in (left, right)]
+        return pair[0].cogroup(pair[1]).applyInArrow(scan, shape)
 
-    def best(p: pa.Table, q: pa.Table, place: np.ndarray) -> Iterator[tuple]:
-        n, m, (row, b, w), (q_row, q_b, q_w) = p.num_rows, q.num_rows, cells(p), cells(q)
-        both = np.intersect1d(b, q_b)
-        kept, q_kept = np.isin(b, both), np.isin(q_b, both)
-        row, w, q_row, q_w = row[kept], w[kept], q_row[q_kept], q_w[q_kept]
-        code, q_code = np.searchsorted(both, b[kept]), np.searchsorted(both, q_b[q_kept])
-        pairs = np.bincount(code, minlength=len(both)) * np.bincount(q_code, minlength=len(both))
-        by_pairs = np.empty(len(both), np.int64)
-        by_pairs[np.argsort(-pairs, kind="stable")] = np.arange(len(both))
-        code, q_code = by_pairs[code], by_pairs[q_code]
-        known = np.zeros((n, min(COMMON, len(both))))
-        known[row[code < COMMON], code[code < COMMON]] = w[code < COMMON]
-        listed = np.argsort(code, kind="stable")
-        starts = np.searchsorted(code[listed], np.arange(len(both) + 1))
-        row, w, step = row[listed], w[listed], max(1, CELLS // n)
-        for at in range(0, m, step):
-            size = min(step, m - at)
-            own = slice(*np.searchsorted(q_row, (at, at + size)))
-            r, c, x = q_row[own] - at, q_code[own], q_w[own]
-            asked = np.zeros((size, known.shape[1]))
-            asked[r[c < COMMON], c[c < COMMON]] = x[c < COMMON]
-            scores = (asked @ known.T).ravel()
-            r, c, x = r[c >= COMMON], c[c >= COMMON], x[c >= COMMON]
-            count = starts[c + 1] - starts[c]
-            for part in np.split(np.arange(len(c)), np.flatnonzero(np.diff(np.cumsum(count) // CELLS)) + 1):
-                k_ = count[part]
-                of = np.arange(k_.sum()) + np.repeat(starts[c[part]] - np.cumsum(k_) + k_, k_)
-                scores += np.bincount(np.repeat(r[part] * n, k_) + row[of], weights=np.repeat(x[part], k_) * w[of], minlength=len(scores))
-            for i, s in enumerate(scores.reshape(size, n)):
-                s, met = np.round(s, digits), s > 0
-                hits = np.flatnonzero((s >= np.partition(s, n - min(k, n))[n - min(k, n)]) & met)
-                hits = hits[np.lexsort((place[hits], -s[hits]))][:k]
-                yield at + i, hits, s[hits].tolist()
-
-    return _topk(points.select("id", "buckets", "weights"), queries.select("query_id", "buckets", "weights"), k, best, sizes or (points.count(), queries.count()))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best_of = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if not tops:
+        return spark.createDataFrame([], S.StructType([*shape.fields, S.StructField("rank", S.IntegerType())]))
+    found = meet(0, head, queries.withColumn("least", F.lit(None).cast("double")))
+    if head == len(tops):
+        return best_of(found)
+    found = written(best_of(found).select("query_id", "id", "score"))
+    least = found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+    return best_of(found.union(meet(head, len(tops), queries.join(least, "query_id", "left"))))
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int, constant: int = 60) -> DataFrame:

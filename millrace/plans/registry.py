@@ -11,7 +11,7 @@ from millrace.operators import jobs as J
 from millrace.operators import lifecycle as L
 from millrace.operators import reports as P
 from millrace.operators import retrieval as R
-from millrace.sources.tables import table, written
+from millrace.sources.tables import table
 from millrace.streaming import events as S
 
 _QUERIES: dict = {}
@@ -84,9 +84,10 @@ def sparse_term_vectors(spark, d):
 
 
 def _sparse(spark, d, k):
-    """Terms are made once and written: they are points and, for some ids, queries."""
-    terms = written(T.term_lists(table(spark, d, "documents")).withColumnRenamed("doc_id", "id"))
-    return R.sparse_topk(terms, terms.where(_EVERY).withColumnRenamed("id", "query_id"), k, (terms.count(), terms.where(_EVERY).count()))
+    """The search writes its points and queries, so terms are made once of each."""
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+    asked = docs.where(_EVERY).withColumnRenamed("id", "query_id")
+    return R.sparse_topk(T.term_lists(docs, "id"), T.term_lists(asked, "query_id"), k)
 
 
 _SPARSE = """, q AS (SELECT doc_id AS query_id, bucket, weight FROM w WHERE doc_id % 20 = 0),

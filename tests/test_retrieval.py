@@ -45,6 +45,44 @@ def test_sparse_blocks(spark, monkeypatch):
         assert sorted(map(str, R.sparse_topk(R.listed(weights, "id"), R.listed(query, "query_id"), 7).select("query_id", "id", "score", "rank").collect())) == want
 
 
+def _brute(rows, asked, k):
+    """(query_id, id, score, rank) of the k best by sums of products, from rows (id, {bucket: weight})."""
+    out = []
+    for q, x in asked:
+        scored = [(i, round(sum(w * y[b] for b, w in x.items() if b in y), 6)) for i, y in rows if x.keys() & y.keys()]
+        out += [(q, i, s, rank + 1) for rank, (i, s) in enumerate(sorted(scored, key=lambda h: (-h[1], h[0]))[:k])]
+    return out
+
+
+@pytest.mark.parametrize("k, units, common, groups, exact", [(2, 900, 3, 2, 1), (3, 400, 0, 1, 8), (1, 10**6, 8, 4, 100)])
+def test_sparse_by_norm(spark, monkeypatch, k, units, common, groups, exact):
+    """Points of very different norms, with copies: shards by norm, a head, least scores and bounds lose and add nothing."""
+    import random
+
+    draw = random.Random(9)
+    rows = [(i, {b: float(draw.randint(1, 4)) * draw.choice([0.3, 1.0, 5.0]) for b in draw.sample(range(40), draw.randint(1, 1 + i % 17))}) for i in range(150)]
+    rows += [(i + 150, rows[i * 7][1]) for i in range(20)] + [(900, {}), (901, {77: 2.0})]
+    for name, value in (("SHARD_UNITS", units), ("LEAST_SHARDS", 5), ("SPARSE_BLOCK", 6), ("TASKS", 3), ("COMMON", common), ("GROUPS", groups), ("EXACT_COST", exact)):
+        monkeypatch.setattr(R, name, value)
+    points = spark.createDataFrame([(i, list(x), list(x.values())) for i, x in rows], "id long, buckets array<int>, weights array<double>")
+    queries = points.where("id % 5 = 0 or id = 901").withColumnRenamed("id", "query_id")
+    want = _brute(rows, [r for r in rows if r[0] % 5 == 0 or r[0] == 901], k)
+    got = [tuple(r) for r in R.sparse_topk(points, queries, k).select("query_id", "id", "score", "rank").collect()]
+    assert sorted(got) == sorted(want)
+    assert R.sparse_topk(points.where("id = 900"), queries, k).count() == 0
+
+
+def test_sparse_sends_only_what_reaches_the_least_score():
+    """A shard sent its k best of every query before, however small."""
+    import pyarrow as pa
+
+    p = pa.table({"id": [4, 3, 2, 1], "buckets": [[1], [1, 2], [2], [1, 2]], "weights": [[1.0], [2.0, 2.0], [9.0], [2.0, 2.0]]})
+    q = pa.table({"buckets": [[1, 2]] * 3, "weights": [[1.0, 1.0]] * 3, "least": [None, 4.0, 9.5]})
+    for common in (0, 1, 2):
+        found = {row: list(zip(rows.tolist(), scores.tolist(), strict=True)) for row, rows, scores in R._best_sparse(p, q, 3, 6, common, 160, 8, 2, 1)}
+        assert found == {0: [(2, 9.0), (3, 4.0), (1, 4.0)], 1: [(2, 9.0), (3, 4.0), (1, 4.0)]}
+
+
 def test_leading_equals_running_sums(spark, monkeypatch):
     import random
 
