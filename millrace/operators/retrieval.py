@@ -18,7 +18,7 @@ POINT_SHARD, LEAST_SHARDS, QUERY_BLOCK, CELLS = 20_000, 12, 5_000, 4_000_000
 #: So many of a shard's most frequent buckets are multiplied as a matrix, the others by their lists; an entry of a list costs so many products of a matrix.
 COMMON, LIST_COST = 256, 160
 #: What one shard of a sparse search holds at most: a bucket of a point is one unit, a point as many more. Queries of one task; tasks at least.
-SHARD_UNITS, POINT_UNITS, SPARSE_BLOCK, TASKS = 8_000_000, 100, 40_000, 24
+SHARD_UNITS, POINT_UNITS, SPARSE_BLOCK, TASKS = 4_000_000, 100, 40_000, 24
 #: The other buckets are in so many groups, whose norms bound what the lists can add; an entry summed again costs so many entries of a list.
 GROUPS, EXACT_COST = 32, 8
 #: More than sums in single precision can err by, as a share of them.
